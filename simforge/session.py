@@ -29,6 +29,8 @@ def get_spark(master: str | None = None, app: str = "simforge",
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf.setdefault("spark.driver.memory", os.environ.get("SIMFORGE_DRIVER_MEMORY", "12g"))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
