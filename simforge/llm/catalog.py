@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from simforge.llm import substring_dedup
+from simforge.llm import line_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup, token_files
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
+    "op9_token_files": token_files.op9_token_files,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
 }
