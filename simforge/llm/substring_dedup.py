@@ -263,7 +263,8 @@ def find_paths(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     edges = plain.join(repeated, ["k", "t"]).select("k", "t", "text", "starts").mapInArrow(_find_edges(window), _EDGES)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    paths = edges.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor").mapInArrow(_resolve, _PATHS).distinct()
+    paths = edges.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor").mapInArrow(_resolve, _PATHS)
+    paths = paths.repartition("k", "t").distinct()
     along = Window.partitionBy("k", "t").orderBy("start")
     joins = (F.lag("k0").over(along) == F.col("k0")) & (F.lag("t0").over(along) == F.col("t0")) & (F.lag(F.col("start") + F.col("n")).over(along) == F.col("start")) & (F.lag(F.col("start0") + F.col("n")).over(along) == F.col("start0"))
     return (
