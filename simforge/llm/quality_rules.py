@@ -159,7 +159,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"__{c}").alias(c) for c in [*_FEATURES[:5], "base_failed", "kept"]))
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     measured = frames.settled(measure(docs, ["doc_id", "lang"]), "measured")
     chosen = frames.settled(cutoffs(measured, labels), "cutoffs")
