@@ -7,7 +7,7 @@ gazetteer, context before it and context against it, each yes, no or silent.  Ho
 each pattern of votes occurs is counted over the whole corpus; there are at most
 3 ** 5 x ``SHAPES`` patterns of a kind, so the counts are small whatever the input.  On
 them, expectation-maximisation estimates each labeler's reliability without labels
-(votes are independent given the truth), and a logistic regression on votes and shape,
+(votes are independent given the truth, silence is no evidence), and a logistic regression on votes and shape,
 trained on the resulting probabilities, is the span classifier.  Candidates that it
 gives ``ACCEPT`` or more are added, unless they overlap a base span.
 
@@ -30,11 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simforge.llm import frames
+from simforge.llm.words import text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("regex", "shape", "gazetteer", "context", "counter")
 SHAPES = 16
 ACCEPT = 0.9
+#: Weight of the prior, as a share of the votes, and the share of right votes it expects.
+PRIOR = (0.2, 0.8)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -158,11 +161,9 @@ def decode(pattern: int) -> tuple[list[int], int]:
 
 
 def _has_digit(column: pa.Array) -> np.ndarray:
-    column = pa.compute.fill_null(column, "").cast(pa.large_string())
-    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    data, at = text_bytes(column)
     seen = np.r_[0, np.cumsum((data >= 48) & (data <= 57), dtype=np.int64)]
-    return seen[at[1:] - at[0]] > seen[at[:-1] - at[0]]
+    return seen[at[1:]] > seen[at[:-1]]
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +185,18 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def estimate(found: np.ndarray, weight: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """P(true) of each vote pattern, by expectation-maximisation over labeler reliabilities."""
-    one_hot = np.eye(3)[found]  # pattern, labeler, vote
+    """P(true) of each vote pattern, by expectation-maximisation over labeler reliabilities.
+
+    Silence is no evidence. ``PRIOR`` holds the belief that labelers are rather right,
+    without which the two classes could change their roles.
+    """
+    one_hot = np.eye(3)[found][:, :, :2]  # pattern, labeler, vote
     p = 1 / (1 + np.exp(-((found == 1).sum(1) - (found == 0).sum(1))))
     for _ in range(rounds):
         rates = []
-        for q in (1 - p, p):
-            mass = np.einsum("p,plv->lv", q * weight, one_hot) + 1.0
+        for truth, q in enumerate((1 - p, p)):
+            mass = np.einsum("p,plv->lv", q * weight, one_hot)
+            mass += PRIOR[0] * np.where(np.arange(2) == truth, PRIOR[1], 1 - PRIOR[1]) * (1 + mass.sum(1, keepdims=True))
             rates.append(np.log(mass / mass.sum(1, keepdims=True)))
         prior = ((p * weight).sum() + 1) / (weight.sum() + 2)
         no, yes = (np.einsum("plv,lv->p", one_hot, r) for r in rates)

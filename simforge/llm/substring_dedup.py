@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,7 +124,7 @@ def _find_edges(k: int):
                 doc = words.doc[at]
                 place = at - words.first[doc]
                 starts = part["starts"]
-                wanted_doc = np.repeat(np.arange(len(part)), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(starts), 0)))
+                wanted_doc = np.repeat(np.arange(len(part)), np.asarray(pc.fill_null(pc.list_value_length(starts), 0)))
                 wanted = wanted_doc * (1 << 32) + starts.flatten().to_numpy()
                 chosen = np.isin(doc[head] * (1 << 32) + place[head], wanted)
                 use = np.repeat(chosen, length)
@@ -188,10 +189,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        decided = table.filter(pa.compute.greater(table["salt"], 0))
+        decided = table.filter(pc.greater(table["salt"], 0))
         if len(decided):
             yield from decided.select(["k", "t", "start", "n", "k0", "t0", "start0"]).to_batches()
-        table = table.filter(pa.compute.equal(table["salt"], 0))
+        table = table.filter(pc.equal(table["salt"], 0))
         if not len(table):
             continue
         held = pa.concat_tables([held, table]) if held is not None else table

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ SEGMENTS = (4, 16)
 
 def quantise(column: pa.ListArray, width: int | None = None) -> np.ndarray:
     """floor(256 * component) of each vector, with zeros up to the longest."""
-    n = np.asarray(pa.compute.list_value_length(column)).astype(np.int64)
+    n = np.asarray(pc.list_value_length(column)).astype(np.int64)
     flat = np.floor(256.0 * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
     out = np.zeros((len(n), max(int(n.max(initial=0)), width or 0)))
     row = np.repeat(np.arange(len(n)), n)
@@ -94,7 +95,7 @@ def _search(k: int):
         for batch in batches:
             for queries, base in zip(batch["queries"], batch["vectors"]):
                 queries, base = queries.values, base.values
-                width = max(int(pa.compute.max(pa.compute.list_value_length(x.field("embedding"))).as_py() or 0) for x in (queries, base))
+                width = max(int(pc.max(pc.list_value_length(x.field("embedding"))).as_py() or 0) for x in (queries, base))
                 q, x = (quantise(v.field("embedding"), width) for v in (queries, base))
                 query_id, base_id = (v.field("vec_id").to_numpy() for v in (queries, base))
                 rows, ids, scores = best(q, query_id, x, base_id, k)

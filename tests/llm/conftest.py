@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return get_spark("local[8]", shuffle_partitions=4)
+    return get_spark("local[4]", shuffle_partitions=4)
 
 
 @pytest.fixture(scope="session")
