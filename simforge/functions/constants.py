@@ -106,11 +106,21 @@ LAYER2_WEIGHTS = {"embedding": 0.121630, "levenshtein": 0.205104, "phonetic": 0.
                   "jaccard": 0.262775, "fuzzy": 0.388205}
 
 
-def live_keywords(keywords=KEYWORDS) -> list[str]:
+#: Entries that the original list runs together, and the keywords they were meant to be.
+FUSED_KEYWORDS = {
+    "amalepoultry": ("amale", "poultry"),
+    "projectsupermart": ("project", "supermart"),
+    "mobilebrokerage": ("mobile", "brokerage"),
+}
+
+
+def live_keywords(fixed_keywords: bool = False) -> list[str]:
     """Keywords that can match a lower-cased name, minus those containing another.
 
     "Has any keyword as substring" is unchanged by dropping a keyword that
     contains a shorter live keyword, so the alternation stays small.
     """
-    live = sorted({k for k in keywords if k == k.lower()})
-    return [k for k in live if not any(o != k and o in k for o in live)]
+    live = {k for k in KEYWORDS if k == k.lower()}
+    if fixed_keywords:
+        live = {part for k in live for part in FUSED_KEYWORDS.get(k, (k,))}
+    return [k for k in sorted(live) if not any(o != k and o in k for o in live)]

@@ -1,27 +1,33 @@
 """Edit ratios M1-M5.
 
-Only the longest-common-subsequence kernel runs in Python, as Arrow-batched
-pandas UDFs over string columns; token cleaning, sorting and set algebra for
-the token ratios are native column expressions.
+Only the longest-common-subsequence kernel runs in Python: one Arrow-batched
+pandas UDF per fuzzy average takes the prepared strings of a pair and returns
+a struct of its six ratios. Token cleaning, sorting and set algebra for the
+token ratios are native column expressions.
 
 Ratio semantics: ``round_half_even(100 * 2*LCS / (len1 + len2))``; equal
 strings -> 100; one empty -> 0. A null input returns null, which is how the
-cascade skips rows already decided (the UDF sees nulls for them).
+cascade skips rows already decided (the kernel drops them before scoring).
 """
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .similarity import clean_tokens, sorted_token_string, token_set_parts
+from .similarity import clean_tokens
 
 PARTIAL_MODES = ("aligned", "full")
 
+#: Pairs whose shorter string fits one machine word are scored together, this many at once.
+WORD = 64
+BATCH = 8192
+
 
 def lcs_length(a: str, b: str) -> int:
     """LCS length by the bit-parallel recurrence (Allison-Dix / Hyyrö).
@@ -48,126 +54,179 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def ratio_value(a: str, b: str) -> int:
-    if a == b:
-        return 100
-    if not a or not b:
-        return 0
-    r = (2 * lcs_length(a, b)) / (len(a) + len(b))
-    return int(round(100 * r))
+def _code_points(strings: list[str], width: int) -> np.ndarray:
+    out = np.zeros((len(strings), width), np.uint32)
+    flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.fromiter(map(len, strings), np.int64, len(strings))
+    row = np.repeat(np.arange(len(strings)), n)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+    return out
+
+
+def _lcs_words(short: list[str], long: list[str]) -> np.ndarray:
+    """The same recurrence for a whole batch, one 64-bit word per pair."""
+    m = np.fromiter(map(len, short), np.int64, len(short))
+    n = np.fromiter(map(len, long), np.int64, len(long))
+    a = _code_points(short, WORD)
+    b = _code_points(long, int(n.max()))
+    live = np.arange(WORD) < m[:, None]
+    v = np.full(len(short), np.iinfo(np.uint64).max, np.uint64)
+    for j in range(b.shape[1]):
+        hit = (a == b[:, j, None]) & live & (j < n)[:, None]
+        mask = np.packbits(hit, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        u = v & mask
+        v = (v + u) | (v - u)
+    ones = np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+    return m - (ones & live).sum(1)
+
+
+def lcs_lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """LCS length of each pair: vectorised up to 64 characters of the shorter string."""
+    out = np.zeros(len(left), np.int64)
+    small = []
+    for i, (a, b) in enumerate(zip(left, right)):
+        if not a or not b:
+            continue
+        if min(len(a), len(b)) <= WORD and max(len(a), len(b)) <= 4 * WORD:
+            small.append(i)
+        else:
+            out[i] = lcs_length(a, b)
+    small.sort(key=lambda i: max(len(left[i]), len(right[i])))
+    for s in range(0, len(small), BATCH):
+        part = small[s:s + BATCH]
+        pairs = [(left[i], right[i]) if len(left[i]) <= len(right[i]) else (right[i], left[i]) for i in part]
+        out[part] = _lcs_words([p[0] for p in pairs], [p[1] for p in pairs])
+    return out
+
+
+def ratio_values(left: list[str], right: list[str]) -> np.ndarray:
+    """M1 of each pair."""
+    total = np.fromiter((len(a) + len(b) for a, b in zip(left, right)), np.float64, len(left))
+    same = np.fromiter((a == b for a, b in zip(left, right)), bool, len(left))
+    ratio = 2 * lcs_lengths(left, right) / np.where(total == 0, 1, total)
+    return np.where(same, 100, np.rint(100 * ratio)).astype(np.int64)
+
+
+def _window_starts(shorter: str, longer: str, mode: str) -> list[int]:
+    if mode == "full":
+        return list(range(len(longer) - len(shorter) + 1))
+    # autojunk would ignore frequent characters of strings of 200 and more
+    blocks = SequenceMatcher(None, shorter, longer, autojunk=False).get_matching_blocks()
+    return sorted({max(j - i, 0) for i, j, _ in blocks})
+
+
+def partial_ratio_values(left: list[str], right: list[str], mode: str = "aligned") -> np.ndarray:
+    """M2 of each pair: the best ratio of the shorter string and a window of the longer one."""
+    out = np.zeros(len(left), np.int64)
+    pair, window, short = [], [], []
+    best = np.zeros(len(left))
+
+    def score() -> None:
+        if pair:
+            total = np.fromiter((len(a) + len(b) for a, b in zip(short, window)), np.float64, len(pair))
+            np.maximum.at(best, pair, 2 * lcs_lengths(short, window) / total)
+            pair.clear(), window.clear(), short.clear()
+
+    for i, (a, b) in enumerate(zip(left, right)):
+        if a == b:
+            out[i] = 100
+        elif a and b:
+            shorter, longer = (a, b) if len(a) <= len(b) else (b, a)
+            for s in _window_starts(shorter, longer, mode):
+                pair.append(i)
+                short.append(shorter)
+                window.append(longer[s:s + len(shorter)])
+            if len(pair) >= BATCH:
+                score()
+    score()
+    return np.where(best > 0.995, 100, np.maximum(out, np.rint(100 * best))).astype(np.int64)
 
 
-def _window_ratio(shorter: str, window: str) -> float:
-    if not shorter and not window:
-        return 1.0
-    return (2 * lcs_length(shorter, window)) / (len(shorter) + len(window))
+def ratio_value(a: str, b: str) -> int:
+    return int(ratio_values([a], [b])[0])
 
 
 def partial_ratio_value(a: str, b: str, mode: str = "aligned") -> int:
-    if a == b:
-        return 100
-    if not a or not b:
-        return 0
-    shorter, longer = (a, b) if len(a) <= len(b) else (b, a)
-    m = len(shorter)
-    if mode == "full":
-        starts = range(0, len(longer) - m + 1)
-    else:
-        blocks = SequenceMatcher(None, shorter, longer).get_matching_blocks()
-        starts = [max(j - i, 0) for i, j, _ in blocks]
-    best = 0.0
-    for s in starts:
-        r = _window_ratio(shorter, longer[s:s + m])
-        if r > 0.995:
-            return 100
-        best = max(best, r)
-    return int(round(100 * best))
+    return int(partial_ratio_values([a], [b], mode)[0])
 
 
-@F.pandas_udf(T.IntegerType())
-def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio_value(x, y)
-                      for x, y in zip(a, b)], dtype="Int32")
+PARTS = ("ratio", "partial", "token_sort", "set_1", "set_2", "set_12")
+_STRUCT = T.StructType([T.StructField(p, T.IntegerType()) for p in PARTS])
 
 
-@F.pandas_udf(T.IntegerType())
-def _partial_aligned_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else partial_ratio_value(x, y, "aligned")
-                      for x, y in zip(a, b)], dtype="Int32")
+def _kernel(mode: str):
+    """The six ratios of prepared strings, as one struct column."""
 
+    @F.pandas_udf(_STRUCT)
+    def ratios(a: pd.Series, b: pd.Series, sort_a: pd.Series, sort_b: pd.Series, both: pd.Series,
+               with_a: pd.Series, with_b: pd.Series) -> pd.DataFrame:
+        live = (a.notna() & b.notna()).to_numpy()
+        cols = [s[live].tolist() for s in (a, b, sort_a, sort_b, both, with_a, with_b)]
+        a_, b_, sa, sb, sect, c1, c2 = cols
+        found = [ratio_values(a_, b_), partial_ratio_values(a_, b_, mode), ratio_values(sa, sb),
+                 ratio_values(sect, c1), ratio_values(sect, c2), ratio_values(c1, c2)]
+        out = {}
+        for name, values in zip(PARTS, found):
+            col = np.zeros(len(live), np.int64)
+            col[live] = values
+            out[name] = pd.Series(pd.array(col, dtype="Int32")).mask(~live)
+        return pd.DataFrame(out)
 
-@F.pandas_udf(T.IntegerType())
-def _partial_full_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else partial_ratio_value(x, y, "full")
-                      for x, y in zip(a, b)], dtype="Int32")
+    return ratios
 
 
 # The kernels are pure functions, but they are declared non-deterministic on
-# purpose: that keeps Catalyst's CollapseProject from inlining the long
-# projection chains of the cascade into one giant expression tree (which can
-# take the optimiser minutes), and from re-evaluating a kernel per reference.
-_ratio_udf = _ratio_udf.asNondeterministic()
-_partial_aligned_udf = _partial_aligned_udf.asNondeterministic()
-_partial_full_udf = _partial_full_udf.asNondeterministic()
-
+# purpose: that keeps Catalyst's CollapseProject from inlining the projection
+# chains of a cascade into one giant expression tree, which can take the
+# optimiser minutes.
+_KERNELS = {mode: _kernel(mode).asNondeterministic() for mode in PARTIAL_MODES}
 
-def ratio(a: Column, b: Column) -> Column:                        # M1
-    return _ratio_udf(a, b)
 
+def _with_parts(df: DataFrame, a: str, b: str, p: str, mode: str) -> DataFrame:
+    """Adds ``{p}parts`` (struct of the six ratios) and ``{p}empty``.
 
-def partial_ratio(a: Column, b: Column, mode: str = "aligned") -> Column:  # M2
+    Token forms are materialised as columns first, so each regex / array
+    expression runs once per row; the six ratios share one Arrow round trip.
+    """
     if mode not in PARTIAL_MODES:
         raise ValueError(f"mode must be one of {PARTIAL_MODES}")
-    return (_partial_full_udf if mode == "full" else _partial_aligned_udf)(a, b)
+    ca, cb, c = F.col(a), F.col(b), lambda n: F.col(p + n)
+    df = df.withColumns({p + "ta": F.when(ca.isNotNull(), clean_tokens(ca)), p + "tb": F.when(cb.isNotNull(), clean_tokens(cb))})
+    da, db = F.array_distinct(c("ta")), F.array_distinct(c("tb"))
+    sect = F.array_sort(F.array_intersect(da, db))
+    join = lambda x: F.array_join(x, " ")
+    df = df.withColumns({
+        p + "sa": join(F.array_sort(c("ta"))), p + "sb": join(F.array_sort(c("tb"))), p + "both": join(sect),
+        p + "w1": join(F.concat(sect, F.array_sort(F.array_except(da, db)))),
+        p + "w2": join(F.concat(sect, F.array_sort(F.array_except(db, da)))),
+        p + "empty": (F.size(c("ta")) == 0) | (F.size(c("tb")) == 0),
+    })
+    df = df.withColumn(p + "parts", _KERNELS[mode](ca, cb, *(c(n) for n in ("sa", "sb", "both", "w1", "w2"))))
+    return df.drop(*(p + n for n in ("ta", "tb", "sa", "sb", "both", "w1", "w2")))
 
 
-def with_fuzzy_average(df: DataFrame, a: str, b: str, out: str, mode: str = "aligned",
-                       keep_parts: bool = False) -> DataFrame:
-    """M1-M5 on columns ``a``/``b``: adds ``out`` = (M1 + M2 + M3 + M4) / 400.
+def _token_set(p: str) -> Column:
+    parts = F.col(p + "parts")
+    best = F.greatest(parts["set_1"], parts["set_2"], parts["set_12"])
+    return F.when(parts["ratio"].isNull(), F.lit(None).cast("int")).when(F.col(p + "empty"), F.lit(0)).otherwise(best)
 
-    Token forms are materialised as columns first, so each regex / array
-    expression runs once per row; the six LCS calls then share one Arrow
-    round trip. Terms are added in the original's order, so threshold tests
-    on the result agree to the last bit. Null input -> null output.
+
+def with_fuzzy_ratios(df: DataFrame, a: str, b: str, mode: str = "aligned") -> DataFrame:
+    """M1-M4 of columns ``a``/``b``: one Arrow round trip. Null input -> null output."""
+    p, parts = "_m_", F.col("_m_parts")
+    return _with_parts(df, a, b, p, mode).withColumns({
+        "m1_ratio": parts["ratio"], "m2_partial_ratio": parts["partial"], "m3_token_sort_ratio": parts["token_sort"],
+        "m4_token_set_ratio": _token_set(p),
+    }).drop(p + "parts", p + "empty")
+
+
+def with_fuzzy_average(df: DataFrame, a: str, b: str, out: str, mode: str = "aligned") -> DataFrame:
+    """M5 on columns ``a``/``b``: adds ``out`` = (M1 + M2 + M3 + M4) / 400.
+
+    One Arrow round trip. Terms are added in the original's order, so
+    threshold tests on the result agree to the last bit. Null input -> null output.
     """
-    ca, cb = F.col(a), F.col(b)
-    p = f"_{out}_"
-    df = (df.withColumn(p + "ta", F.when(ca.isNotNull(), clean_tokens(ca)))
-            .withColumn(p + "tb", F.when(cb.isNotNull(), clean_tokens(cb))))
-    ta, tb = F.col(p + "ta"), F.col(p + "tb")
-    da, db = F.array_distinct(ta), F.array_distinct(tb)
-    sect = F.array_sort(F.array_intersect(da, db))
-    df = (df.withColumn(p + "sa", F.array_join(F.array_sort(ta), " "))
-            .withColumn(p + "sb", F.array_join(F.array_sort(tb), " "))
-            .withColumn(p + "sect", F.array_join(sect, " "))
-            .withColumn(p + "c12", F.array_join(F.concat(sect, F.array_sort(F.array_except(da, db))), " "))
-            .withColumn(p + "c21", F.array_join(F.concat(sect, F.array_sort(F.array_except(db, da))), " "))
-            .withColumn(p + "emp", (F.size(da) == 0) | (F.size(db) == 0)))
-    c = lambda n: F.col(p + n)
-    df = (df.withColumn("m1_ratio" if keep_parts else p + "r", ratio(ca, cb))
-            .withColumn("m2_partial_ratio" if keep_parts else p + "pr", partial_ratio(ca, cb, mode))
-            .withColumn("m3_token_sort_ratio" if keep_parts else p + "ts", ratio(c("sa"), c("sb")))
-            .withColumn(p + "t1", ratio(c("sect"), c("c12")))
-            .withColumn(p + "t2", ratio(c("sect"), c("c21")))
-            .withColumn(p + "t3", ratio(c("c12"), c("c21"))))
-    tset = (F.when(ca.isNull() | cb.isNull(), F.lit(None).cast("int"))
-             .when(c("emp"), F.lit(0)).otherwise(F.greatest(c("t1"), c("t2"), c("t3"))))
-    r, pr, ts = ((F.col("m1_ratio"), F.col("m2_partial_ratio"), F.col("m3_token_sort_ratio"))
-                 if keep_parts else (c("r"), c("pr"), c("ts")))
-    df = df.withColumn("m4_token_set_ratio" if keep_parts else p + "tset", tset)
-    tset_c = F.col("m4_token_set_ratio") if keep_parts else c("tset")
-    h = F.lit(100.0)
-    df = df.withColumn(out, (((r / h + pr / h) + ts / h) + tset_c / h) / F.lit(4.0))
-    return df.drop(*[p + n for n in ("ta", "tb", "sa", "sb", "sect", "c12", "c21", "emp", "r", "pr",
-                                     "ts", "t1", "t2", "t3", "tset")])
-
-
-def token_sort_ratio(a: Column, b: Column) -> Column:             # M3 (expression form)
-    return ratio(sorted_token_string(a), sorted_token_string(b))
-
-
-def token_set_ratio(a: Column, b: Column) -> Column:              # M4 (expression form)
-    sect, c12, c21, empty = token_set_parts(a, b)
-    best = F.greatest(ratio(sect, c12), ratio(sect, c21), ratio(c12, c21))
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")) \
-            .when(empty, F.lit(0)).otherwise(best)
+    p, h = f"_{out}_", F.lit(100.0)
+    parts = F.col(p + "parts")
+    total = ((parts["ratio"] / h + parts["partial"] / h) + parts["token_sort"] / h) + _token_set(p) / h
+    return _with_parts(df, a, b, p, mode).withColumn(out, total / F.lit(4.0)).drop(p + "parts", p + "empty")

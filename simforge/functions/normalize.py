@@ -56,7 +56,7 @@ def squeeze_spaces(c: Column) -> Column:                          # P5
 
 
 def drop_a_after_consonant(c: Column) -> Column:                  # P6
-    return F.regexp_replace(c, f"(?<=[{K.CONSONANTS}])a", "")
+    return F.regexp_replace(c, f"(?<=[{K.CONSONANTS}{K.CONSONANTS.upper()}])a", "")
 
 
 def drop_special_chars(c: Column) -> Column:                      # P7
@@ -68,8 +68,12 @@ def strip_salutation(c: Column) -> Column:                        # P8
     return strip(F.regexp_replace(c, "(?iU)" + K.SALUTATION_PATTERN, ""))
 
 
-def cut_parent_suffix(c: Column) -> Column:                       # P9
-    return strip(F.regexp_replace(c, "(?iU)" + K.PARENT_SPOUSE_PATTERN, ""))
+def cut_parent_suffix(c: Column, strict: bool = False) -> Column:  # P9
+    """``strict`` cuts only at whole words (``Sonia Gandhi`` stays), unlike the original."""
+    pattern = K.PARENT_SPOUSE_PATTERN
+    if strict:
+        pattern = pattern.replace("(?:", r"(?<!\w)(?:", 1).replace(r")\s*[", r")(?!\w)\s*[", 1)
+    return strip(F.regexp_replace(c, "(?iU)" + pattern, ""))
 
 
 def drop_mohammad_variants(c: Column) -> Column:                  # P10
@@ -123,12 +127,13 @@ def _java_quote(s: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in s)
 
 
-def keyword_pattern() -> str:
-    return "|".join(_java_quote(k) for k in K.live_keywords())
+def keyword_pattern(fixed_keywords: bool = False) -> str:
+    return "|".join(_java_quote(k) for k in K.live_keywords(fixed_keywords))
 
 
-def has_keyword(raw: Column) -> Column:                           # K1
-    return F.lower(null_to_empty(raw)).rlike(keyword_pattern())
+def has_keyword(raw: Column, fixed_keywords: bool = False) -> Column:  # K1
+    """``fixed_keywords`` parts the entries that the original's list runs together."""
+    return F.lower(null_to_empty(raw)).rlike(keyword_pattern(fixed_keywords))
 
 
 def keywords_agree(raw1: Column, raw2: Column) -> Column:         # K2

@@ -1,5 +1,5 @@
-"""Vector column expressions (M11, J2) and the numpy block kernel used by the
-blocked top-k operators.
+"""Vector column expressions (M11, J2) and the numpy kernel of the blocked
+top-k operators.
 
 Semantics of the similarity (SURVEY V9): the dot product pairs elements by
 position, so vectors of unequal length contribute their common prefix, while
@@ -32,9 +32,9 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.try_divide(dot_prefix(a, b), norm(a) * norm(b))
 
 
-def similarity_percentage(a: Column, b: Column, scale: int = 4) -> Column:
-    """V9: ``SAFE_DIVIDE(dot, |a|*|b|) * 100`` rounded for stable ranking/output."""
-    return F.round(cosine_similarity(a, b) * F.lit(100.0), scale)
+def similarity_percentage(a: Column, b: Column) -> Column:
+    """V9: ``SAFE_DIVIDE(dot, |a|*|b|) * 100``; round only what is shown, never what is ranked."""
+    return cosine_similarity(a, b) * F.lit(100.0)
 
 
 def mean_pool(vectors: Column) -> Column:
@@ -68,45 +68,73 @@ def stack_vectors(series: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return mat, norms, lens > 0
 
 
-def block_similarity(lm, ln, le, rm, rn, re_, scale=4):
-    """Percent cosine similarity matrix rounded to ``scale``; NaN where undefined."""
-    width = min(lm.shape[1], rm.shape[1])
-    dot = lm[:, :width] @ rm[:, :width].T
-    denom = ln[:, None] * rn[None, :]
-    valid = (denom != 0) & le[:, None] & re_[None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pct = dot / np.where(valid, denom, 1.0) * 100.0
-    return np.where(valid, np.round(pct, scale), np.nan)
+METRICS = ("cosine", "euclidean")
 
 
-def topk_rows(pct, l_ids, r_ids, l_mult, r_mult, k, exclude_self):
-    """Per left row, the k best right rows by (pct desc, nulls last, id asc).
+def pair_similarity(dot, ln, rn, valid, metric: str):
+    """Percent similarity ``(1 - distance) * 100`` from dot products and norms; NaN where undefined."""
+    if metric == "cosine":
+        denom = ln * rn
+        valid = valid & (denom != 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(valid, dot / np.where(valid, denom, 1.0) * 100.0, np.nan)
+    if metric == "euclidean":
+        gap = np.sqrt(np.maximum(ln * ln + rn * rn - 2 * dot, 0.0))
+        return np.where(valid, (1.0 - gap) * 100.0, np.nan)
+    raise ValueError(f"metric must be one of {METRICS}")
 
-    ``l_mult``/``r_mult`` count exact copies collapsed before the kernel; an
-    entry stands for ``l_mult*r_mult`` equal rows, and rows are kept until the
-    copies before them reach k. Returns a DataFrame of candidates.
+
+def id_codes(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Integers in the order of the ids, -1 for null, equal on both sides for equal ids."""
+    codes, _ = pd.factorize(pd.concat([left, right], ignore_index=True), sort=True)
+    return codes[:len(left)], codes[len(left):]
+
+
+class Side:
+    """One side of a cell: rows ``id, vec, copies, rowkey`` as matrices."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.rows = rows
+        self.mat, self.norms, self.full = stack_vectors(rows["vec"])
+        self.copies = rows["copies"].to_numpy(dtype=np.int64)
+
+
+def topk_rows(left: Side, right: Side, k: int, exclude_self: bool, metric: str = "cosine") -> pd.DataFrame | None:
+    """Per left row, the k best right rows by (similarity desc, nulls last, id asc).
+
+    The matrix product only selects candidates, with a margin for its rounding;
+    they are scored again one by one, so equal vectors score equally in every
+    block. ``copies`` counts equal rows collapsed before; an entry stands for
+    all of them, and rows are kept until the copies before them reach k.
     """
-    n_l, n_r = pct.shape
-    if n_l == 0 or n_r == 0:
+    if not len(left.rows) or not len(right.rows):
         return None
+    width = min(left.mat.shape[1], right.mat.shape[1])
+    lv, rv = left.mat[:, :width], right.mat[:, :width]
+    valid = left.full[:, None] & right.full[None, :]
+    pct = pair_similarity(lv @ rv.T, left.norms[:, None], right.norms[None, :], valid, metric)
+    l_ids, r_ids = id_codes(left.rows["id"], right.rows["id"])
     key = np.where(np.isnan(pct), -1e300, pct)
     if exclude_self:
         key = np.where(l_ids[:, None] == r_ids[None, :], -np.inf, key)
-    kk = min(k, n_r)
+        key[l_ids < 0] = -np.inf  # a null id differs from nothing
+        key[:, r_ids < 0] = -np.inf
+    kk = min(k, key.shape[1])
     kth = -np.partition(-key, kk - 1, axis=1)[:, kk - 1]
-    mask = (key >= kth[:, None]) & (key > -np.inf)
-    rows, cols = np.nonzero(mask)
-    if rows.size == 0:
+    margin = 1e-9 * np.maximum(1.0, np.abs(np.where(np.abs(kth) < 1e299, kth, 0.0)))
+    rows, cols = np.nonzero((key >= (kth - margin)[:, None]) & (key > -np.inf))
+    if not rows.size:
         return None
+    dot = np.einsum("ij,ij->i", lv[rows], rv[cols])
+    exact = pair_similarity(dot, left.norms[rows], right.norms[cols], left.full[rows] & right.full[cols], metric)
     cand = pd.DataFrame({
-        "r": rows,
-        "key": key[rows, cols],
-        "cid": r_ids[cols],
-        "pct": pct[rows, cols],
-        "mult": l_mult[rows] * r_mult[cols],
+        "r": rows, "c": cols, "key": np.where(np.isnan(exact), -np.inf, exact), "cid": r_ids[cols],
+        "similarity_percentage": exact, "copies": left.copies[rows] * right.copies[cols],
     })
     cand = cand.sort_values(["r", "key", "cid"], ascending=[True, False, True], kind="mergesort")
-    before = cand.groupby("r", sort=False)["mult"].cumsum() - cand["mult"]
-    cand = cand[before < k]
-    cand["qid"] = l_ids[cand["r"].to_numpy()]
-    return cand[["qid", "cid", "pct", "mult"]]
+    cand = cand[cand.groupby("r", sort=False)["copies"].cumsum() - cand["copies"] < k]
+    q, b = left.rows.iloc[cand["r"]], right.rows.iloc[cand["c"]]
+    return pd.DataFrame({
+        "query_uri": q["id"].to_numpy(), "compared_uri": b["id"].to_numpy(), "rowkey": b["rowkey"].to_numpy(),
+        "similarity_percentage": cand["similarity_percentage"].to_numpy(), "copies": cand["copies"].to_numpy(),
+    })

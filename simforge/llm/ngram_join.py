@@ -5,17 +5,21 @@ one class, named by a fingerprint, and take part once.
 
 1. Tokens are ordered by how often they occur, rarest first, as a fixed-size table of
    counters sees it (every document is counted; a shared counter only worsens the order,
-   which any order may be).  Two linked sets share a token of their prefixes.
+   which any order may be).  Two linked sets share tokens of their prefixes.
 2. The prefixes form an inverted index: (token, set, size, position).  Lists with one set
    are dropped.
 3. Answers of one set serve its neighbours: in every list the sets are first compared
    with a single hub.  Sets found to be linked through hubs have their component already,
    so no pair of them is looked at again.
 4. Only lists with sets of several components are then searched for the other pairs.  A
-   list is kept in blocks of equal position, sorted by size; a block whose sizes or
-   position cannot reach the required overlap is skipped as a whole.
-5. Candidates are verified on their whole sets.  A hub's set travels once for every
-   ``HUB_PAIRS`` of its pairs and the others stream past it.
+   list is sorted by position, long ones are kept in blocks of equal position and sorted
+   by size; a block whose sizes cannot meet is skipped as a whole, and so is a pair whose
+   positions leave too little room for the required overlap.
+5. A pair must be met in as many lists as its sizes demand: members beyond the prefixes
+   add at most the longer rest, so the prefixes have to share what is missing.
+6. Candidates are verified on their whole sets.  Only texts that a fixed-size bitmap of
+   the wanted documents lets through are read into sets, and joined exactly after it.  A
+   hub's set travels once for every ``HUB_PAIRS`` of its pairs, the others stream past it.
 
 Links of whole classes are found by connected components over verified pairs.
 
@@ -40,10 +44,14 @@ from simforge.llm.words import Words, mix, slices
 
 K, PERCENT = 4, 85
 #: Counters of the frequency table: a power of two near the number of documents, within these.
-COUNTERS = (1 << 16, 1 << 22)
+COUNTERS = (1 << 16, 1 << 20)
+#: Bits of the bitmap of wanted documents; it lets others through when it is full.
+WANTED_BITS = 1 << 23
 _COUNTER_BLOCK = 4096
 #: Pairs for which a hub's set is sent once.
 HUB_PAIRS = 1000
+#: Longer lists are searched block by block.
+LONG_LIST, PAIRS_AT_ONCE = 256, 1 << 21
 
 _SETS = "k long, t long, doc_id long, n_shingles long, fp long, block int, counts binary"
 _POSTINGS = "token long, fp long, n int, pos int"
@@ -147,44 +155,81 @@ def _reaches(percent: int) -> str:
     return f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n) and least(pos, hub.pos) + least(n - pos, hub.n - hub.pos) >= {need}"
 
 
+def missing(n1, n2, percent: int):
+    """The least common members of the prefixes of linked sets of these sizes."""
+    rest = np.maximum(n1 - prefix_length(n1, percent), n2 - prefix_length(n2, percent))
+    return np.maximum(1, needed(n1, n2, percent) - rest)
+
+
+def _missing_sql(percent: int) -> str:
+    rest = f"(({percent} * greatest(n, hub.n) + 99) div 100 - 1)"
+    return f"greatest(1, ({percent} * (n + hub.n) + {99 + percent}) div {100 + percent} - {rest})"
+
+
+def _fitting(x, y, n, pos, comp, percent: int) -> np.ndarray:
+    """Pairs (x, y) of list entries of different components that can reach the overlap."""
+    n1, n2 = n[x], n[y]
+    reach = np.minimum(pos[x], pos[y]) + np.minimum(n1 - pos[x], n2 - pos[y])
+    return (comp[x] != comp[y]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (reach >= needed(n1, n2, percent))
+
+
+def _short_lists(begin, size, n, pos, comp, percent: int):
+    """All pairs of many short lists at once."""
+    done = 0
+    cost = np.cumsum(size * (size - 1) // 2)
+    while done < len(size):
+        stop = max(done + 1, int(np.searchsorted(cost, (cost[done - 1] if done else 0) + PAIRS_AT_ONCE, "right")))
+        k = size[done:stop]
+        rows = np.repeat(begin[done:stop] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        after = np.repeat(begin[done:stop] + k - 1, k) - rows
+        x = np.repeat(rows, after)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
+        fits = _fitting(x, y, n, pos, comp, percent)
+        if fits.any():
+            yield x[fits], y[fits]
+        done = stop
+
+
+def _long_list(begin: int, end: int, n, pos, comp, percent: int):
+    """Pairs of one list, block of equal position by block."""
+    order = begin + np.lexsort((n[begin:end], pos[begin:end]))
+    heads = np.flatnonzero(np.r_[True, np.diff(pos[order]) != 0, True])
+    blocks = [order[a:b] for a, b in zip(heads[:-1], heads[1:])]
+    for i, own in enumerate(blocks):
+        for other in blocks[i:]:
+            if 100 * n[own[-1]] < percent * n[other[0]] or 100 * n[other[-1]] < percent * n[own[0]]:
+                continue
+            low = np.searchsorted(n[other], -(-percent * n[own] // 100))
+            high = np.searchsorted(n[other], 100 * n[own] // percent, "right")
+            for a in range(0, len(own), 1024):
+                count = np.maximum(high[a : a + 1024] - low[a : a + 1024], 0)
+                x = np.repeat(own[a : a + 1024], count)
+                at = np.repeat(low[a : a + 1024] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                y = other[at]
+                fits = _fitting(x, y, n, pos, comp, percent)
+                if other is own:
+                    fits &= np.repeat(np.arange(a, min(a + 1024, len(own))), count) < at
+                if fits.any():
+                    yield x[fits], y[fits]
+
+
 def _search_lists(percent: int):
-    """Candidate pairs of different components from lists sorted by token."""
-
-    def search(fp, n, pos, comp):
-        order = np.lexsort((fp, n, pos))
-        fp, n, pos, comp = fp[order], n[order], pos[order], comp[order]
-        heads = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
-        blocks = list(zip(heads, np.r_[heads[1:], len(pos)]))
-        least = [n[a] for a, _ in blocks]
-        most = [n[b - 1] for _, b in blocks]
-        for i, (a, b) in enumerate(blocks):
-            for j, (c, d) in enumerate(blocks[i:], i):
-                p, q = int(pos[a]), int(pos[c])
-                # the longest sets of both blocks can't reach the overlap, or sizes don't meet
-                if 100 * most[i] < percent * least[j] or 100 * most[j] < percent * least[i]:
-                    continue
-                for x in range(a, b):
-                    lo = c + int(np.searchsorted(n[c:d], -(-percent * n[x] // 100)))
-                    hi = c + int(np.searchsorted(n[c:d], 100 * n[x] // percent, "right"))
-                    lo = max(lo, x + 1) if i == j else lo
-                    if lo >= hi:
-                        continue
-                    other = n[lo:hi]
-                    fits = (comp[lo:hi] != comp[x]) & (min(p, q) + np.minimum(n[x] - p, other - q) >= needed(n[x], other, percent))
-                    if fits.any():
-                        found = fp[lo:hi][fits]
-                        yield np.minimum(found, fp[x]), np.maximum(found, fp[x])
+    """Candidate pairs (a, b) of different components, and how many lists they have to be in."""
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, fp, n, pos, comp = (table[c].to_numpy().astype(np.int64) for c in ("token", "fp", "n", "pos", "comp"))
+        cuts = np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)]
+        begin, size = cuts[:-1], np.diff(cuts)
+        short = size <= LONG_LIST
+        found = [_short_lists(begin[short], size[short], n, pos, comp, percent)]
+        found += [_long_list(a, a + k, n, pos, comp, percent) for a, k in zip(begin[~short], size[~short])]
+        for pairs in found:
+            for x, y in pairs:
+                cols = [np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y]), missing(n[x], n[y], percent)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-
-        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            token, fp, n, pos, comp = (table[c].to_numpy().astype(np.int64) for c in ("token", "fp", "n", "pos", "comp"))
-            cuts = np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                for x, y in search(fp[a:b], n[a:b], pos[a:b], comp[a:b]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
-
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, table]) if held is not None else table
@@ -199,14 +244,40 @@ def _search_lists(percent: int):
     return run
 
 
-def _make_sets(k: int):
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the bitmap from slots dealt by block."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        slot = batch["slot"].to_numpy()
+        for block in np.unique(slot // _COUNTER_BLOCK):
+            own = total.setdefault(int(block), np.zeros(_COUNTER_BLOCK, bool))
+            own[slot[slot // _COUNTER_BLOCK == block] % _COUNTER_BLOCK] = True
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.packbits(x).tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(fp, members) of the sets that the candidate pairs name."""
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    named = classes.filter("fp is not null").join(wanted, "fp").groupBy("fp").agg(F.min(F.struct("k", "t")).alias("rep"))
+    named = frames.settled(named.select("fp", "rep.k", "rep.t"), "wanted")
+    slot = F.pmod(F.xxhash64("k", "t"), F.lit(WANTED_BITS))
+    marks = named.select(slot.alias("slot")).repartition(F.floor(F.col("slot") / _COUNTER_BLOCK)).mapInArrow(_mark, "block int, counts binary")
+    bits = np.zeros((WANTED_BITS // _COUNTER_BLOCK, _COUNTER_BLOCK // 8), np.uint8)
+    for r in marks.toLocalIterator():  # fixed size
+        bits[r["block"]] |= np.frombuffer(r["counts"], np.uint8)
+    bitmap = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bits.reshape(-1)).astype(bool))
+    texts = docs.select("k", "t", "text", slot.alias("slot")).mapInArrow(_make_sets(k, bitmap), "k long, t long, members binary")
+    return frames.settled(texts.join(named, ["k", "t"]).select("fp", "members"), "members")
+
+
+def _make_sets(k: int, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch.filter(pa.array(bitmap.value[batch["slot"].to_numpy()]))):
                 row, value, n = shingles(part["text"], k)
                 ends = np.cumsum(n)
                 members = [value[e - m : e].tobytes() for e, m in zip(ends, n)]
-                yield pa.RecordBatch.from_arrays([part["fp"], pa.array(members, pa.binary())], ["fp", "members"])
+                yield pa.RecordBatch.from_arrays([part["k"], part["t"], pa.array(members, pa.binary())], ["k", "t", "members"])
 
     return run
 
@@ -245,6 +316,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "kind").select("hub", "salt", "kind", "fp", "members").mapInArrow(_compare(percent), "a long, b long")
 
 
+def _often(met: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are met in as many lists as they have to be."""
+    return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("least").alias("least")).filter("met >= least").select("a", "b")
+
+
 def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes, labels) of keyed documents: (k, t, doc_id, n_shingles, fp) of each row, and the
     component (fp, label) of each class that has a link to another one."""
@@ -264,22 +340,18 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame
     shared = postings.select("*", F.min("fp").over(own).alias("low"), F.max("fp").over(own).alias("high")).filter("low <> high")
     shared = frames.settled(shared.select("token", "fp", "n", "pos").distinct(), "postings")
 
-    wanted = shared.select("fp").distinct()
-    named = classes.filter("fp is not null").groupBy("fp").agg(F.min(F.struct("k", "t")).alias("rep")).join(wanted, "fp").select("fp", "rep.k", "rep.t")
-    texts = docs.select("k", "t", "text").join(named, ["k", "t"]).select("fp", "text")
-    sets = frames.settled(texts.mapInArrow(_make_sets(k), "fp long, members binary"), "members").dropDuplicates(["fp"])
-
     hub = shared.groupBy("token").agg(F.min(F.struct("fp", "n", "pos")).alias("hub"))
-    near = shared.join(hub, "token").filter("fp <> hub.fp").filter(_reaches(percent)).select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct()
+    near = shared.join(hub, "token").filter("fp <> hub.fp").filter(_reaches(percent))
+    near = _often(near.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"), F.expr(_missing_sql(percent)).cast("long").alias("least")))
     near = frames.settled(near, "pairs")
-    first = frames.settled(_verify(near, sets, percent), "links")
+    first = frames.settled(_verify(near, _sets_of(docs, classes, near, k), percent), "links")
     labels = frames.settled(components(first), "labels")
 
     comp = shared.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "pos", F.coalesce("label", "fp").alias("comp"))
     comp = comp.select("*", F.min("comp").over(own).alias("low"), F.max("comp").over(own).alias("high")).filter("low <> high")
-    rest = comp.select("token", "fp", "n", "pos", "comp").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_search_lists(percent), "a long, b long")
-    rest = frames.settled(rest.distinct().join(near, ["a", "b"], "left_anti"), "pairs")
-    more = _verify(rest, sets, percent)
+    rest = comp.select("token", "fp", "n", "pos", "comp").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_search_lists(percent), "a long, b long, least long")
+    rest = frames.settled(_often(rest).join(near, ["a", "b"], "left_anti"), "pairs")
+    more = _verify(rest, _sets_of(docs, classes, rest, k), percent)
     ties = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = components(ties.unionByName(more))
     return classes, labels.select(F.col("node").alias("fp"), "label")
@@ -311,3 +383,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(frames.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = """
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) end s from words
+), grams as (
+  select doc_id, len(s) n, unnest(s) g from sets
+), links as (
+  select a.doc_id x, b.doc_id y from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach as (
+  select doc_id x, doc_id y from sets union select reach.x, links.y from reach join links on links.x = reach.y
+)
+select sets.doc_id, cast(len(s) as bigint) n_shingles, (select min(y) from reach where reach.x = sets.doc_id) component_id from sets
+"""

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simforge.llm import frames, tokens
+from simforge.llm.words import slices
 
 CAPACITY, END = 1024, 2
 #: Pieces of one length that a task ranks, about.
@@ -42,11 +43,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _cut_pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path).encode
-        for batch in batches:
+        encoder = tokens.encoder(path)
+        for part in (x for batch in batches for x in slices(batch)):
             out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = np.append(encode(text.as_py()), np.uint32(end)).astype("<u4")
+            found, at = encoder.encode(part["text"])
+            for doc_id, a, b in zip(part["doc_id"].to_pylist(), at[:-1], at[1:]):
+                ids = np.append(found[a:b], np.uint32(end)).astype("<u4")
                 out += [(doc_id, i, s, n, zlib.crc32(ids[s : s + n])) for i, (s, n) in enumerate(cut(len(ids), capacity))]
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out) if out else [[]] * 5, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])

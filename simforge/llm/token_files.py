@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simforge.llm import frames, tokens
+from simforge.llm.words import slices
 
 END = 0
 MAGIC = b"SFTOK1"
@@ -111,9 +112,10 @@ def _write(path: str, end: int):
             cols = [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([n], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([write_record(docs, bits)], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["shard", "segment", "n_ids", "doc_ids", "record"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                docs.append(np.append(encoder.encode(text.as_py()), np.uint32(end)))
+        for part in (x for batch in batches for x in slices(batch)):
+            found, at = encoder.encode(part["text"])
+            for doc_id, a, b in zip(part["doc_id"].to_pylist(), at[:-1], at[1:]):
+                docs.append(np.append(found[a:b], np.uint32(end)))
                 doc_ids.append(doc_id)
                 n += len(docs[-1])
                 if n >= SEGMENT_IDS:

@@ -21,7 +21,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES, _OTHER_BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
 _GRAM = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
@@ -43,6 +43,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; ``second`` is another one, independent of the first."""
+    n = len(data)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    step, table = (_GRAM, _OTHER_BYTES) if second else (_STEP, _BYTES)
+    total = np.r_[np.uint64(0), np.cumsum(table[data] * powers(step, n), dtype=np.uint64)]
+    got = (total[end] - total[start]) * powers(pow(step, -1, 1 << 64), n + 1)[start]
+    return mix(got ^ (end - start).astype(np.uint64) * np.uint64(_GRAM))
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with at most ``limit`` bytes of text each (one row at least)."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0)).astype(np.int64)
@@ -53,15 +64,20 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
             yield batch.slice(a, b - a)
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and where each row begins; null is an empty text."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
+    return data, at - at[0]
+
+
 class Words:
     """Words of a string column: ``start``/``end`` into ``data`` and the row ``doc`` of each word."""
 
     def __init__(self, column: pa.Array, lower: bool = False):
-        column = pc.fill_null(column, "").cast(pa.large_string())
-        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        raw = column.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
-        self.at = at - at[0]
+        data, self.at = text_bytes(column)
         self.data = LOWER[data] if lower else data
         inside = np.r_[~SPACE[self.data], False]
         before = np.r_[False, inside[:-1]]
@@ -77,14 +93,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up = powers(_STEP, n + 1)
-        total = np.r_[np.uint64(0), np.cumsum(_BYTES[self.data] * up[:n], dtype=np.uint64)]
-        down = powers(pow(_STEP, -1, 1 << 64), n + 1)
-        got = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(got ^ (self.end - self.start).astype(np.uint64) * np.uint64(_GRAM))
+        return span_hashes(self.data, self.start, self.end)
 
     def grams(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(start word, hash) of each run of k words that lies in one row."""

@@ -6,12 +6,11 @@ Plan shape
   ""), with map-side partial aggregation, so a pair repeated across a third of
   all rows is scored once; results are joined back on the keys (AQE splits a
   skewed key on the large side).
-* The layers are successive projections over that dimension. Inputs of a
-  later layer are nulled for rows an earlier layer already decided, and the
-  Python kernels return null at once for null input, so the costly work of a
-  layer only happens for the rows that reach it — without a union, a persist
-  or a second scan. ``Second_*``/``Third_*`` columns are null when the layer
-  was not reached.
+* The layers are successive projections over that dimension. The raw names
+  are nulled before a later layer for rows an earlier layer already decided,
+  so neither its normalisation nor its kernel (one Arrow round trip a layer)
+  does work for them — without a union, a persist or a second scan.
+  ``Second_*``/``Third_*`` columns are null when the layer was not reached.
 * Per-layer frames, combined positives and metrics are filters / one
   aggregation over the single scored frame.
 """
@@ -42,7 +41,7 @@ API_COLUMNS = ["First_Layer_Pass", "Second_Layer_Score", "Second_Layer_Pass",
 # ---------------------------------------------------------------------------
 
 def trigram_embedding(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Default stand-in for the sentence-embedding similarity (documented, not the model)."""
+    """Stand-in for the sentence-embedding similarity; not the model's score, so callers name it."""
     return df.withColumn(out, S.trigram_cosine(F.col(a), F.col(b)))
 
 
@@ -57,18 +56,37 @@ def model_embedding(embed_udf) -> EmbeddingFn:
     return run
 
 
-def table_embedding(vectors: DataFrame, key: str = "name", vec: str = "embedding") -> EmbeddingFn:
-    """M9 from a table of precomputed vectors keyed by normalised name (two keyed joins)."""
-    v = vectors.select(F.col(key).alias("_k"), F.col(vec).cast("array<double>").alias("_v"))
+MISSING = ("error", "undecided")
+
+
+def table_embedding(vectors: DataFrame, key: str = "name", vec: str = "embedding",
+                    missing: str = "error") -> EmbeddingFn:
+    """M9 from a table of precomputed vectors keyed by normalised name (two keyed joins).
+
+    Of several vectors of a name the least is used. A name without a vector
+    fails the job (``error``) or leaves layer 2 without a score, so that the
+    pair goes on to layer 3 (``undecided``).
+    """
+    if missing not in MISSING:
+        raise ValueError(f"missing must be one of {MISSING}")
+    v = vectors.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(
+        F.min(F.col(vec).cast("array<double>")).alias("_v"))
 
     def run(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-        va = v.withColumnRenamed("_k", f"_{out}_ka").withColumnRenamed("_v", f"_{out}_va")
-        vb = v.withColumnRenamed("_k", f"_{out}_kb").withColumnRenamed("_v", f"_{out}_vb")
-        df = df.join(va, F.col(a) == F.col(f"_{out}_ka"), "left") \
-               .join(vb, F.col(b) == F.col(f"_{out}_kb"), "left")
-        df = df.withColumn(out, F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(
-            cosine_similarity(F.col(f"_{out}_va"), F.col(f"_{out}_vb"))))
-        return df.drop(f"_{out}_ka", f"_{out}_kb", f"_{out}_va", f"_{out}_vb")
+        others = [c for c, t in df.dtypes if t == "string"]
+        for side, name in (("a", a), ("b", b)):
+            # rows that don't reach the layer have no name: spread them, they match nothing
+            spread = F.concat(F.lit("\x00"), F.xxhash64(*others).cast("string"))
+            df = df.withColumn(f"_{out}_key{side}", F.coalesce(F.col(name), spread))
+            own = v.select(F.col("_k").alias(f"_{out}_k{side}"), F.col("_v").alias(f"_{out}_v{side}"))
+            df = df.join(own, F.col(f"_{out}_key{side}") == F.col(f"_{out}_k{side}"), "left")
+        x, y = F.col(f"_{out}_va"), F.col(f"_{out}_vb")
+        lost = F.col(a).isNotNull() & (F.col(a) != F.col(b)) & (x.isNull() | y.isNull())
+        score = F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(cosine_similarity(x, y))
+        if missing == "error":
+            score = F.when(lost, F.raise_error(F.concat(F.lit("no vector for a name of: "), F.col(a), F.lit(" / "), F.col(b)))
+                           .cast("double")).otherwise(score)
+        return df.withColumn(out, score).drop(*(f"_{out}_{c}{side}" for c in ("key", "k", "v") for side in "ab"))
     return run
 
 
@@ -107,15 +125,15 @@ def with_layer1_api(df: DataFrame, a: str, b: str, mode: str = "aligned") -> Dat
              .drop("_n1a", "_n1b", "_kw", "_quick", "_fa", "_fb", "_fz")
 
 
-def with_layer2(df: DataFrame, a: str, b: str, profile: str = "batch", mode: str = "aligned",
-                embedding: EmbeddingFn | None = None, active: Column | None = None,
+def with_layer2(df: DataFrame, a: str, b: str, embedding: EmbeddingFn, profile: str = "batch",
+                mode: str = "aligned", active: Column | None = None,
                 out: str = "Second_Layer_Score") -> DataFrame:                                 # C3 / M12
     """Weighted score over N2 names; rows with ``active`` false get null."""
     df = _gate(df, a, "_g2a", active)
     df = _gate(df, b, "_g2b", active)
     df = df.withColumn("_n2a", N.n2(F.col("_g2a"), profile)).withColumn("_n2b", N.n2(F.col("_g2b"), profile))
     x, y = F.col("_n2a"), F.col("_n2b")
-    df = (embedding or trigram_embedding)(df, "_n2a", "_n2b", "_emb")
+    df = embedding(df, "_n2a", "_n2b", "_emb")
     df = df.withColumn("_lev", S.levenshtein_similarity(x, y)).withColumn("_jac", S.jaccard_chars(x, y))
     df = S.with_phonetic_similarity(df, "_n2a", "_n2b", "_pho")
     df = with_fuzzy_average(df, "_n2a", "_n2b", "_fuz", mode)
@@ -127,48 +145,52 @@ def with_layer2(df: DataFrame, a: str, b: str, profile: str = "batch", mode: str
 def with_layer3(df: DataFrame, a: str, b: str, profile: str = "batch", mode: str = "aligned",
                 active: Column | None = None, out: str = "Third_Layer_Pass") -> DataFrame:   # C4
     """``M5(N3 names) >= 0.75 and K2(raw names)``; rows with ``active`` false get null."""
-    ra, rb = N.null_to_empty(F.col(a)), N.null_to_empty(F.col(b))
-    df = df.withColumn("_kw3", N.keywords_agree(ra, rb))
-    df = df.withColumn("_n3a", N.n3(ra, profile)).withColumn("_n3b", N.n3(rb, profile))
-    df = _gate(df, "_n3a", "_g3a", active)
-    df = _gate(df, "_n3b", "_g3b", active)
-    df = with_fuzzy_average(df, "_g3a", "_g3b", "_f3", mode)
-    df = df.withColumn(out, F.when(F.col("_g3a").isNotNull(),
-                                   (F.col("_f3") >= K.LAYER3_THRESHOLD) & F.col("_kw3")))
-    return df.drop("_kw3", "_n3a", "_n3b", "_g3a", "_g3b", "_f3")
+    df = df.withColumn("_g3a", N.null_to_empty(F.col(a))).withColumn("_g3b", N.null_to_empty(F.col(b)))
+    if active is not None:
+        df = _gate(_gate(df, "_g3a", "_g3a", active), "_g3b", "_g3b", active)
+    ga, gb = F.col("_g3a"), F.col("_g3b")
+    df = df.withColumn("_n3a", N.n3(ga, profile)).withColumn("_n3b", N.n3(gb, profile))
+    df = with_fuzzy_average(df, "_n3a", "_n3b", "_f3", mode)
+    df = df.withColumn(out, F.when(ga.isNotNull(), (F.col("_f3") >= K.LAYER3_THRESHOLD) & N.keywords_agree(ga, gb)))
+    return df.drop("_g3a", "_g3b", "_n3a", "_n3b", "_f3")
 
 
 # ---------------------------------------------------------------------------
 # cascades
 # ---------------------------------------------------------------------------
 
-def _cascade_batch(df: DataFrame, mode: str, embedding: EmbeddingFn | None) -> DataFrame:
+def _passed(layer: str) -> Column:
+    return F.coalesce(F.col(layer), F.lit(False))
+
+
+def _cascade_batch(df: DataFrame, mode: str, embedding: EmbeddingFn) -> DataFrame:
     df = with_layer1_batch(df, "_a", "_b", mode)
-    df = with_layer2(df, "_a", "_b", "batch", mode, embedding, active=~F.col("First_Layer_Pass"))
+    df = with_layer2(df, "_a", "_b", embedding, "batch", mode, active=~F.col("First_Layer_Pass"))
     df = df.withColumn("Second_Layer_Pass", F.col("Second_Layer_Score") >= K.LAYER2_THRESHOLD)
     df = with_layer3(df, "_a", "_b", "batch", mode,
-                     active=~F.col("First_Layer_Pass") & ~F.col("Second_Layer_Pass"))
+                     active=~F.col("First_Layer_Pass") & ~_passed("Second_Layer_Pass"))
     return df.withColumn("Prediction", F.col("First_Layer_Pass") |
                          F.coalesce(F.col("Second_Layer_Pass"), F.lit(False)) |
                          F.coalesce(F.col("Third_Layer_Pass"), F.lit(False)))
 
 
-def _cascade_api(df: DataFrame, mode: str, embedding: EmbeddingFn | None) -> DataFrame:
+def _cascade_api(df: DataFrame, mode: str, embedding: EmbeddingFn) -> DataFrame:
     df = with_layer1_api(df, "_a", "_b", mode)
     live2 = F.col("First_Layer_Pass") == 0
-    df = with_layer2(df, "_a", "_b", "api", mode, embedding, active=live2)
+    df = with_layer2(df, "_a", "_b", embedding, "api", mode, active=live2)
     df = df.withColumn("Second_Layer_Pass", F.col("Second_Layer_Score") >= K.LAYER2_THRESHOLD)
-    df = with_layer3(df, "_a", "_b", "api", mode, active=live2 & ~F.col("Second_Layer_Pass"))
+    df = with_layer3(df, "_a", "_b", "api", mode, active=live2 & ~_passed("Second_Layer_Pass"))
     pred = (F.col("First_Layer_Pass") == 1) | F.coalesce(F.col("Second_Layer_Pass"), F.lit(False)) | \
         F.coalesce(F.col("Third_Layer_Pass"), F.lit(False))
     return df.withColumn("Prediction", pred.cast("int"))
 
 
-def score_pairs(pairs: DataFrame, profile: str = "batch", partial_mode: str = "aligned",
-                embedding: EmbeddingFn | None = None, dedupe: bool = True,
+def score_pairs(pairs: DataFrame, embedding: EmbeddingFn, profile: str = "batch",
+                partial_mode: str = "aligned", dedupe: bool = True,
                 name1: str = "name1", name2: str = "name2") -> DataFrame:
     """C5 (``batch``) / C6 + C9 (``api``): all input columns + the layer columns.
 
+    ``embedding`` provides M9 (a model, a vector table, or the named stand-in).
     ``dedupe=False`` keeps the plan a pure projection (needed on streams).
     """
     if profile not in N.PROFILES:
@@ -190,7 +212,7 @@ def layer_frames(scored: DataFrame) -> dict[int, DataFrame]:
     reached2 = scored.where(~F.col("First_Layer_Pass"))
     l2 = reached2.select(*base, "First_Layer_Score", "First_Layer_Pass", "Second_Layer_Score",
                          "Second_Layer_Pass", F.col("Second_Layer_Pass").alias("Prediction"))
-    reached3 = reached2.where(~F.col("Second_Layer_Pass"))
+    reached3 = reached2.where(~_passed("Second_Layer_Pass"))
     l3 = reached3.select(*base, "First_Layer_Score", "First_Layer_Pass", "Second_Layer_Score",
                          "Second_Layer_Pass", "Third_Layer_Pass",
                          F.col("Third_Layer_Pass").alias("Prediction"))
@@ -219,9 +241,8 @@ ENRICH_COLUMNS = {
 }
 
 
-def enrich_pairs(data: DataFrame, partial_mode: str = "aligned",
-                 embedding: EmbeddingFn | None = None) -> DataFrame:
+def enrich_pairs(data: DataFrame, embedding: EmbeddingFn, partial_mode: str = "aligned") -> DataFrame:
     """C10 + C11 (D5 re-aimed): every input row plus the api cascade's layer results."""
-    scored = score_pairs(data, "api", partial_mode, embedding)
+    scored = score_pairs(data, embedding, "api", partial_mode)
     out = scored.select(*data.columns, *[F.col(k).alias(v) for k, v in ENRICH_COLUMNS.items()])
     return out.drop("result.name1", "result.name2")

@@ -17,7 +17,8 @@ METRIC_COLUMNS = ["accuracy", "precision", "recall", "f1_score", "roc_auc_score"
 
 def _counts(y: Column, p: Column, where: Column | None, prefix: str = "") -> list[Column]:
     w = F.lit(True) if where is None else where
-    y1, p1 = y.cast("int") == 1, p.cast("int") == 1
+    y1 = y.cast("int") == 1
+    p1 = F.coalesce(p.cast("int") == 1, F.lit(False))  # a layer without a verdict has not passed
     return [
         F.count_if(w & ~y1 & ~p1).alias(prefix + "tn"),
         F.count_if(w & ~y1 & p1).alias(prefix + "fp"),

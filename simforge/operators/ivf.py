@@ -1,11 +1,13 @@
 """IVF index (V4) and approximate search (V5) on Spark.
 
 The index is a table: every vector gets the ``list_id`` of its nearest
-centroid (MLlib k-means with cosine distance); centroids are a small table of
-``num_lists`` rows, bounded by the parameter, not by the data. A search
-probes the ``nprobe`` nearest lists of each query and scores only rows of
-those lists, cell by cell ``(list_id, sub-block)``, with the same kernel as
-the exact search; ``nprobe = num_lists`` therefore equals the exact result.
+centroid (MLlib k-means with cosine distance); centroids are a small table
+bounded by ``MAX_CENTROID_BYTES``, not by the data. Vectors the metric is not
+defined for (null, empty, zero) or whose length differs from the usual one
+are kept in ``ODD_LIST``, which every search scores. A search probes the
+``nprobe`` nearest lists of each query, cell by cell ``(list, sub-block of the
+list, block of queries)``, so neither a long list nor many queries of one list
+fill a task; ``nprobe = num_lists`` equals the exact result.
 """
 
 from __future__ import annotations
@@ -17,34 +19,58 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import stack_vectors
-from .vector_search import _parallelism, cogroup_topk, collapse_copies, final_topk
+from ..functions.vectors import norm, stack_vectors
+from .vector_search import _parallelism, block_rows_for, cogroup_topk, collapse_copies, ranked_topk, shown
 
-MAX_LISTS = 65536
+#: Centroids are sent to every task; more than this is refused.
+MAX_CENTROID_BYTES = 64 << 20
+ODD_LIST = -1
 
 
 @dataclass
 class IvfIndex:
-    assignments: DataFrame      # id, vec, copies, list_id
+    assignments: DataFrame      # id, vec, rowkey, copies, list_id
     centroids: np.ndarray       # num_lists x dim (unit length)
     id_type: T.DataType
 
 
 def build_ivf(df: DataFrame, id_col: str = "uri", vec_col: str = "embedding", num_lists: int = 10,
-              seed: int = 1, max_iter: int = 20) -> IvfIndex:
-    if not 1 <= num_lists <= MAX_LISTS:
-        raise ValueError("num_lists out of range")
-    rows = collapse_copies(df, id_col, vec_col).where(F.size("vec") > 0)
-    feats = rows.withColumn("features", array_to_vector("vec"))
+              seed: int = 1, max_iter: int = 20, max_centroid_bytes: int = MAX_CENTROID_BYTES) -> IvfIndex:
+    rows = collapse_copies(df, id_col, vec_col, null_ids=True)
+    usual = rows.where("size(vec) > 0").groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    width = usual["w"] if usual else 0
+    if num_lists < 1 or 8 * width * num_lists > max_centroid_bytes:
+        raise ValueError(f"{num_lists} lists of {width} components exceed {max_centroid_bytes} bytes")
+    plain = F.coalesce((F.size("vec") == width) & (norm(F.col("vec")) > 0), F.lit(False))
+    odd = rows.where(~plain).withColumn("list_id", F.lit(ODD_LIST))
+    if not width:
+        return IvfIndex(odd, np.zeros((num_lists, 0)), df.schema[id_col].dataType)
+    feats = rows.where(plain).withColumn("features", array_to_vector("vec"))
     model = KMeans(k=num_lists, distanceMeasure="cosine", seed=seed, maxIter=max_iter,
                    featuresCol="features", predictionCol="list_id").fit(feats)
     centers = np.vstack([c / (np.linalg.norm(c) or 1.0) for c in model.clusterCenters()])
-    assigned = model.transform(feats).select("id", "vec", "copies", F.col("list_id").cast("int"))
-    return IvfIndex(assigned, centers, df.schema[id_col].dataType)
+    assigned = model.transform(feats).select("id", "vec", "rowkey", "copies", F.col("list_id").cast("int"))
+    return IvfIndex(assigned.unionByName(odd), centers, df.schema[id_col].dataType)
+
+
+def save_ivf(index: IvfIndex, path: str) -> None:
+    """Write the index: vectors partitioned by list, and the centroids."""
+    index.assignments.write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+    spark = index.assignments.sparkSession
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
+    spark.createDataFrame(rows, "list_id int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def load_ivf(spark: SparkSession, path: str) -> IvfIndex:
+    """Read a written index; searches of it prune to the probed lists' folders."""
+    lists = spark.read.parquet(f"{path}/lists")
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()  # bounded when built
+    centers = np.array([r["centroid"] for r in rows], dtype=np.float64)
+    return IvfIndex(lists.withColumn("list_id", F.col("list_id").cast("int")), centers, lists.schema["id"].dataType)
 
 
 def _probe_udf(centers: np.ndarray, nprobe: int):
@@ -54,26 +80,32 @@ def _probe_udf(centers: np.ndarray, nprobe: int):
         w = min(mat.shape[1], centers.shape[1])
         scores = mat[:, :w] @ centers[:, :w].T
         order = np.argsort(-scores, axis=1, kind="stable")[:, :nprobe].astype(np.int32)
-        return pd.Series(list(order.tolist()))
+        return pd.Series([[ODD_LIST, *x] for x in order.tolist()])
     return probe
 
 
 def ivf_search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 1,
                id_col: str = "uri", vec_col: str = "embedding", exclude_self: bool = False,
-               block_rows: int = 2048) -> DataFrame:
+               block_rows: int | None = None) -> DataFrame:
     """V5: ``query_uri, rank, compared_uri, similarity_percentage`` from the probed lists."""
     num_lists = index.centroids.shape[0]
     nprobe = max(1, min(nprobe, num_lists))
-    q = collapse_copies(queries, id_col, vec_col)
-    n_base = index.assignments.count()
-    subs = max(1, math.ceil(n_base / num_lists / block_rows),
-               math.ceil(2 * _parallelism(queries) / num_lists))
-    probe = _probe_udf(index.centroids, nprobe)
-    qx = (q.withColumn("list_id", F.explode(probe("vec")))
-           .withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1)))))
-    bx = index.assignments.withColumn("sub", F.pmod(F.xxhash64("id", "vec"), F.lit(subs)).cast("int"))
-    cands = cogroup_topk(qx, bx, ["list_id", "sub"], k, exclude_self, index.id_type)
-    return final_topk(cands, k)
+    block_rows = block_rows or block_rows_for(index.centroids.shape[1])
+    q = collapse_copies(queries, id_col, vec_col, null_ids=not exclude_self)
+    base = index.assignments if not exclude_self else index.assignments.where(F.col("id").isNotNull())
+    q_blocks = max(1, math.ceil(queries.count() / block_rows))
+    least = math.ceil(2 * _parallelism(queries) / (num_lists * q_blocks))
+    lists = base.groupBy("list_id").count().select(
+        "list_id", F.greatest(F.ceil(F.col("count") / block_rows), F.lit(least)).cast("int").alias("subs"))
+    qx = (q.withColumn("list_id", F.explode(_probe_udf(index.centroids, nprobe)("vec")))
+           .withColumn("qb", F.pmod(F.xxhash64("id", "vec"), F.lit(q_blocks)).cast("int"))
+           .join(lists, "list_id")
+           .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))))
+    bx = (base.join(lists, "list_id")
+              .withColumn("sub", F.pmod(F.xxhash64("id", "vec"), F.col("subs")).cast("int"))
+              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+    cands = cogroup_topk(qx, bx, ["list_id", "sub", "qb"], k, exclude_self, index.id_type)
+    return shown(ranked_topk(cands, k))
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -5,37 +5,39 @@ Design at scale
 All-pairs similarity is quadratic by nature; what must not happen is an
 n*n row shuffle or one task holding a hot key. Rows are
 
-1. collapsed to distinct ``(id, vector)`` with a copy count (map-side partial
-   aggregation, so a key holding a third of all rows collapses before the
-   shuffle and exact copies are scored once);
+1. collapsed to distinct ``(id, vector, other columns)`` with a copy count
+   (map-side partial aggregation, so a key holding a third of all rows
+   collapses before the shuffle and exact copies are scored once);
 2. spread over ``B`` blocks by a hash of id *and* vector, so a hot id with
-   many distinct vectors is still spread over all blocks;
+   many distinct vectors is still spread over all blocks; a block holds a
+   fixed number of *bytes*, so wide vectors don't overfill a task;
 3. replicated to the ``B`` cells ``(min(b, j), max(b, j))`` of the upper block
    triangle (each unordered block pair is scored once: cosine is symmetric);
 4. scored per cell with one numpy matrix product that emits only a partial
-   top-k per row (never all pairs);
+   top-k per row (never all pairs): n * B * k candidates in all;
 5. reduced to the final top-k per id with ``row_number() <= k``, which
-   Catalyst plans as a partial + final ``WindowGroupLimit`` (at most k rows
-   per id per map partition cross the last shuffle).
+   Catalyst plans as a partial + final ``WindowGroupLimit``.
 
+Ranking uses the unrounded similarity; only the shown columns are rounded.
 Searches (``knn_join``) use the same kernel with the query side replicated
 over base blocks, which is a shuffle of the (small) query set instead of a
-driver-side broadcast.
+driver-side broadcast. For corpora where all pairs are too many, see ``ivf``.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import block_similarity, similarity_percentage, stack_vectors, topk_rows
+from ..functions.vectors import Side, similarity_percentage, topk_rows
 
 PCT_SCALE = 4
+#: Vectors of one side of a cell, in bytes.
+BLOCK_BYTES = 16 << 20
 
 
 def _parallelism(df: DataFrame) -> int:
@@ -45,10 +47,29 @@ def _parallelism(df: DataFrame) -> int:
         return 8
 
 
-def collapse_copies(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    return (df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-              .where(F.col("id").isNotNull())
-              .groupBy("id", "vec").agg(F.count(F.lit(1)).alias("copies")))
+def row_key(df: DataFrame, id_col: str, vec_col: str) -> Column:
+    """Tells rows of one id apart by vector and other columns."""
+    others = [F.col(c) for c in sorted(df.columns) if c not in (id_col, vec_col)]
+    return F.xxhash64(F.col(vec_col).cast("array<double>"), *others)
+
+
+def collapse_copies(df: DataFrame, id_col: str, vec_col: str, null_ids: bool = False) -> DataFrame:
+    """Distinct rows as ``id, vec, rowkey`` with the number of ``copies``."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
+                     row_key(df, id_col, vec_col).alias("rowkey"))
+    if not null_ids:
+        rows = rows.where(F.col("id").isNotNull())
+    return rows.groupBy("id", "vec", "rowkey").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def block_rows_for(width: int, block_bytes: int = BLOCK_BYTES) -> int:
+    return max(256, block_bytes // (8 * max(1, width)))
+
+
+def _size(df: DataFrame, vec_col: str) -> tuple[int, int]:
+    """Rows and widest vector, in one pass."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("w")).first()
+    return r["n"], max(1, r["w"] or 1)
 
 
 def choose_blocks(n_rows: int, parallelism: int, block_rows: int) -> int:
@@ -63,35 +84,49 @@ def _result_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([
         T.StructField("query_uri", id_type),
         T.StructField("compared_uri", id_type),
+        T.StructField("rowkey", T.LongType()),
         T.StructField("similarity_percentage", T.DoubleType()),
         T.StructField("copies", T.LongType()),
     ])
 
 
-def final_topk(cands: DataFrame, k: int) -> DataFrame:
-    """Expand collapsed copies (at most k per candidate) and rank per query."""
+def _empty() -> pd.DataFrame:
+    return pd.DataFrame({"query_uri": [], "compared_uri": [], "rowkey": [],
+                         "similarity_percentage": [], "copies": []})
+
+
+def ranked_topk(cands: DataFrame, k: int) -> DataFrame:
+    """Expand collapsed copies (at most k per candidate) and rank per query, unrounded."""
     expanded = cands.withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k)).cast("long"))))
     w = Window.partitionBy("query_uri").orderBy(
-        F.col("similarity_percentage").desc_nulls_last(), F.col("compared_uri").asc())
+        F.col("similarity_percentage").desc_nulls_last(), F.col("compared_uri").asc(), F.col("rowkey").asc())
     return (expanded.withColumn("rank", F.row_number().over(w))
                     .where(F.col("rank") <= k)
                     .select("query_uri", F.col("rank").cast("long").alias("rank"),
-                            "compared_uri", "similarity_percentage"))
+                            "compared_uri", "rowkey", "similarity_percentage"))
+
+
+def shown(hits: DataFrame) -> DataFrame:
+    """The public columns, with the similarity rounded."""
+    return hits.select("query_uri", "rank", "compared_uri",
+                       F.round("similarity_percentage", PCT_SCALE).alias("similarity_percentage"))
 
 
 def knn_self_join(df: DataFrame, id_col: str = "uri", vec_col: str = "embedding", k: int = 10,
-                  exclude_self: bool = True, block_rows: int = 2048,
-                  num_blocks: int | None = None) -> DataFrame:
+                  exclude_self: bool = True, block_rows: int | None = None,
+                  num_blocks: int | None = None, metric: str = "cosine") -> DataFrame:
     """V9 + J1 + V10 (flat): for every id, its k most similar other rows.
 
     Output ``query_uri, rank, compared_uri, similarity_percentage``; ids without
-    any partner are absent; null similarities rank last; ties by id.
+    any partner are absent; null similarities rank last; ties by id. Without
+    ``num_blocks`` one aggregate over the table sizes the blocks.
     """
     id_type = df.schema[id_col].dataType
-    rows = collapse_copies(df, id_col, vec_col)
+    rows = collapse_copies(df, id_col, vec_col, null_ids=not exclude_self)
     if num_blocks is None:
-        num_blocks = choose_blocks(df.count(), _parallelism(df), block_rows)
+        n, width = _size(df, vec_col)
+        num_blocks = choose_blocks(n, _parallelism(df), block_rows or block_rows_for(width))
     B = int(num_blocks)
     blocked = rows.withColumn("blk", F.pmod(F.xxhash64("id", "vec"), F.lit(B)).cast("int"))
     cells = (blocked
@@ -102,82 +137,56 @@ def knn_self_join(df: DataFrame, id_col: str = "uri", vec_col: str = "embedding"
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(pdf["lo"].iat[0]), int(pdf["hi"].iat[0])
-        left = pdf[pdf["blk"] == lo]
-        right = left if lo == hi else pdf[pdf["blk"] == hi]
-        lm, ln, le = stack_vectors(left["vec"])
-        l_ids = left["id"].to_numpy()
-        l_mult = left["copies"].to_numpy(dtype=np.int64)
-        if lo == hi:
-            rm, rn, re_, r_ids, r_mult = lm, ln, le, l_ids, l_mult
-        else:
-            rm, rn, re_ = stack_vectors(right["vec"])
-            r_ids = right["id"].to_numpy()
-            r_mult = right["copies"].to_numpy(dtype=np.int64)
-        pct = block_similarity(lm, ln, le, rm, rn, re_, PCT_SCALE)
-        parts = [topk_rows(pct, l_ids, r_ids, l_mult, r_mult, k, exclude_self)]
+        left = Side(pdf[pdf["blk"] == lo])
+        right = left if lo == hi else Side(pdf[pdf["blk"] == hi])
+        parts = [topk_rows(left, right, k, exclude_self, metric)]
         if lo != hi:
-            parts.append(topk_rows(pct.T, r_ids, l_ids, r_mult, l_mult, k, exclude_self))
+            parts.append(topk_rows(right, left, k, exclude_self, metric))
         parts = [p for p in parts if p is not None]
-        if not parts:
-            return pd.DataFrame({"query_uri": [], "compared_uri": [],
-                                 "similarity_percentage": [], "copies": []})
-        out = pd.concat(parts, ignore_index=True)
-        return pd.DataFrame({"query_uri": out["qid"], "compared_uri": out["cid"],
-                             "similarity_percentage": out["pct"].astype("float64"),
-                             "copies": out["mult"].astype("int64")})
+        return pd.concat(parts, ignore_index=True) if parts else _empty()
 
     cands = cells.groupBy("lo", "hi").applyInPandas(cell, schema=_result_schema(id_type))
-    return final_topk(cands, k)
+    return shown(ranked_topk(cands, k))
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int = 10, q_id: str = "uri",
              q_vec: str = "embedding", b_id: str = "uri", b_vec: str = "embedding",
-             exclude_self: bool = False, block_rows: int = 2048,
-             query_blocks: int | None = None, base_blocks: int | None = None) -> DataFrame:
-    """J5 / V6 for many queries: every query row x its k nearest base rows.
+             exclude_self: bool = False, block_rows: int | None = None,
+             query_blocks: int | None = None, base_blocks: int | None = None,
+             metric: str = "cosine") -> DataFrame:
+    """J5 / V6 for many queries: every query row x its k nearest base rows, unrounded.
 
     Query and base are split into blocks; each cell (query block, base block)
     is one cogroup task. Queries are replicated once per base block and base
     rows once per query block, so a single query costs no base replication.
     """
     id_type = queries.schema[q_id].dataType
-    q = collapse_copies(queries, q_id, q_vec)
-    b = collapse_copies(base, b_id, b_vec)
-    par = _parallelism(base)
-    if query_blocks is None:
-        query_blocks = max(1, math.ceil(queries.count() / block_rows))
-    if base_blocks is None:
-        base_blocks = max(2 * par // query_blocks, math.ceil(base.count() / block_rows), 1)
+    q = collapse_copies(queries, q_id, q_vec, null_ids=not exclude_self)
+    b = collapse_copies(base, b_id, b_vec, null_ids=not exclude_self)
+    if base_blocks is None or query_blocks is None:
+        n, width = _size(base, b_vec)
+        per_block = block_rows or block_rows_for(width)
+        query_blocks = query_blocks or max(1, math.ceil(queries.count() / per_block))
+        base_blocks = base_blocks or max(2 * _parallelism(base) // query_blocks, math.ceil(n / per_block), 1)
     QB, BB = int(query_blocks), int(base_blocks)
     qx = (q.withColumn("qb", F.pmod(F.xxhash64("id", "vec"), F.lit(QB)).cast("int"))
            .withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(BB - 1)))))
     bx = (b.withColumn("bb", F.pmod(F.xxhash64("id", "vec"), F.lit(BB)).cast("int"))
            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)))))
-    return final_topk(cogroup_topk(qx, bx, ["qb", "bb"], k, exclude_self, id_type), k)
+    return ranked_topk(cogroup_topk(qx, bx, ["qb", "bb"], k, exclude_self, id_type, metric), k)
 
 
 def cogroup_topk(qx: DataFrame, bx: DataFrame, keys: list[str], k: int, exclude_self: bool,
-                 id_type: T.DataType) -> DataFrame:
-    """Partial top-k candidates per cell; both sides hold ``id, vec, copies`` + ``keys``."""
+                 id_type: T.DataType, metric: str = "cosine") -> DataFrame:
+    """Partial top-k candidates per cell; both sides hold ``id, vec, rowkey, copies`` + ``keys``."""
 
     def cell(qp: pd.DataFrame, bp: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_uri": [], "compared_uri": [],
-                              "similarity_percentage": [], "copies": []})
         if qp.empty or bp.empty:
-            return empty
-        lm, ln, le = stack_vectors(qp["vec"])
-        rm, rn, re_ = stack_vectors(bp["vec"])
-        pct = block_similarity(lm, ln, le, rm, rn, re_, PCT_SCALE)
-        out = topk_rows(pct, qp["id"].to_numpy(), bp["id"].to_numpy(),
-                        qp["copies"].to_numpy(dtype=np.int64),
-                        bp["copies"].to_numpy(dtype=np.int64), k, exclude_self)
-        if out is None:
-            return empty
-        return pd.DataFrame({"query_uri": out["qid"], "compared_uri": out["cid"],
-                             "similarity_percentage": out["pct"].astype("float64"),
-                             "copies": out["mult"].astype("int64")})
-
-    cols = ["id", "vec", "copies", *keys]
+            return _empty()
+        found = topk_rows(Side(qp), Side(bp), k, exclude_self, metric)
+        return _empty() if found is None else found
+
+    cols = ["id", "vec", "rowkey", "copies", *keys]
     return (qx.select(*cols).groupBy(*keys).cogroup(bx.select(*cols).groupBy(*keys))
               .applyInPandas(cell, schema=_result_schema(id_type)))
 
@@ -198,7 +207,7 @@ def neighbours_nested(flat: DataFrame) -> DataFrame:
 
 
 def search_by_id(base: DataFrame, query_uri, k: int = 10, id_col: str = "uri",
-                 vec_col: str = "embedding", exclude_self: bool = False) -> DataFrame:
+                 vec_col: str = "embedding", exclude_self: bool = False, metric: str = "cosine") -> DataFrame:
     """V6 + V8 for one query given by id (K7 point lookup; D14: unknown id -> empty).
 
     The query vector is looked up with a pushed-down point filter and joined
@@ -206,22 +215,27 @@ def search_by_id(base: DataFrame, query_uri, k: int = 10, id_col: str = "uri",
     """
     queries = base.where(F.col(id_col) == F.lit(query_uri))
     return search(base, queries, k=k, id_col=id_col, vec_col=vec_col, exclude_self=exclude_self,
-                  query_blocks=1)
+                  query_blocks=1, metric=metric)
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "uri",
            vec_col: str = "embedding", exclude_self: bool = False,
-           query_blocks: int | None = None) -> DataFrame:
-    """V6/V8: ``query_uri, rank, uri, distance, similarity_percentage`` + base columns."""
+           query_blocks: int | None = None, metric: str = "cosine") -> DataFrame:
+    """V6/V8: ``query_uri, rank, uri, distance, similarity_percentage`` + base columns.
+
+    Hits carry the key of the base row itself, so rows that share an id keep
+    their own columns.
+    """
     hits = knn_join(queries, base, k=k, q_id=id_col, q_vec=vec_col, b_id=id_col, b_vec=vec_col,
-                    exclude_self=exclude_self, query_blocks=query_blocks)
+                    exclude_self=exclude_self, query_blocks=query_blocks, metric=metric)
     others = [c for c in base.columns if c not in (id_col, vec_col)]
-    base_cols = base.select(F.col(id_col).alias("compared_uri"), *others).dropDuplicates(["compared_uri"])
-    out = hits.join(base_cols, "compared_uri", "left") if others else hits
-    return out.select(
+    if others:
+        own = base.select(F.col(id_col).alias("_uri"), row_key(base, id_col, vec_col).alias("_key"), *others).distinct()
+        hits = hits.join(own, hits["compared_uri"].eqNullSafe(own["_uri"]) & (hits["rowkey"] == own["_key"]), "left")
+    return hits.select(
         "query_uri", "rank", F.col("compared_uri").alias(id_col),
         F.round(F.lit(1.0) - F.col("similarity_percentage") / 100.0, 6).alias("distance"),
-        "similarity_percentage", *others)
+        F.round("similarity_percentage", PCT_SCALE).alias("similarity_percentage"), *others)
 
 
 def search_single_native(base: DataFrame, query_vector: list[float], k: int = 10,
@@ -232,10 +246,10 @@ def search_single_native(base: DataFrame, query_vector: list[float], k: int = 10
     keeps its k best rows, so only k rows per partition are exchanged.
     """
     qv = F.array(*[F.lit(float(x)) for x in query_vector]).cast("array<double>")
-    scored = base.select(F.col(id_col), similarity_percentage(qv, F.col(vec_col).cast("array<double>"),
-                                                             PCT_SCALE).alias("similarity_percentage"))
-    return (scored.orderBy(F.col("similarity_percentage").desc_nulls_last(), F.col(id_col).asc())
-                  .limit(k))
+    scored = base.select(F.col(id_col), similarity_percentage(qv, F.col(vec_col).cast("array<double>"))
+                         .alias("_similarity"))
+    best = scored.orderBy(F.col("_similarity").desc_nulls_last(), F.col(id_col).asc()).limit(k)
+    return best.select(id_col, F.round("_similarity", PCT_SCALE).alias("similarity_percentage"))
 
 
 def dedupe_by_uri(df: DataFrame, id_col: str = "uri", order_cols=None) -> DataFrame:

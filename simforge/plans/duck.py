@@ -42,7 +42,7 @@ def squeeze_spaces(x: str) -> str:
 
 
 def drop_a_after_consonant(x: str) -> str:
-    return f"regexp_replace({x}, '([{K.CONSONANTS}])a', '\\1', 'g')"
+    return f"regexp_replace({x}, '([{K.CONSONANTS}{K.CONSONANTS.upper()}])a', '\\1', 'g')"
 
 
 def drop_special_chars(x: str) -> str:
@@ -100,8 +100,8 @@ def n3(x: str, profile: str = "batch") -> str:
     return drop_agarwal_variants(x)
 
 
-def has_keyword(x: str) -> str:
-    return f"regexp_matches(lower(coalesce({x}, '')), {q(keyword_pattern())})"
+def has_keyword(x: str, fixed_keywords: bool = False) -> str:
+    return f"regexp_matches(lower(coalesce({x}, '')), {q(keyword_pattern(fixed_keywords))})"
 
 
 def token_subset(a: str, b: str) -> str:

@@ -16,12 +16,13 @@ from ..functions import normalize as N
 from ..functions import similarity as S
 from ..operators import cascade as C
 from ..operators import evaluate as E
-from ..session import materialize
 from ..sources.tables import PAIRS_SQL, name_pairs, table
 from . import duck as D
 from .catalog import register
 
 MODE = "full"
+#: M9 of the fixture queries; the library takes a model or a vector table instead.
+STAND_IN = C.trigram_embedding
 
 
 def _r6(c):
@@ -58,9 +59,10 @@ with pairs as ({PAIRS_SQL}),
 names as (
   select name1 as name from pairs union select name2 from pairs
   union select c_name from customer union select s_name from supplier union select n_name from nation
+  union select upper(substr(p_name, 1, 1)) || substr(p_name, 2) from part
 )
 select name, {", ".join(f"{sql('name')} as {col}" for col, _, sql in _STEPS)},
-       {D.has_keyword('name')} as k1_has_keyword
+       {D.has_keyword('name')} as k1_has_keyword, {D.has_keyword('name', True)} as k1_has_fixed_keyword
 from names where name is not null
 """
 
@@ -74,17 +76,23 @@ def p1_p15_normalize_names(spark, sf_dir):
              .union(table(spark, sf_dir, "customer").select("c_name"))
              .union(table(spark, sf_dir, "supplier").select("s_name"))
              .union(table(spark, sf_dir, "nation").select("n_name"))
+             .union(table(spark, sf_dir, "part").select(F.concat(F.upper(F.substring("p_name", 1, 1)), F.substr("p_name", F.lit(2)))))
              .where(F.col("name").isNotNull()).distinct())
     n = F.col("name")
     return names.select("name", *[fn(n).alias(col) for col, fn, _ in _STEPS],
-                        N.has_keyword(n).alias("k1_has_keyword"))
+                        N.has_keyword(n).alias("k1_has_keyword"),
+                        N.has_keyword(n, fixed_keywords=True).alias("k1_has_fixed_keyword"))
 
 
 # ---------------------------------------------------------------------------
 # K2-K4 on pairs
 # ---------------------------------------------------------------------------
 
-_BASE = f"pairs as ({PAIRS_SQL}), b0 as (select *, coalesce(name1, '') as a, coalesce(name2, '') as b from pairs)"
+def _base_sql(pairs_sql: str) -> str:
+    return f"pairs as ({pairs_sql}), b0 as (select *, coalesce(name1, '') as a, coalesce(name2, '') as b from pairs)"
+
+
+_BASE = _base_sql(PAIRS_SQL)
 
 K_SQL = f"""
 with {_BASE},
@@ -126,19 +134,15 @@ from b0
 @register("m1_m4_fuzzy_ratios", M1_M4_SQL)
 def m1_m4_fuzzy_ratios(spark, sf_dir):
     """M1-M4 on the raw names (M2 in ``full`` window mode)."""
-    p = _pairs_ab(spark, sf_dir)
-    a, b = F.col("a"), F.col("b")
-    return p.select("pair_id", Z.ratio(a, b).alias("m1_ratio"),
-                    Z.partial_ratio(a, b, MODE).alias("m2_partial_ratio"),
-                    Z.token_sort_ratio(a, b).alias("m3_token_sort_ratio"),
-                    Z.token_set_ratio(a, b).alias("m4_token_set_ratio"))
+    p = Z.with_fuzzy_ratios(_pairs_ab(spark, sf_dir), "a", "b", MODE)
+    return p.select("pair_id", "m1_ratio", "m2_partial_ratio", "m3_token_sort_ratio", "m4_token_set_ratio")
 
 
 @register("m2_partial_ratio_aligned")
 def m2_partial_ratio_aligned(spark, sf_dir):
     """M2 with block-aligned windows (library default; no SQL form)."""
-    p = _pairs_ab(spark, sf_dir)
-    return p.select("pair_id", Z.partial_ratio(F.col("a"), F.col("b"), "aligned").alias("m2_partial_ratio"))
+    p = Z.with_fuzzy_ratios(_pairs_ab(spark, sf_dir), "a", "b", "aligned")
+    return p.select("pair_id", "m2_partial_ratio")
 
 
 M5_SQL = f"""
@@ -208,7 +212,7 @@ select pair_id, round({_l2_sql('n2a', 'n2b')}, 6) as m12_weighted_score from b1
 
 @register("m12_weighted_score", M12_SQL)
 def m12_weighted_score(spark, sf_dir):
-    p = C.with_layer2(_pairs_ab(spark, sf_dir), "a", "b", "batch", MODE, out="sc")
+    p = C.with_layer2(_pairs_ab(spark, sf_dir), "a", "b", STAND_IN, "batch", MODE, out="sc")
     return p.select("pair_id", _r6(F.col("sc")).alias("m12_weighted_score"))
 
 
@@ -230,10 +234,10 @@ def c1_layer1_batch(spark, sf_dir):
 
 def _l1_api_sql(src: str) -> str:
     return f"""
-l1a as (select *, {D.n1('a')} as n1a, {D.n1('b')} as n1b,
+l1a as materialized (select *, {D.n1('a')} as n1a, {D.n1('b')} as n1b,
            ({D.has_keyword('a')} = {D.has_keyword('b')}) as kw from {src}),
-l1b as (select *, ({D.token_subset('n1a', 'n1b')} or {D.permutation_match('n1a', 'n1b')}) as quick from l1a),
-l1c as (select *, (quick or coalesce(case when not quick then {D.fuzzy_average('n1a', 'n1b')}
+l1b as materialized (select *, ({D.token_subset('n1a', 'n1b')} or {D.permutation_match('n1a', 'n1b')}) as quick from l1a),
+l1c as materialized (select *, (quick or coalesce(case when not quick then {D.fuzzy_average('n1a', 'n1b')}
            >= {K.LAYER1_THRESHOLD_API} end, false)) and kw as l1pass from l1b)"""
 
 
@@ -257,16 +261,16 @@ select pair_id, round(sc, 6) as Second_Layer_Score, sc >= {K.LAYER2_THRESHOLD} a
 
 @register("c3_layer2", C3_SQL)
 def c3_layer2(spark, sf_dir):
-    s = C.with_layer2(_pairs_ab(spark, sf_dir), "a", "b", "batch", MODE, out="sc")
+    s = C.with_layer2(_pairs_ab(spark, sf_dir), "a", "b", STAND_IN, "batch", MODE, out="sc")
     return s.select("pair_id", _r6(F.col("sc")).alias("Second_Layer_Score"),
                     (F.col("sc") >= K.LAYER2_THRESHOLD).alias("Second_Layer_Pass"))
 
 
 def _l3_sql(src: str, profile: str, cond: str = "true") -> str:
     return f"""
-l3a as (select *, case when {cond} then {D.n3('a', profile)} end as n3a,
+l3a as materialized (select *, case when {cond} then {D.n3('a', profile)} end as n3a,
            case when {cond} then {D.n3('b', profile)} end as n3b from {src}),
-l3b as (select *, case when n3a is not null then {D.fuzzy_average('n3a', 'n3b')} >= {K.LAYER3_THRESHOLD}
+l3b as materialized (select *, case when n3a is not null then {D.fuzzy_average('n3a', 'n3b')} >= {K.LAYER3_THRESHOLD}
            and ({D.has_keyword('a')} = {D.has_keyword('b')}) end as l3pass from l3a)"""
 
 
@@ -288,12 +292,12 @@ def c4_layer3(spark, sf_dir):
 
 def _batch_cascade_sql() -> str:
     return f"""{_BASE},
-c1 as (select *, {D.fuzzy_average('a', 'b')} as s1 from b0),
-c2 as (select *, case when s1 < {K.LAYER1_THRESHOLD_BATCH} then {D.n2('a')} end as n2a,
+c1 as materialized (select *, {D.fuzzy_average('a', 'b')} as s1 from b0),
+c2 as materialized (select *, case when s1 < {K.LAYER1_THRESHOLD_BATCH} then {D.n2('a')} end as n2a,
                  case when s1 < {K.LAYER1_THRESHOLD_BATCH} then {D.n2('b')} end as n2b from c1),
-c3 as (select *, case when n2a is not null then {_l2_sql('n2a', 'n2b')} end as s2 from c2),
+c3 as materialized (select *, case when n2a is not null then {_l2_sql('n2a', 'n2b')} end as s2 from c2),
 {_l3_sql('c3', 'batch', f's1 < {K.LAYER1_THRESHOLD_BATCH} and s2 < {K.LAYER2_THRESHOLD}')},
-scored as (
+scored as materialized (
   select pair_id, name1, name2, labels, round(s1, 6) as First_Layer_Score,
          s1 >= {K.LAYER1_THRESHOLD_BATCH} as First_Layer_Pass,
          round(s2, 6) as Second_Layer_Score, s2 >= {K.LAYER2_THRESHOLD} as Second_Layer_Pass,
@@ -307,7 +311,7 @@ C5_SQL = f"with {_batch_cascade_sql()} select * from scored"
 
 
 def _scored_batch(spark, sf_dir, mode=MODE):
-    s = C.score_pairs(name_pairs(spark, sf_dir), "batch", mode)
+    s = C.score_pairs(name_pairs(spark, sf_dir), STAND_IN, "batch", mode)
     return s.withColumn("First_Layer_Score", _r6(F.col("First_Layer_Score"))) \
             .withColumn("Second_Layer_Score", _r6(F.col("Second_Layer_Score")))
 
@@ -324,19 +328,19 @@ def c5_batch_cascade_aligned(spark, sf_dir):
     return _scored_batch(spark, sf_dir, "aligned")
 
 
-def _api_cascade_sql(select: str) -> str:
+def api_cascade_sql(select: str, pairs_sql: str = PAIRS_SQL) -> str:
     return f"""
-with {_BASE}, {_l1_api_sql('b0')},
-c2 as (select *, case when not l1pass then {D.n2('a', 'api')} end as n2a,
+with {_base_sql(pairs_sql)}, {_l1_api_sql('b0')},
+c2 as materialized (select *, case when not l1pass then {D.n2('a', 'api')} end as n2a,
                  case when not l1pass then {D.n2('b', 'api')} end as n2b from l1c),
-c3 as (select *, case when n2a is not null then {_l2_sql('n2a', 'n2b')} end as s2 from c2),
+c3 as materialized (select *, case when n2a is not null then {_l2_sql('n2a', 'n2b')} end as s2 from c2),
 {_l3_sql('c3', 'api', f'not l1pass and s2 < {K.LAYER2_THRESHOLD}')}
 {select}
 from l3b
 """
 
 
-C6_SQL = _api_cascade_sql(f"""select pair_id, name1, name2, labels, l1pass::INTEGER as First_Layer_Pass,
+C6_SQL = api_cascade_sql(f"""select pair_id, name1, name2, labels, l1pass::INTEGER as First_Layer_Pass,
        round(s2, 6) as Second_Layer_Score, s2 >= {K.LAYER2_THRESHOLD} as Second_Layer_Pass,
        l3pass as Third_Layer_Pass,
        (l1pass or coalesce(s2 >= {K.LAYER2_THRESHOLD}, false) or coalesce(l3pass, false))::INTEGER
@@ -346,7 +350,7 @@ C6_SQL = _api_cascade_sql(f"""select pair_id, name1, name2, labels, l1pass::INTE
 @register("c6_api_cascade", C6_SQL)
 def c6_api_cascade(spark, sf_dir):
     """The per-request cascade, run as one batch job."""
-    s = C.score_pairs(name_pairs(spark, sf_dir), "api", MODE)
+    s = C.score_pairs(name_pairs(spark, sf_dir), STAND_IN, "api", MODE)
     return s.withColumn("Second_Layer_Score", _r6(F.col("Second_Layer_Score")))
 
 
@@ -366,7 +370,7 @@ def c8_final_prediction(spark, sf_dir):
     return C.final_prediction(_scored_batch(spark, sf_dir))
 
 
-C10_SQL = _api_cascade_sql(f"""select pair_id, name1, name2, labels,
+C10_SQL = api_cascade_sql(f"""select pair_id, name1, name2, labels,
        l1pass::INTEGER as "results.first_layer_pass",
        round(s2, 6) as "results.second_layer_score",
        s2 >= {K.LAYER2_THRESHOLD} as "results.second_layer_pass",
@@ -376,7 +380,7 @@ C10_SQL = _api_cascade_sql(f"""select pair_id, name1, name2, labels,
 @register("c10_enrich_pairs", C10_SQL)
 def c10_enrich_pairs(spark, sf_dir):
     """C10 + C11: every input row with the api cascade's four result columns."""
-    e = C.enrich_pairs(name_pairs(spark, sf_dir), MODE)
+    e = C.enrich_pairs(name_pairs(spark, sf_dir), STAND_IN, MODE)
     return e.withColumn("results.second_layer_score", _r6(F.col("`results.second_layer_score`")))
 
 
@@ -423,7 +427,7 @@ with {_batch_cascade_sql()},
 @register("e7_metrics_per_layer", E7_SQL)
 def e7_metrics_per_layer(spark, sf_dir):
     """E1-E7 per layer of the batch cascade, from one aggregation pass."""
-    return E.layer_metrics(materialize(_scored_batch(spark, sf_dir)), "labels")
+    return E.layer_metrics(_scored_batch(spark, sf_dir), "labels")
 
 
 E1_E6_SQL = f"""
@@ -445,3 +449,42 @@ E8_SQL = f"with pairs as ({PAIRS_SQL}) select name1, name2, labels / 5.0::DOUBLE
 @register("e8_label_scaling", E8_SQL)
 def e8_label_scaling(spark, sf_dir):
     return E.scale_labels(name_pairs(spark, sf_dir))
+
+
+E1_SQL = f"""
+with counts as (select {_counts_sql('quality', 'toxic')} from labels)
+select [[tn, fp], [fn, tp]] as confusion_matrix from counts
+"""
+
+
+@register("e1_confusion_matrix_nested", E1_SQL)
+def e1_confusion_matrix_nested(spark, sf_dir):
+    """E1 in the nested shape ``[[TN, FP], [FN, TP]]``."""
+    counts = E.binary_metrics(table(spark, sf_dir, "labels"), "quality", "toxic")
+    return E.confusion_matrix(counts).select("confusion_matrix")
+
+
+# ---------------------------------------------------------------------------
+# M9 from a vector table: a name's vector is picked by its length and first letter
+# ---------------------------------------------------------------------------
+
+_PICK = "cast(length({n}) * 7 + case when {n} = '' then 0 else ascii({n}) end as bigint) % 100"
+
+M9_SQL = f"""
+with {_BASE}, {_N2}, v as (select vec_id, embedding::DOUBLE[] as v from embeddings),
+named as (select b1.pair_id, n2a, n2b, x.v as va, y.v as vb from b1
+  join v x on x.vec_id = {_PICK.format(n='n2a')} join v y on y.vec_id = {_PICK.format(n='n2b')})
+select pair_id, round(case when n2a = n2b then 1.0 else list_cosine_similarity(va, vb) end, 6) as m9_embedding from named
+"""
+
+
+@register("m9_embedding_similarity", M9_SQL)
+def m9_embedding_similarity(spark, sf_dir):
+    """M9 from a table of vectors keyed by normalised name (stand-in vectors of ``embeddings``)."""
+    p = _pairs_ab(spark, sf_dir)
+    p = p.select("pair_id", N.n2(F.col("a")).alias("n2a"), N.n2(F.col("b")).alias("n2b"))
+    names = p.select(F.col("n2a").alias("name")).union(p.select("n2b")).distinct()
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    keyed = names.withColumn("vec_id", F.expr(_PICK.format(n="name"))).join(vectors, "vec_id").select("name", "embedding")
+    q = C.table_embedding(keyed)(p, "n2a", "n2b", "m9")
+    return q.select("pair_id", _r6(F.col("m9")).alias("m9_embedding"))

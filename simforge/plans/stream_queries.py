@@ -1 +1,32 @@
 """Registered streaming queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import cascade as C
+from ..session import shared_folder
+from ..sources.tables import STREAM_PAIRS_SQL, stream_pairs, table
+from ..streaming.scoring import score_stream, write_scores
+from .catalog import register
+from .name_queries import MODE, STAND_IN, api_cascade_sql
+
+C9_SQL = api_cascade_sql("""select pair_id, l1pass::INTEGER as First_Layer_Pass,
+       round(s2, 6) as Second_Layer_Score, s2 >= {threshold} as Second_Layer_Pass, l3pass as Third_Layer_Pass,
+       (l1pass or coalesce(s2 >= {threshold}, false) or coalesce(l3pass, false))::INTEGER as Prediction"""
+                         .format(threshold=C.K.LAYER2_THRESHOLD), STREAM_PAIRS_SQL)
+
+
+@register("c9_stream_scoring", C9_SQL)
+def c9_stream_scoring(spark, sf_dir):
+    """Pairs made of each streamed part row, scored and written by an availableNow stream."""
+    source = f"{sf_dir.rstrip('/')}/part.parquet"
+    rows = spark.readStream.schema(table(spark, sf_dir, "part").schema).parquet(source)
+    scored = score_stream(stream_pairs(rows), STAND_IN, MODE)
+    folder = f"{shared_folder(spark)}/simforge/stream-{uuid.uuid4().hex}"
+    write_scores(scored, f"{folder}/scores", f"{folder}/checkpoint").awaitTermination()
+    out = spark.read.schema(scored.schema).parquet(f"{folder}/scores")
+    return out.select("pair_id", "First_Layer_Pass", F.round("Second_Layer_Score", 6).alias("Second_Layer_Score"),
+                      "Second_Layer_Pass", "Third_Layer_Pass", "Prediction")

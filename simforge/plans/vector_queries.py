@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_similarity
-from ..operators import ivf, vector_search as vs
+from ..functions.embed import char_count_model, embed
+from ..operators import ivf, review as R, vector_search as vs
 from ..sources import io as sio
-from ..sources.tables import embeddings, table
+from ..sources.tables import ODD_SQL, embeddings, odd_embeddings, table
 from .catalog import register
 
 # DuckDB side: vectors as DOUBLE[], norms over the full vector, dot over the
-# common prefix, safe division, percent rounded to 4 places.
+# common prefix, safe division; ranked unrounded, shown with 4 places.
 _E = "e as (select vec_id as uri, embedding::DOUBLE[] as v, label from embeddings where vec_id is not null)"
+_ODD = f"e as (select uri, embedding as v, label from ({ODD_SQL}))"
 _EN = ("en as (select uri, v, label, sqrt(list_sum(list_transform(v, lambda x: x * x))) as nv, "
        "len(v) as lv from e)")
 
@@ -20,12 +22,13 @@ _EN = ("en as (select uri, v, label, sqrt(list_sum(list_transform(v, lambda x: x
 def _pct_sql(q: str, b: str) -> str:
     dot = (f"list_sum(list_transform(range(1, least({q}.lv, {b}.lv) + 1), "
            f"lambda i: {q}.v[i] * {b}.v[i]))")
-    return (f"round(case when {q}.lv > 0 and {b}.lv > 0 and {q}.nv * {b}.nv <> 0 "
-            f"then {dot} / ({q}.nv * {b}.nv) * 100 end, 4)")
+    return (f"(case when {q}.lv > 0 and {b}.lv > 0 and {q}.nv * {b}.nv <> 0 "
+            f"then {dot} / ({q}.nv * {b}.nv) * 100 end)")
 
 
-V10_SQL = f"""
-with {_E}, {_EN},
+def _all_pairs_sql(select: str, source: str = _E) -> str:
+    return f"""
+with {source}, {_EN},
 comparison as (
   select q.uri as query_uri, b.uri as compared_uri, {_pct_sql('q', 'b')} as similarity_percentage
   from en q, en b where q.uri <> b.uri
@@ -35,27 +38,37 @@ ranked as (
            order by similarity_percentage desc nulls last, compared_uri) as rank
   from comparison
 )
-select query_uri, rank::BIGINT as rank, compared_uri, similarity_percentage
-from ranked where rank <= 10
+{select}
 """
 
 
+_FLAT = """select query_uri, rank::BIGINT as rank, compared_uri, round(similarity_percentage, 4) as similarity_percentage
+from ranked where rank <= 10"""
+V10_SQL = _all_pairs_sql(_FLAT)
+V10_NESTED_SQL = _all_pairs_sql("""select query_uri, array_agg({'compared_uri': compared_uri,
+  'similarity_percentage': round(similarity_percentage, 4)} order by rank) as top_10_similar
+from ranked where rank <= 10 group by query_uri""")
+
+
 @register("v10_all_pairs_top10", V10_SQL)
 def v10_all_pairs_top10(spark, sf_dir):
     """V9 + V10 + J1 + J2 + K9: exact all-pairs cosine, top 10 per query (flat)."""
     return vs.knn_self_join(embeddings(spark, sf_dir), "uri", "embedding", k=10)
 
 
-@register("v10_all_pairs_top10_nested")
+@register("v10_all_pairs_top10_nested", V10_NESTED_SQL)
 def v10_all_pairs_top10_nested(spark, sf_dir):
     """V10 / O1 in the reference's nested shape (array of structs per query)."""
     return vs.neighbours_nested(v10_all_pairs_top10(spark, sf_dir))
 
 
-def _search_sql(k: int, select: str) -> str:
+_FIRST = "uri = (select min(uri) from en)"
+
+
+def _search_sql(k: int, select: str, query: str = _FIRST, source: str = _E) -> str:
     return f"""
-with {_E}, {_EN},
-q as (select * from en where uri = (select min(uri) from en)),
+with {source}, {_EN},
+q as (select * from en where {query}),
 hits as (
   select q.uri as query_uri, b.uri as uri, b.label as label, {_pct_sql('q', 'b')} as similarity_percentage
   from q, en b
@@ -71,7 +84,7 @@ from ranked where rank <= {k}
 
 V6_SQL = _search_sql(10, "select query_uri, rank::BIGINT as rank, uri, "
                          "round(1.0 - similarity_percentage / 100.0, 6) as distance, "
-                         "similarity_percentage, label")
+                         "round(similarity_percentage, 4) as similarity_percentage, label")
 V7_SQL = _search_sql(12, "select count(*) as similar_images_count")
 
 
@@ -96,7 +109,7 @@ def v7_vector_search_count_k12(spark, sf_dir):
         F.count(F.lit(1)).alias("similar_images_count"))
 
 
-V8_SQL = _search_sql(10, "select uri, similarity_percentage")
+V8_SQL = _search_sql(10, "select uri, round(similarity_percentage, 4) as similarity_percentage")
 
 
 @register("v8_search_native_single", V8_SQL)
@@ -124,24 +137,50 @@ def v3_dedupe_embeddings(spark, sf_dir):
                     F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("elem_sum"))
 
 
-V2_SQL = "select vec_id as uri, label from embeddings order by vec_id limit 5000"
+# The reference's cap of 5000 rows cuts nothing at the small scales, so a cap of 100 is checked too.
+def _limit_sql(n: int) -> str:
+    return f"select vec_id as uri, label from embeddings order by vec_id limit {n}"
 
 
-@register("v2_limit_before_inference", V2_SQL)
+@register("v2_limit_before_inference", _limit_sql(5000))
 def v2_limit_before_inference(spark, sf_dir):
     """V2 / O3: LIMIT 5000 before embedding generation, made deterministic."""
     return vs.limit_rows(embeddings(spark, sf_dir), 5000, "uri").select("uri", "label")
 
 
-@register("k8_empty_embeddings", "select vec_id as uri, label from embeddings where len(embedding) = 0")
+@register("v2_limit_100", _limit_sql(100))
+def v2_limit_100(spark, sf_dir):
+    """V2 / O3 with a cap that cuts."""
+    return vs.limit_rows(embeddings(spark, sf_dir), 100, "uri").select("uri", "label")
+
+
+@register("k8_empty_embeddings", f"select uri, label from ({ODD_SQL}) where len(embedding) = 0")
 def k8_empty_embeddings(spark, sf_dir):
-    return vs.empty_embeddings(embeddings(spark, sf_dir)).select("uri", "label")
+    """K8 on a frame with empty, null, zero and short vectors."""
+    return vs.empty_embeddings(odd_embeddings(spark, sf_dir)).select("uri", "label")
 
 
 @register("k8_delete_empty_embeddings",
-          "select vec_id as uri, label from embeddings where not coalesce(len(embedding) = 0, false)")
+          f"select uri, label from ({ODD_SQL}) where not coalesce(len(embedding) = 0, false)")
 def k8_delete_empty_embeddings(spark, sf_dir):
-    return vs.drop_empty_embeddings(embeddings(spark, sf_dir)).select("uri", "label")
+    return vs.drop_empty_embeddings(odd_embeddings(spark, sf_dir)).select("uri", "label")
+
+
+@register("v9_all_pairs_odd_vectors", _all_pairs_sql(_FLAT, _ODD))
+def v9_all_pairs_odd_vectors(spark, sf_dir):
+    """V9 + J2 with empty, null, zero and short vectors: undefined similarities rank last."""
+    return vs.knn_self_join(odd_embeddings(spark, sf_dir), "uri", "embedding", k=10)
+
+
+K7_SQL = _search_sql(10, "select query_uri, rank::BIGINT as rank, uri, "
+                         "round(1.0 - similarity_percentage / 100.0, 6) as distance, "
+                         "round(similarity_percentage, 4) as similarity_percentage, label", "uri = 42")
+
+
+@register("k7_search_by_id", K7_SQL)
+def k7_search_by_id(spark, sf_dir):
+    """K7: the query is looked up by id; an unknown id finds nothing."""
+    return vs.search_by_id(embeddings(spark, sf_dir), 42, k=10)
 
 
 @register("s8_row_count", "select count(*) as total_rows from embeddings")
@@ -163,8 +202,7 @@ def m11_cosine_similarity(spark, sf_dir):
     a = e.select(F.col("uri"), F.col("embedding").alias("va"))
     b = e.select(F.col("uri").alias("next_uri"), F.col("embedding").alias("vb"))
     j = a.join(b, b["next_uri"] == a["uri"] + 1)
-    pct = F.round(cosine_similarity(F.col("va"), F.col("vb")) * 100.0, 4)
-    return j.select("uri", "next_uri", F.round(pct / 100.0, 6).alias("cosine"))
+    return j.select("uri", "next_uri", F.round(cosine_similarity(F.col("va"), F.col("vb")), 6).alias("cosine"))
 
 
 M10_SQL = """
@@ -184,11 +222,25 @@ def m10_mean_pooling(spark, sf_dir):
              .agg(F.round(F.avg("x"), 6).alias("mean_value")))
 
 
-@register("v4_ivf_build")
+def _index(spark, sf_dir):
+    return ivf.build_ivf(odd_embeddings(spark, sf_dir), num_lists=10, seed=7)
+
+
+@register("v4_ivf_build", "select count(*) as n_vectors, count(*) as n_distinct, 10 as n_lists from embeddings")
 def v4_ivf_build(spark, sf_dir):
-    """V4: IVF lists (cosine k-means, 10 lists); list sizes."""
-    index = ivf.build_ivf(embeddings(spark, sf_dir), num_lists=10, seed=7)
-    return index.assignments.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_vectors"))
+    """V4: the contract of the index: every vector is in exactly one list."""
+    a = _index(spark, sf_dir).assignments
+    return a.agg(F.sum("copies").alias("n_vectors"), F.count_distinct("id").alias("n_distinct"),
+                 F.count_distinct(F.when(F.col("list_id") != ivf.ODD_LIST, F.col("list_id"))).cast("int").alias("n_lists"))
+
+
+V5_FULL_SQL = _all_pairs_sql(_FLAT, _ODD).replace("where q.uri <> b.uri", "")
+
+
+@register("v5_ivf_search_full_probe", V5_FULL_SQL)
+def v5_ivf_search_full_probe(spark, sf_dir):
+    """V5 with all lists probed: equal to the exact search, odd vectors included."""
+    return ivf.ivf_search(_index(spark, sf_dir), odd_embeddings(spark, sf_dir), k=10, nprobe=10)
 
 
 @register("v5_ivf_search")
@@ -199,7 +251,112 @@ def v5_ivf_search(spark, sf_dir):
     return ivf.ivf_search(index, e, k=10, nprobe=3)
 
 
-@register("s5_object_table_scan")
+@register("v5_ivf_recall", "select true as above_half")
+def v5_ivf_recall(spark, sf_dir):
+    """V5: recall@10 of probing 3 of 10 lists against the exact search."""
+    e = embeddings(spark, sf_dir)
+    found = ivf.recall_at_k(v5_ivf_search(spark, sf_dir), vs.shown(vs.knn_join(e, e, k=10)))
+    return found.select((F.col("recall") > 0.5).alias("above_half"))
+
+
+@register("s5_object_table_scan", "select url as uri, 'text/html' as content_type, length(html)::BIGINT as size from pages")
 def s5_object_table_scan(spark, sf_dir):
-    """Object table (file metadata only; content pruned) over the data folder."""
-    return sio.object_table(spark, sf_dir, "*.parquet")
+    """Object metadata of the pages, bodies not returned."""
+    return sio.page_objects(table(spark, sf_dir, "pages"))
+
+
+V1_SQL = """
+select page_id, list_transform(range(16), lambda d: len(list_filter(string_split(coalesce(url, ''), ''),
+  lambda c: c <> '' and unicode(c) % 16 = d))::DOUBLE) as ml_generate_embedding_result
+from pages
+"""
+
+
+@register("v1_generate_embeddings", V1_SQL)
+def v1_generate_embeddings(spark, sf_dir):
+    """V1: embeddings by a user's model factory (here: character counts), dimension checked."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return embed(pages, "url", char_count_model(16), 16).select("page_id", "ml_generate_embedding_result")
+
+
+# ---------------------------------------------------------------------------
+# review table: all-pairs neighbours as file names, corrected by reviewers
+# ---------------------------------------------------------------------------
+
+BASE_URL = "https://storage.example/images"
+
+_REVIEWS = _all_pairs_sql("""select 'img_' || r.query_uri || '.jpg' as query_file_name, 'img_' || r.compared_uri || '.jpg' as similar_file_name,
+  'm' || x.label as merchant_id_x, 'm' || y.label as merchant_id_y, 'similar' as labels, rank::BIGINT as score
+from ranked r join e x on x.uri = r.query_uri join e y on y.uri = r.compared_uri where rank <= 10""")
+
+#: Reviewers correct the pairs of every third image: some twice, some only a label, some to an empty one.
+_CORRECTIONS = """
+select query_file_name, similar_file_name, n as submitted,
+  case when score % 4 = 0 then null when score % 4 = 1 then '' else 'label ' || n end as labels,
+  case when score % 2 = 0 then 'score ' || n end as score
+from reviews, (select unnest([1, 2]) as n) t
+where score % 3 <> 2 and cast(regexp_extract(query_file_name, '[0-9]+') as bigint) % 3 = 0
+"""
+
+
+def _reviews(spark, sf_dir):
+    names = embeddings(spark, sf_dir).select("uri", F.concat(F.lit("m"), F.col("label")).alias("m"))
+    found = v10_all_pairs_top10(spark, sf_dir)
+    named = lambda c: F.concat(F.lit("img_"), F.col(c).cast("string"), F.lit(".jpg"))
+    found = found.join(names.select(F.col("uri").alias("query_uri"), F.col("m").alias("merchant_id_x")), "query_uri")
+    found = found.join(names.select(F.col("uri").alias("compared_uri"), F.col("m").alias("merchant_id_y")), "compared_uri")
+    return found.select(named("query_uri").alias("query_file_name"), named("compared_uri").alias("similar_file_name"),
+                        "merchant_id_x", "merchant_id_y", F.lit("similar").alias("labels"), F.col("rank").alias("score"))
+
+
+def _corrections(reviews):
+    n, score = F.col("n"), F.col("score")
+    image = F.regexp_extract("query_file_name", "[0-9]+", 0).cast("long")
+    rows = reviews.where((score % 3 != 2) & (image % 3 == 0)).withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    label = F.when(score % 4 == 0, F.lit(None).cast("string")).when(score % 4 == 1, F.lit("")).otherwise(F.concat(F.lit("label "), n))
+    return rows.select("query_file_name", "similar_file_name", n.alias("submitted"), label.alias("labels"),
+                       F.when(score % 2 == 0, F.concat(F.lit("score "), n)).alias("score"))
+
+
+R1_SQL = f"""
+with reviews as ({_REVIEWS})
+select *, '{BASE_URL}/' || query_file_name as query_image_url, '{BASE_URL}/' || similar_file_name as similar_image_url from reviews
+"""
+
+
+@register("r1_object_url_columns", R1_SQL)
+def r1_object_url_columns(spark, sf_dir):
+    return R.object_url_columns(_reviews(spark, sf_dir), BASE_URL)
+
+
+@register("r2_default_column", f"with reviews as ({_REVIEWS}) select * exclude (labels), '' as labels from reviews")
+def r2_default_column(spark, sf_dir):
+    return R.with_default_column(R.with_default_column(_reviews(spark, sf_dir).drop("labels")), "score", "unused")
+
+
+R3_SQL = f"""
+with reviews as ({_REVIEWS}), corrections as ({_CORRECTIONS}),
+latest as (
+  select query_file_name, similar_file_name, max_by(labels, submitted) filter (where labels is not null) as labels,
+    max_by(score, submitted) filter (where score is not null) as score
+  from corrections group by query_file_name, similar_file_name
+)
+select r.query_file_name, r.similar_file_name, merchant_id_x, merchant_id_y, coalesce(l.labels, r.labels) as labels,
+  coalesce(l.score, r.score::VARCHAR) as score
+from reviews r left join latest l on l.query_file_name = r.query_file_name and l.similar_file_name = r.similar_file_name
+"""
+
+
+@register("r3_overlay_corrections", R3_SQL)
+def r3_overlay_corrections(spark, sf_dir):
+    """The last correction of a pair wins, an empty string counts as supplied."""
+    reviews = _reviews(spark, sf_dir)
+    return R.overlay_corrections(reviews, _corrections(reviews))
+
+
+R4_SQL = f"with shown as ({R1_SQL}) select {', '.join(R.REVIEW_COLUMNS)} from shown"
+
+
+@register("r4_review_table", R4_SQL)
+def r4_review_table(spark, sf_dir):
+    return R.review_table(R.object_url_columns(_reviews(spark, sf_dir), BASE_URL))

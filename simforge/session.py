@@ -1,15 +1,11 @@
-"""Spark session and checkpoint helpers.
-
-Cluster jobs read ``spark.checkpoint.dir`` from the session; only when it is
-unset (local runs, tests) do we pick a scratch folder of our own.
-"""
+"""Spark session and shared-folder helpers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -38,31 +34,20 @@ def get_spark(master: str | None = None, app: str = "simforge",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, setting a scratch one only if unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or \
-        sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    else:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="simforge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return sc.getCheckpointDir()
-
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
-
-    Used where one expensive result (e.g. scored pairs) feeds several sinks,
-    so upstream Python UDFs run once and a lost executor does not force a
-    recomputation from the source.
+    Only a session that is one local JVM may do without the setting; it gets
+    a scratch folder of its own.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="simforge-"))
+    return sc.getCheckpointDir()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,30 +22,45 @@ REVIEW_SCHEMA = T.StructType([
 ])
 
 
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Header CSV with doubled quotes and quoted line breaks; an unquoted empty
+    cell is missing (null), a quoted one is an empty string."""
+    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+            .option("quote", '"').option("escape", '"').option("multiLine", True)
+            .option("nullValue", "").option("emptyValue", "").csv(path))
+
+
 def read_pairs_csv(spark: SparkSession, path: str, schema: T.StructType = PAIR_SCHEMA,
-                   with_pair_id: bool = True) -> DataFrame:
-    """A header CSV of name pairs with an explicit schema.
+                   key: str | None = None) -> DataFrame:
+    """A CSV of name pairs with an explicit schema and a ``pair_id``.
 
-    Empty cells read as null (the null rule turns them into "" later).
-    ``pair_id`` replaces the implicit pandas row index; it is built from the
-    file name and the row's byte offset-free position inside its split, so it
-    is stable across retries of the same split.
+    ``key`` names a column of the file that identifies a pair. Without one the
+    pairs are numbered: a multi-line file is read by one task in row order, so
+    file name and row number are stable whatever the split settings are.
     """
-    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-          .option("nullValue", "").csv(path))
-    if with_pair_id:
-        df = df.withColumn("pair_id", F.monotonically_increasing_id())
-    return df
+    if key is not None:
+        fields = schema.fields if key in schema.names else [T.StructField(key, T.LongType()), *schema.fields]
+        df = _read_csv(spark, path, T.StructType(fields))
+        return df.withColumn("pair_id", F.col(key)) if key != "pair_id" else df
+    df = _read_csv(spark, path, schema).withColumn("_file", F.input_file_name()).withColumn("_row", F.monotonically_increasing_id())
+    order = Window.partitionBy("_file").orderBy("_row")
+    return df.withColumn("pair_id", F.concat_ws("#", F.element_at(F.split("_file", "/"), -1), (F.row_number().over(order) - 1).cast("string"))).drop("_file", "_row")
 
 
 def read_review_csv(spark: SparkSession, path: str) -> DataFrame:
     """Review table CSV."""
-    return spark.read.schema(REVIEW_SCHEMA).option("header", True).csv(path)
+    return _read_csv(spark, path, REVIEW_SCHEMA)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV sink with header (one folder of part files)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+
+
+def write_layer_audit(frames: dict[int, DataFrame], folder: str, mode: str = "overwrite") -> None:
+    """S3: one CSV folder per layer, each with the rows that reached it."""
+    for layer, frame in frames.items():
+        write_csv(frame, f"{folder}/layer_{layer}", mode)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
@@ -74,6 +89,12 @@ def object_table(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame
                      F.col("length").alias("size"), F.col("modificationTime").alias("updated"))
 
 
+def page_objects(pages: DataFrame) -> DataFrame:
+    """S5 over a table of fetched pages: object metadata without the bodies."""
+    return pages.select(F.col("url").alias("uri"), F.lit("text/html").alias("content_type"),
+                        F.length("html").cast("long").alias("size"))
+
+
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """``head`` (a limit is the feature here)."""
     return df.limit(n)
