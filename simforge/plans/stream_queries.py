@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cascade as C
 from ..session import shared_folder
-from ..sources.tables import STREAM_PAIRS_SQL, stream_pairs, table
+from ..sources.tables import STREAM_PAIRS_SQL, stream_pairs, table_stream
 from ..streaming.scoring import score_stream, write_scores
 from .catalog import register
 from .name_queries import MODE, STAND_IN, api_cascade_sql
@@ -22,9 +22,7 @@ C9_SQL = api_cascade_sql("""select pair_id, l1pass::INTEGER as First_Layer_Pass,
 @register("c9_stream_scoring", C9_SQL)
 def c9_stream_scoring(spark, sf_dir):
     """Pairs made of each streamed part row, scored and written by an availableNow stream."""
-    source = f"{sf_dir.rstrip('/')}/part.parquet"
-    rows = spark.readStream.schema(table(spark, sf_dir, "part").schema).parquet(source)
-    scored = score_stream(stream_pairs(rows), STAND_IN, MODE)
+    scored = score_stream(stream_pairs(table_stream(spark, sf_dir, "part")), STAND_IN, MODE)
     folder = f"{shared_folder(spark)}/simforge/stream-{uuid.uuid4().hex}"
     write_scores(scored, f"{folder}/scores", f"{folder}/checkpoint").awaitTermination()
     out = spark.read.schema(scored.schema).parquet(f"{folder}/scores")

@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stream over a table's files. The path is a pattern, since a stream's plain path must be a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir.rstrip('/')}/[{name[0]}]{name[1:]}.parquet")
+
+
 # --------------------------------------------------------------------------
 # Name pairs (stand-in for the labelled pair CSV): one row per part, paired
 # with the next part; the class of variation comes from p_partkey % 8.

@@ -7,7 +7,7 @@ import __spark_entry__
 from simforge.operators import cascade as C, review as R
 from simforge.session import shared_folder
 from simforge.sources import io as sio
-from simforge.sources.tables import name_pairs, stream_pairs, table
+from simforge.sources.tables import name_pairs, stream_pairs, table, table_stream
 from simforge.streaming.scoring import score_stream, write_scores
 
 from .conftest import SF
@@ -95,8 +95,7 @@ def test_review_operators(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     part = table(spark, SF, "part")
-    rows = spark.readStream.schema(part.schema).parquet(f"{SF}/part.parquet")
-    scored = score_stream(stream_pairs(rows), C.trigram_embedding)
+    scored = score_stream(stream_pairs(table_stream(spark, SF, "part")), C.trigram_embedding)
     assert scored.isStreaming
     query = write_scores(scored, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     query.awaitTermination()
