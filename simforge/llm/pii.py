@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simforge.llm import frames
-from simforge.llm.words import text_bytes
+from simforge.llm.words import slices, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("regex", "shape", "gazetteer", "context", "counter")
@@ -169,10 +169,10 @@ def _has_digit(column: pa.Array) -> np.ndarray:
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     spans_type = pa.list_(pa.struct([(c, pa.int32()) for c in ("kind", "start", "end", "pattern")]))
-    for batch in batches:
-        digit = _has_digit(batch["text"])
+    for part in (x for batch in batches for x in slices(batch)):
+        digit = _has_digit(part["text"])
         counts, digests, spans = [], [], []
-        for i, value in enumerate(batch["text"]):
+        for i, value in enumerate(part["text"]):
             text = value.as_py() or ""
             base = base_spans(text, digit[i])
             counts.append([len(base[k]) for k in KINDS])
@@ -180,7 +180,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             all_ = [(n, a, b, 0) for n, k in enumerate(KINDS) for a, b in base[k]] + [(*c, 1) for c in candidates(text, base, digit[i])]
             # a pattern's lowest bit tells a candidate from a base span
             spans.append([{"kind": n, "start": a, "end": b, "pattern": 2 * _encode(*votes(text, n, a, b, not loose)) + loose} for n, a, b, loose in all_])
-        cols = [batch["doc_id"], *(pa.array(x, pa.int64()) for x in (zip(*counts) if counts else [[]] * 4)), pa.array(digests, pa.string()), pa.array(spans, spans_type)]
+        cols = [part["doc_id"], *(pa.array(x, pa.int64()) for x in zip(*counts)), pa.array(digests, pa.string()), pa.array(spans, spans_type)]
         yield pa.RecordBatch.from_arrays(cols, names)
 
 
