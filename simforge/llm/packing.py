@@ -44,7 +44,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def _cut_pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path)
-        for part in (x for batch in batches for x in slices(batch)):
+        for part in (x for batch in batches for x in slices(batch, limit=tokens.SLICE_BYTES)):
             out: list[tuple] = []
             found, at = encoder.encode(part["text"])
             for doc_id, a, b in zip(part["doc_id"].to_pylist(), at[:-1], at[1:]):

@@ -54,6 +54,8 @@ STEPS = 200
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _TEXT = "__text"
+#: Bytes of text measured at once; a longer text is measured alone.
+SLICE_BYTES = 1 << 20
 _FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
@@ -73,7 +75,7 @@ def _repeat_words(words: Words, hashes: np.ndarray, k: int = 5) -> np.ndarray:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, _TEXT):
+        for part in slices(batch, _TEXT, SLICE_BYTES):
             words = Words(part[_TEXT])
             hashes = words.hashes()
             row = np.repeat(np.arange(len(words.n)), np.diff(words.at))

@@ -112,7 +112,7 @@ def _write(path: str, end: int):
             cols = [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([n], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([write_record(docs, bits)], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["shard", "segment", "n_ids", "doc_ids", "record"])
 
-        for part in (x for batch in batches for x in slices(batch)):
+        for part in (x for batch in batches for x in slices(batch, limit=tokens.SLICE_BYTES)):
             found, at = encoder.encode(part["text"])
             for doc_id, a, b in zip(part["doc_id"].to_pylist(), at[:-1], at[1:]):
                 docs.append(np.append(found[a:b], np.uint32(end)))

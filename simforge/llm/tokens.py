@@ -11,6 +11,7 @@ independent 64-bit hashes of a part's bytes, all parts of a slice of texts at on
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from simforge.llm.words import span_hashes, text_bytes
 REMEMBERED = 2_000_000
 #: Longer parts, in bytes, are encoded each time they are met.
 PART_BYTES = 64
+#: Bytes of text encoded at once; a longer text is encoded alone.
+SLICE_BYTES = 1 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -124,7 +127,7 @@ class Encoder:
         self._grow("flat", self.used + total)
         for name in ("key", "check", "begin", "count"):
             self._grow(name, end)
-        self.flat[self.used : self.used + total] = [x for own in ids for x in own]
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.key[self.n : end], self.check[self.n : end], self.count[self.n : end] = key, check, count
         self.begin[self.n : end] = self.used + np.cumsum(count) - count
         new = np.arange(self.n, end)
