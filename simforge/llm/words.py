@@ -27,11 +27,24 @@ _GRAM = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
 
 
+#: Powers up to this many are kept from one slice to the next.
+KEPT_POWERS = 1 << 21
+_KEPT: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    out = np.full(max(n, 1), base & _MASK, np.uint64)
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; not to be written to."""
+    if n > KEPT_POWERS:
+        return _powers(base, n)
+    if base not in _KEPT or n > len(_KEPT[base]):
+        _KEPT[base] = _powers(base, -(-max(n, 1) // (1 << 18)) << 18)
+    return _KEPT[base][:n]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base & _MASK, np.uint64)
     out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)[:n]
+    return np.cumprod(out, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
