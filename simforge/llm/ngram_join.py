@@ -8,9 +8,9 @@ one class, named by a fingerprint, and take part once.
    which any order may be).  Two linked sets share tokens of their prefixes.
 2. The prefixes form an inverted index: (token, set, size, position).  Lists with one set
    are dropped.
-3. Answers of one set serve its neighbours: in every list the sets are first compared
-   with a single hub.  Sets found to be linked through hubs have their component already,
-   so no pair of them is looked at again.
+3. Answers of one set serve its neighbours: every list has a single hub, and each set is
+   first compared with the ``HUBS`` hubs it meets in most lists.  Sets found to be linked
+   through hubs have their component already, so no pair of them is looked at again.
 4. Only lists with sets of several components are then searched for the other pairs.  A
    list is sorted by position, long ones are kept in blocks of equal position and sorted
    by size; a block whose sizes cannot meet is skipped as a whole, and so is a pair whose
@@ -50,6 +50,8 @@ WANTED_BITS = 1 << 23
 _COUNTER_BLOCK = 4096
 #: Pairs for which a hub's set is sent once.
 HUB_PAIRS = 1000
+#: Hubs a set is compared with before the search for all other pairs.
+HUBS = 2
 #: Longer lists are searched block by block.
 LONG_LIST, PAIRS_AT_ONCE = 256, 1 << 21
 
@@ -321,6 +323,13 @@ def _often(met: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("least").alias("least")).filter("met >= least").select("a", "b")
 
 
+def _closest(met: DataFrame) -> DataFrame:
+    """Of the pairs (hub a, set b) that are met as often as they have to be, each set's ``HUBS`` most met."""
+    often = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("least").alias("least")).filter("met >= least")
+    place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("met"), "a"))
+    return often.withColumn("place", place).filter(F.col("place") <= HUBS).select("a", "b")
+
+
 def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes, labels) of keyed documents: (k, t, doc_id, n_shingles, fp) of each row, and the
     component (fp, label) of each class that has a link to another one."""
@@ -342,7 +351,7 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame
 
     hub = shared.groupBy("token").agg(F.min(F.struct("fp", "n", "pos")).alias("hub"))
     near = shared.join(hub, "token").filter("fp <> hub.fp").filter(_reaches(percent))
-    near = _often(near.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"), F.expr(_missing_sql(percent)).cast("long").alias("least")))
+    near = _closest(near.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"), F.expr(_missing_sql(percent)).cast("long").alias("least")))
     near = frames.settled(near, "pairs")
     first = frames.settled(_verify(near, _sets_of(docs, classes, near, k), percent), "links")
     labels = frames.settled(components(first), "labels")
