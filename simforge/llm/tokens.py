@@ -6,11 +6,18 @@ piece, and so does a full stop or the like after an ASCII letter or digit.  A te
 cut there and its parts encoded apart with the same ids.  Most parts are words met
 before: their ids come from a bounded table that the worker keeps, found by two
 independent 64-bit hashes of a part's bytes, all parts of a slice of texts at once.
+
+Tokens that a vocabulary adds to its pieces (``<|endoftext|>``) are read by the library
+before the text is cut.  ``encoder`` does the same: each is a part of its own with its
+own id, and only the text between them is cut, so ids are those of the library's plain
+call with ``add_special_tokens=False``.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -52,14 +59,26 @@ def _white(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where parts begin, row starts included."""
+def _spans(pattern: re.Pattern[bytes], raw: bytes, at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where the pattern is found inside one row, from left to right."""
+    found = pattern.search(raw)
+    while found:
+        inside = np.searchsorted(at, found.start(), "right") == np.searchsorted(at, found.end(), "left")
+        if inside:
+            yield found.span()
+        found = pattern.search(raw, found.end() if inside else found.start() + 1)
+
+
+def cuts(data: np.ndarray, at: np.ndarray, whole: tuple[tuple[int, int], ...] = ()) -> np.ndarray:
+    """Where parts begin, row starts included; the spans ``whole`` are parts of their own."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
     white = _white(data)
     row = np.zeros(n + 1, bool)
     row[at] = True
+    for a, b in whole:
+        row[[a, b]] = True
     inner = np.flatnonzero((data == 32) | (data == 10))
     inner = inner[(inner > 0) & (inner < n - 1)]
     inner = inner[~white[inner - 1] & ~white[inner + 1] & ~row[inner] & ~row[inner + 1]]
@@ -67,18 +86,26 @@ def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     row[inner[data[inner] == 10] + 1] = True
     stop = np.flatnonzero(_STOP[data[1:]] & _ALNUM[data[:-1]]) + 1
     row[stop] = True
+    for a, b in whole:
+        row[a + 1 : b] = False
     return np.flatnonzero(row[:n])
 
 
 class Encoder:
     """Encodes columns of texts to numpy arrays of unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
+        """``added``: read the vocabulary's added tokens as the library does by default, not as plain text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        own = list(self.tokenizer.get_added_tokens_decoder().values()) if added else []
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized and self.tokenizer.normalizer for t in own):
+            raise ValueError(f"{path} has added tokens that depend on the text around them")
+        names = sorted((t.content.encode() for t in own), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.size = self.tokenizer.get_vocab_size()
         self._forget()
 
@@ -142,7 +169,8 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and where each row's begin (and the last ends)."""
         data, at = text_bytes(column)
-        start = cuts(data, at)
+        raw = data.tobytes()
+        start = cuts(data, at, tuple(_spans(self.added, raw, at)) if self.added else ())
         end = np.r_[start[1:], len(data)][: len(start)]
         key, check = span_hashes(data, start, end), span_hashes(data, start, end, second=True)
         if self.n > REMEMBERED:
@@ -150,7 +178,7 @@ class Encoder:
         entry = self._find(key, check)
         unknown = np.flatnonzero((entry < 0) & (end - start <= PART_BYTES))
         _, first = np.unique(key[unknown], return_index=True)
-        new, raw = unknown[first], data.tobytes()
+        new = unknown[first]
         if len(new):
             self._learn([raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())], key[new], check[new])
             entry[unknown] = self._find(key[unknown], check[unknown])
@@ -173,5 +201,5 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The worker's encoder of this vocabulary, kept over its tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, added=True)
     return _ENCODERS[path]
