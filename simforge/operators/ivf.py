@@ -28,6 +28,8 @@ from .vector_search import _parallelism, block_rows_for, cogroup_topk, collapse_
 
 #: Centroids are sent to every task; more than this is refused.
 MAX_CENTROID_BYTES = 64 << 20
+#: Queries on which the recall of a number of probed lists is measured.
+RECALL_SAMPLE = 256
 ODD_LIST = -1
 
 
@@ -108,6 +110,31 @@ def ivf_search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = 1
     return shown(ranked_topk(cands, k))
 
 
+def nprobe_for(index: IvfIndex, queries: DataFrame, recall: float = 0.9, k: int = 10, sample: int = RECALL_SAMPLE,
+               id_col: str = "uri", vec_col: str = "embedding", exclude_self: bool = False) -> int:
+    """The least nprobe whose recall@k, measured on a sample of the queries against the search of
+    all lists (which is exact), is ``recall`` or more by two standard errors."""
+    some = queries.orderBy(F.xxhash64(id_col)).limit(sample)
+
+    def neighbours(nprobe: int) -> dict:
+        out: dict = {}
+        for r in ivf_search(index, some, k, nprobe, id_col, vec_col, exclude_self).select("query_uri", "compared_uri").collect():
+            out.setdefault(r["query_uri"], set()).add(r["compared_uri"])
+        return out
+
+    low, high = 1, index.centroids.shape[0]
+    exact = neighbours(high) if high > 1 else {}
+    while low < high:
+        middle = (low + high) // 2
+        found = neighbours(middle)
+        shares = np.array([len(found.get(q, set()) & ids) / len(ids) for q, ids in exact.items()])
+        if not len(shares) or shares.mean() - 2 * shares.std() / math.sqrt(len(shares)) >= recall:
+            high = middle
+        else:
+            low = middle + 1
+    return high
+
+
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of exact neighbours found by the approximate search, over all queries."""
     found = approx.select("query_uri", "compared_uri", F.lit(1).alias("_hit")).dropDuplicates(

@@ -245,18 +245,18 @@ def v5_ivf_search_full_probe(spark, sf_dir):
 
 @register("v5_ivf_search")
 def v5_ivf_search(spark, sf_dir):
-    """V5: approximate top-10 for every vector, probing 3 of 10 lists."""
+    """V5: approximate top-10 for every vector, probing as many of 10 lists as a recall of 0.9 needs."""
     e = embeddings(spark, sf_dir)
     index = ivf.build_ivf(e, num_lists=10, seed=7)
-    return ivf.ivf_search(index, e, k=10, nprobe=3)
+    return ivf.ivf_search(index, e, k=10, nprobe=ivf.nprobe_for(index, e, recall=0.9, k=10))
 
 
 @register("v5_ivf_recall", "select true as above_half")
 def v5_ivf_recall(spark, sf_dir):
-    """V5: recall@10 of probing 3 of 10 lists against the exact search."""
+    """V5: whether recall@10 against the exact search is 0.9 or more; the column keeps its name in the SQL."""
     e = embeddings(spark, sf_dir)
     found = ivf.recall_at_k(v5_ivf_search(spark, sf_dir), vs.shown(vs.knn_join(e, e, k=10)))
-    return found.select((F.col("recall") > 0.5).alias("above_half"))
+    return found.select((F.col("recall") >= 0.9).alias("above_half"))
 
 
 @register("s5_object_table_scan", "select url as uri, 'text/html' as content_type, length(html)::BIGINT as size from pages")
