@@ -111,7 +111,7 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]], digits: bool)
     out = []
     for number, kind in enumerate(KINDS):
         if kind == "email":
-            if not ("at)" in text or "at]" in text or "AT)" in text or "AT]" in text or "at " in text and ("[" in text or "(" in text)):
+            if not (("at" in text or "AT" in text) and ("[" in text or "(" in text)):
                 continue
         elif not digits:
             continue
