@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +43,11 @@ def read_pairs_csv(spark: SparkSession, path: str, schema: T.StructType = PAIR_S
         df = _read_csv(spark, path, T.StructType(fields))
         return df.withColumn("pair_id", F.col(key)) if key != "pair_id" else df
     df = _read_csv(spark, path, schema).withColumn("_file", F.input_file_name()).withColumn("_row", F.monotonically_increasing_id())
-    order = Window.partitionBy("_file").orderBy("_row")
-    return df.withColumn("pair_id", F.concat_ws("#", F.element_at(F.split("_file", "/"), -1), (F.row_number().over(order) - 1).cast("string"))).drop("_file", "_row")
+    # a file's rows follow each other in its task, so they need no sort: a row's number is its distance from the first
+    first = df.groupBy("_file").agg(F.min("_row").alias("_first"))
+    name = F.element_at(F.split("_file", "/"), -1)
+    numbered = df.join(F.broadcast(first), "_file")
+    return numbered.select(*schema.names, F.concat_ws("#", name, (F.col("_row") - F.col("_first")).cast("string")).alias("pair_id"))
 
 
 def read_review_csv(spark: SparkSession, path: str) -> DataFrame:
