@@ -8,7 +8,7 @@ brute force, round trips or bounds.
 from __future__ import annotations
 
 import corpus_pipeline
-from simforge.llm import line_dedup, mixing, ngram_join, packing, pii, quality_rules, revisits, substring_dedup, token_files, topk
+from simforge.llm import chat_windows, line_dedup, mixing, ngram_join, packing, pii, quality_rules, revisits, spelling, substring_dedup, token_files, topk, vector_codes
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -21,6 +21,9 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_token_files": token_files.op9_token_files,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_chat_windows": chat_windows.op12_chat_windows,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -30,4 +33,6 @@ ORACLES = {
     "op7_exact_topk": topk.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }

@@ -186,9 +186,9 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-def coded(vectors: DataFrame) -> DataFrame:
+def coded(vectors: DataFrame, entries: int = ENTRIES) -> DataFrame:
     """Codes and errors, each label's summed error, and a digest of the codebooks."""
-    books = train(vectors)
+    books = train(vectors, entries=entries)
     digest = hashlib.sha256(",".join(map(str, books.reshape(-1).tolist())).encode()).hexdigest()
     rows = frames.settled(encode(vectors, books, "label"), "codes")
     # A written table of one row a label: Spark broadcasts it while it is small, else splits skewed labels.
