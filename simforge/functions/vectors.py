@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,24 +52,26 @@ def mean_pool(vectors: Column) -> Column:
 # numpy kernel: runs inside one task on one block (or block pair) of rows
 # ---------------------------------------------------------------------------
 
-def stack_vectors(series: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ragged arrays -> (zero-padded matrix, full-vector norms, non-empty mask)."""
-    vals = [np.asarray(v, dtype=np.float64) if v is not None else np.empty(0)
-            for v in series]
-    lens = np.fromiter((v.size for v in vals), dtype=np.int64, count=len(vals))
-    width = int(lens.max()) if len(vals) else 0
-    mat = np.zeros((len(vals), width), dtype=np.float64)
-    if len(vals) and (lens == width).all():
-        if width:
-            mat = np.vstack(vals)
+def stack_vectors(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ragged arrays -> (zero-padded matrix, full-vector norms, non-empty mask); a null component counts as 0."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lens = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+    width = int(lens.max(initial=0))
+    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0) \
+        if column.flatten().null_count else column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(lens) and (lens == width).all():
+        mat = flat.reshape(len(lens), width)
     else:
-        for i, v in enumerate(vals):
-            mat[i, :v.size] = v
+        mat = np.zeros((len(lens), width), dtype=np.float64)
+        mat[np.repeat(np.arange(len(lens)), lens), np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat
     norms = np.sqrt((mat * mat).sum(axis=1))
     return mat, norms, lens > 0
 
 
 METRICS = ("cosine", "euclidean")
+#: Similarities that a cell holds at once.
+SCORES = 1 << 21
 
 
 def pair_similarity(dot, ln, rn, valid, metric: str):
@@ -84,57 +87,163 @@ def pair_similarity(dot, ln, rn, valid, metric: str):
     raise ValueError(f"metric must be one of {METRICS}")
 
 
-def id_codes(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def id_codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Integers in the order of the ids, -1 for null, equal on both sides for equal ids."""
-    codes, _ = pd.factorize(pd.concat([left, right], ignore_index=True), sort=True)
+    ids = [pd.Series(x.to_numpy(), dtype=object) if pa.types.is_string(x.type) else x.to_pandas() for x in (left, right)]
+    codes, _ = pd.factorize(pd.concat(ids, ignore_index=True), sort=True)
     return codes[:len(left)], codes[len(left):]
 
 
 class Side:
     """One side of a cell: rows ``id, vec, copies, rowkey`` as matrices."""
 
-    def __init__(self, rows: pd.DataFrame):
+    def __init__(self, rows: pa.Table):
         self.rows = rows
         self.mat, self.norms, self.full = stack_vectors(rows["vec"])
-        self.copies = rows["copies"].to_numpy(dtype=np.int64)
+        self.copies = rows["copies"].to_numpy()
 
 
-def topk_rows(left: Side, right: Side, k: int, exclude_self: bool, metric: str = "cosine") -> pd.DataFrame | None:
+#: Columns of a candidate besides its ids: the query row's key and copies, the base row's key and copies, and their similarity.
+CANDIDATE = [("query_key", pa.int64()), ("query_copies", pa.int64()), ("rowkey", pa.int64()),
+             ("similarity_percentage", pa.float64()), ("copies", pa.int64())]
+
+
+def candidates(query_ids, base_ids, query_key, query_copies, rowkey, similarity, copies) -> pa.Table:
+    columns = [pa.array(x, t) for x, (_, t) in zip((query_key, query_copies, rowkey, similarity, copies), CANDIDATE)]
+    return pa.table([query_ids, base_ids, *columns], names=["query_uri", "compared_uri", *(c for c, _ in CANDIDATE)])
+
+
+def no_candidates(ids: pa.ChunkedArray) -> pa.Table:
+    return candidates(ids.slice(0, 0), ids.slice(0, 0), [], [], [], [], [])
+
+
+class _Groups:
+    """Rows of a side with equal vectors as one, the rows of a group in the order of their ids."""
+
+    def __init__(self, side: Side, ids: np.ndarray, width: int):
+        order = np.argsort(ids, kind="stable")
+        parts = np.ascontiguousarray(np.column_stack([side.mat[order, :width], side.norms[order], side.full[order]]))
+        _, first, group = np.unique(parts.view(f"V{parts.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+        by = np.argsort(group, kind="stable")
+        self.members = order[by]
+        self.size = np.bincount(group, minlength=len(first))
+        self.begin = np.cumsum(self.size) - self.size
+        at = order[first]
+        self.mat, self.norms, self.full = side.mat[at, :width], side.norms[at], side.full[at]
+        own = ids[self.members]
+        self.first = own[self.begin]
+        other = np.where(own == np.repeat(self.first, self.size), NO_OTHER, own)
+        self.second = np.minimum.reduceat(other, self.begin)
+
+
+#: Stands for the id of a row that doesn't exist.
+NO_OTHER = np.iinfo(np.int64).max
+
+
+def topk_rows(left: Side, right: Side, k: int, exclude_self: bool, metric: str = "cosine") -> pa.Table:
     """Per left row, the k best right rows by (similarity desc, nulls last, id asc).
 
-    The matrix product only selects candidates, with a margin for its rounding;
-    they are scored again one by one, so equal vectors score equally in every
-    block. ``copies`` counts equal rows collapsed before; an entry stands for
-    all of them, and rows are kept until the copies before them reach k.
+    Right rows with equal vectors are scored once. They pass in steps, each
+    compared with the k-th best so far, so few similarities are looked at
+    twice. The matrix products only select, with a margin for their rounding;
+    what they leave is scored again one by one, so equal vectors score equally
+    in every block. ``copies`` counts equal rows collapsed before; an entry
+    stands for all of them, and rows are kept until the copies before them reach k.
     """
-    if not len(left.rows) or not len(right.rows):
-        return None
-    width = min(left.mat.shape[1], right.mat.shape[1])
-    lv, rv = left.mat[:, :width], right.mat[:, :width]
-    valid = left.full[:, None] & right.full[None, :]
-    pct = pair_similarity(lv @ rv.T, left.norms[:, None], right.norms[None, :], valid, metric)
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
     l_ids, r_ids = id_codes(left.rows["id"], right.rows["id"])
-    key = np.where(np.isnan(pct), -1e300, pct)
+    l_rows = np.flatnonzero(l_ids >= 0) if exclude_self else np.arange(len(l_ids))  # a null id differs from nothing
+    if exclude_self and (r_ids < 0).any():
+        keep = np.flatnonzero(r_ids >= 0)
+        right, r_ids = Side(right.rows.take(pa.array(keep))), r_ids[keep]
+    if not len(l_rows) or not len(r_ids):
+        return no_candidates(left.rows["id"])
+    width = min(left.mat.shape[1], right.mat.shape[1])
+    base = _Groups(right, r_ids, width)
+    cosine = metric == "cosine"
+    defined = base.full & (base.norms > 0) if cosine else base.full
+    scale = np.where(base.norms > 0, base.norms, 1.0)[:, None] if cosine else 1.0
+    points = (base.mat / scale).T
+    squares = base.norms**2
+
+    def exact(rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows))
+        for a in range(0, len(rows), 1 << 16):
+            r, g = rows[a : a + (1 << 16)], groups[a : a + (1 << 16)]
+            dot = np.einsum("ij,ij->i", left.mat[r, :width], base.mat[g])
+            out[a : a + (1 << 16)] = pair_similarity(dot, left.norms[r], base.norms[g], left.full[r] & base.full[g], metric)
+        return out
+
+    def as_key(percent: np.ndarray) -> np.ndarray:
+        """What the matrix products estimate: the cosine, or the negative square of the distance."""
+        return np.where(np.isnan(percent), -1e300, percent / 100 if cosine else -((1 - percent / 100) ** 2))
+
+    found_rows, found_groups = [], []
+    step = 1024
+    for a in range(0, len(l_rows), step):
+        own = l_rows[a : a + step]
+        known = left.full[own] & (left.norms[own] > 0) if cosine else left.full[own]
+        x = left.mat[own, :width] / (np.where(left.norms[own] > 0, left.norms[own], 1.0)[:, None] if cosine else 1.0)
+        margin = 1e-9 * (np.ones(len(own)) if cosine else 1 + left.norms[own] ** 2 + squares.max())
+        least = np.full(len(own), -np.inf)
+        row, group, key = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        b = 0
+        while b < len(squares):
+            some = slice(b, b + (256 if b == 0 else max(256, SCORES // step)))
+            now = x @ points[:, some]
+            if not cosine:
+                now = 2 * now - squares[some] - (left.norms[own] ** 2)[:, None]
+            if not defined[some].all():
+                now[:, ~defined[some]] = -1e300
+            if not known.all():
+                now[~known] = -1e300
+            r, c = np.nonzero(now >= least[:, None])
+            got = now[r, c]
+            c = c + b
+            if exclude_self:  # only a group of nothing but the row's own id is out
+                other = np.where(base.first[c] != l_ids[own[r]], base.first[c], base.second[c]) != NO_OTHER
+                r, c, got = r[other], c[other], got[other]
+            row, group, key = np.r_[row, r], np.r_[group, c], np.r_[key, got]
+            b = some.stop
+            crowded = len(row) > 64 * (k + 1) * len(own)
+            ids = base.first[group]
+            if crowded:  # many near ties: settle them by exact similarity and id
+                key = as_key(exact(own[row], group))
+                ids = np.where(ids != l_ids[own[row]], ids, base.second[group]) if exclude_self else ids
+            by = np.lexsort((ids, -key, row))
+            row, group, key = row[by], group[by], key[by]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            last = place == k - 1
+            kth = np.full(len(own), -np.inf)
+            kth[row[last]] = key[last]
+            least = np.maximum(least, np.where(kth > -1e299, kth - margin, np.where(kth > -np.inf, -1e300, -np.inf)))
+            stay = (place < k) if crowded else (key >= least[row])
+            row, group, key = row[stay], group[stay], key[stay]
+        found_rows.append(own[row])
+        found_groups.append(group)
+    rows, groups = np.concatenate(found_rows), np.concatenate(found_groups)
+    percent = exact(rows, groups)
+    # the first k members with another id; where its own id has more than k of the first 2 k, all
+    size = base.size[groups]
+    take = np.minimum(size, 2 * k)
+    if exclude_self:
+        mixed = np.flatnonzero((size > take) & ((base.first[groups] == l_ids[rows])))
+        take[mixed] = size[mixed]
+    again = np.repeat(np.arange(len(rows)), take)
+    cols = base.members[base.begin[groups[again]] + np.arange(len(again)) - np.repeat(np.cumsum(take) - take, take)]
+    rows, percent = rows[again], percent[again]
     if exclude_self:
-        key = np.where(l_ids[:, None] == r_ids[None, :], -np.inf, key)
-        key[l_ids < 0] = -np.inf  # a null id differs from nothing
-        key[:, r_ids < 0] = -np.inf
-    kk = min(k, key.shape[1])
-    kth = -np.partition(-key, kk - 1, axis=1)[:, kk - 1]
-    margin = 1e-9 * np.maximum(1.0, np.abs(np.where(np.abs(kth) < 1e299, kth, 0.0)))
-    rows, cols = np.nonzero((key >= (kth - margin)[:, None]) & (key > -np.inf))
+        keep = l_ids[rows] != r_ids[cols]
+        rows, cols, percent = rows[keep], cols[keep], percent[keep]
     if not rows.size:
-        return None
-    dot = np.einsum("ij,ij->i", lv[rows], rv[cols])
-    exact = pair_similarity(dot, left.norms[rows], right.norms[cols], left.full[rows] & right.full[cols], metric)
-    cand = pd.DataFrame({
-        "r": rows, "c": cols, "key": np.where(np.isnan(exact), -np.inf, exact), "cid": r_ids[cols],
-        "similarity_percentage": exact, "copies": left.copies[rows] * right.copies[cols],
-    })
-    cand = cand.sort_values(["r", "key", "cid"], ascending=[True, False, True], kind="mergesort")
-    cand = cand[cand.groupby("r", sort=False)["copies"].cumsum() - cand["copies"] < k]
-    q, b = left.rows.iloc[cand["r"]], right.rows.iloc[cand["c"]]
-    return pd.DataFrame({
-        "query_uri": q["id"].to_numpy(), "compared_uri": b["id"].to_numpy(), "rowkey": b["rowkey"].to_numpy(),
-        "similarity_percentage": cand["similarity_percentage"].to_numpy(), "copies": cand["copies"].to_numpy(),
-    })
+        return no_candidates(left.rows["id"])
+    order = np.lexsort((r_ids[cols], -np.where(np.isnan(percent), -np.inf, percent), rows))
+    rows, cols, percent = rows[order], cols[order], percent[order]
+    copies = right.copies[cols]
+    before = np.cumsum(copies) - copies
+    keep = before - before[np.searchsorted(rows, rows)] < k  # copies of better rows
+    rows, cols, percent, copies = rows[keep], cols[keep], percent[keep], copies[keep]
+    q, b = left.rows.take(pa.array(rows)), right.rows.take(pa.array(cols))
+    similarity = pa.array(percent, mask=np.isnan(percent))
+    return candidates(q["id"], b["id"], q["rowkey"].combine_chunks(), left.copies[rows], b["rowkey"].combine_chunks(), similarity, copies)

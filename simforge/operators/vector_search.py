@@ -28,12 +28,13 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import Side, similarity_percentage, topk_rows
+from ..functions.vectors import Side, no_candidates, similarity_percentage, topk_rows
 
 PCT_SCALE = 4
 #: Vectors of one side of a cell, in bytes.
@@ -84,27 +85,28 @@ def _result_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([
         T.StructField("query_uri", id_type),
         T.StructField("compared_uri", id_type),
+        T.StructField("query_key", T.LongType()),
+        T.StructField("query_copies", T.LongType()),
         T.StructField("rowkey", T.LongType()),
         T.StructField("similarity_percentage", T.DoubleType()),
         T.StructField("copies", T.LongType()),
     ])
 
 
-def _empty() -> pd.DataFrame:
-    return pd.DataFrame({"query_uri": [], "compared_uri": [], "rowkey": [],
-                         "similarity_percentage": [], "copies": []})
+def ranked_topk(cands: DataFrame, k: int, per_row: bool = True) -> DataFrame:
+    """Expand collapsed copies (at most k per candidate) and rank, unrounded.
 
-
-def ranked_topk(cands: DataFrame, k: int) -> DataFrame:
-    """Expand collapsed copies (at most k per candidate) and rank per query, unrounded."""
-    expanded = cands.withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k)).cast("long"))))
-    w = Window.partitionBy("query_uri").orderBy(
+    ``per_row``: every query row has its own k best, and a row given several
+    times gets its hits as often. Otherwise all rows of an id share one ranking.
+    """
+    copies = F.col("copies") if per_row else F.col("copies") * F.col("query_copies")
+    expanded = cands.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(copies, F.lit(k)).cast("long"))))
+    w = Window.partitionBy("query_uri", *["query_key"] * per_row).orderBy(
         F.col("similarity_percentage").desc_nulls_last(), F.col("compared_uri").asc(), F.col("rowkey").asc())
-    return (expanded.withColumn("rank", F.row_number().over(w))
-                    .where(F.col("rank") <= k)
-                    .select("query_uri", F.col("rank").cast("long").alias("rank"),
-                            "compared_uri", "rowkey", "similarity_percentage"))
+    ranked = expanded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if per_row:
+        ranked = ranked.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("query_copies"))))
+    return ranked.select("query_uri", F.col("rank").cast("long").alias("rank"), "compared_uri", "rowkey", "similarity_percentage")
 
 
 def shown(hits: DataFrame) -> DataFrame:
@@ -135,18 +137,19 @@ def knn_self_join(df: DataFrame, id_col: str = "uri", vec_col: str = "embedding"
              .withColumn("hi", F.greatest("blk", "other"))
              .drop("other"))
 
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["lo"].iat[0]), int(pdf["hi"].iat[0])
-        left = Side(pdf[pdf["blk"] == lo])
-        right = left if lo == hi else Side(pdf[pdf["blk"] == hi])
+    def cell(rows: pa.Table) -> pa.Table:
+        lo, hi = rows["lo"][0].as_py(), rows["hi"][0].as_py()
+        left = Side(rows.filter(pc.equal(rows["blk"], lo)))
+        right = left if lo == hi else Side(rows.filter(pc.equal(rows["blk"], hi)))
         parts = [topk_rows(left, right, k, exclude_self, metric)]
         if lo != hi:
             parts.append(topk_rows(right, left, k, exclude_self, metric))
-        parts = [p for p in parts if p is not None]
-        return pd.concat(parts, ignore_index=True) if parts else _empty()
+        return pa.concat_tables(parts)
 
-    cands = cells.groupBy("lo", "hi").applyInPandas(cell, schema=_result_schema(id_type))
-    return shown(ranked_topk(cands, k))
+    # two partitions a cell: hashes of few cells would pile up in fewer
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), B * (B + 1))
+    cands = cells.repartition(parts, "lo", "hi").groupBy("lo", "hi").applyInArrow(cell, schema=_result_schema(id_type))
+    return shown(ranked_topk(cands, k, per_row=False))
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int = 10, q_id: str = "uri",
@@ -156,6 +159,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int = 10, q_id: str = "uri"
              metric: str = "cosine") -> DataFrame:
     """J5 / V6 for many queries: every query row x its k nearest base rows, unrounded.
 
+    A query row given several times gets its k nearest rows as often.
+
     Query and base are split into blocks; each cell (query block, base block)
     is one cogroup task. Queries are replicated once per base block and base
     rows once per query block, so a single query costs no base replication.
@@ -173,22 +178,26 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int = 10, q_id: str = "uri"
            .withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(BB - 1)))))
     bx = (b.withColumn("bb", F.pmod(F.xxhash64("id", "vec"), F.lit(BB)).cast("int"))
            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(QB - 1)))))
-    return ranked_topk(cogroup_topk(qx, bx, ["qb", "bb"], k, exclude_self, id_type, metric), k)
+    return ranked_topk(cogroup_topk(qx, bx, ["qb", "bb"], k, exclude_self, id_type, metric, QB * BB), k)
 
 
 def cogroup_topk(qx: DataFrame, bx: DataFrame, keys: list[str], k: int, exclude_self: bool,
-                 id_type: T.DataType, metric: str = "cosine") -> DataFrame:
-    """Partial top-k candidates per cell; both sides hold ``id, vec, rowkey, copies`` + ``keys``."""
+                 id_type: T.DataType, metric: str = "cosine", cells: int = 0) -> DataFrame:
+    """Partial top-k candidates per cell; both sides hold ``id, vec, rowkey, copies`` + ``keys``.
+
+    ``cells``: how many there are, where known, for two partitions each.
+    """
 
-    def cell(qp: pd.DataFrame, bp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty or bp.empty:
-            return _empty()
-        found = topk_rows(Side(qp), Side(bp), k, exclude_self, metric)
-        return _empty() if found is None else found
+    def cell(queries: pa.Table, base: pa.Table) -> pa.Table:
+        if not len(queries) or not len(base):
+            return no_candidates((queries if len(queries) else base)["id"])
+        return topk_rows(Side(queries), Side(base), k, exclude_self, metric)
 
     cols = ["id", "vec", "rowkey", "copies", *keys]
-    return (qx.select(*cols).groupBy(*keys).cogroup(bx.select(*cols).groupBy(*keys))
-              .applyInPandas(cell, schema=_result_schema(id_type)))
+    parts = max(int(qx.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * cells)
+    dealt = [x.select(*cols).repartition(parts, *keys).groupBy(*keys) for x in (qx, bx)]
+    return (dealt[0].cogroup(dealt[1])
+              .applyInArrow(cell, schema=_result_schema(id_type)))
 
 
 def neighbours_nested(flat: DataFrame) -> DataFrame:

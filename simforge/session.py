@@ -13,6 +13,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Spark runs a Python worker a core; more threads in each would only compete.
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
+    "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

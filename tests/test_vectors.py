@@ -49,11 +49,11 @@ def test_all_pairs_match_brute_force(spark):
 
 
 def test_ranking_is_not_on_rounded_values(spark):
-    rows = [(f"{i:02}", [np.cos(i * 1e-5), np.sin(i * 1e-5)], 0) for i in range(20)]
+    rows = [(f"{i:02}", [float(np.cos(i * 1e-5)), float(np.sin(i * 1e-5))], 0) for i in range(20)]
     df = spark.createDataFrame(rows[::-1], SCHEMA)
     got = {(r.query_uri, r["rank"]): r.compared_uri for r in vs.knn_self_join(df, k=3).collect()}
     assert [got["00", i] for i in (1, 2, 3)] == ["01", "02", "03"]
-    spun = spark.createDataFrame([(f"{i:02}", [np.cos((20 - i) * 1e-5), np.sin((20 - i) * 1e-5)], 0) for i in range(1, 20)] + [("00", [1.0, 0.0], 0)], SCHEMA)
+    spun = spark.createDataFrame([(f"{i:02}", [float(np.cos((20 - i) * 1e-5)), float(np.sin((20 - i) * 1e-5))], 0) for i in range(1, 20)] + [("00", [1.0, 0.0], 0)], SCHEMA)
     assert [r.uri for r in vs.search_by_id(spun, "00", k=4).orderBy("rank").collect()] == ["00", "19", "18", "17"]
     assert [r.uri for r in vs.search_single_native(spun, [1.0, 0.0], k=4).collect()] == ["00", "19", "18", "17"]
 
