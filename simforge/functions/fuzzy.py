@@ -5,6 +5,10 @@ pandas UDF per fuzzy average takes the prepared strings of a pair and returns
 a struct of its six ratios. Token cleaning, sorting and set algebra for the
 token ratios are native column expressions.
 
+The partial ratio over all windows (``full``) is semi-local: one pass over a pair
+combs the strands of its alignment grid, after which the LCS of the shorter
+string with every window of the longer one is a count of strands.
+
 Ratio semantics: ``round_half_even(100 * 2*LCS / (len1 + len2))``; equal
 strings -> 100; one empty -> 0. A null input returns null, which is how the
 cascade skips rows already decided (the kernel drops them before scoring).
@@ -27,6 +31,8 @@ PARTIAL_MODES = ("aligned", "full")
 #: Pairs whose shorter string fits one machine word are scored together, this many at once.
 WORD = 64
 BATCH = 8192
+#: Strands that are combed at once.
+CELLS = 1 << 20
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -99,6 +105,72 @@ def lcs_lengths(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+def _combed(short: list[str], long: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For a batch, LCS(short, long) and the largest LCS of short with a window of its length of long.
+
+    Strands enter the alignment grid at its left and top and leave at its
+    bottom and right; two cross where characters differ and they have not met
+    before. A column's strand that enters at p >= s and leaves at r < e costs
+    one character of long[s:e], so LCS(short, long[s:e]) = e - s less the
+    number of such strands. Cells of a diagonal are independent and are
+    processed together for all pairs; padding matches nothing.
+    """
+    m = np.fromiter(map(len, short), np.int64, len(short))[:, None]
+    n = np.fromiter(map(len, long), np.int64, len(long))[:, None]
+    rows, cols = int(m.max()), int(n.max())
+    a = _code_points(short, rows)[:, ::-1]  # as the strands at the left, from the bottom up
+    b = _code_points(long, cols)
+    b[np.arange(cols) >= n] = np.iinfo(np.uint32).max
+    a[np.arange(rows)[::-1] >= m] = np.iinfo(np.uint32).max - 1
+    side = np.tile(np.arange(rows, dtype=np.int32), (len(short), 1))
+    top = np.tile(np.arange(rows, rows + cols, dtype=np.int32), (len(short), 1))
+    for d in range(rows + cols - 1):
+        first, last = max(0, d - cols + 1), min(rows - 1, d)
+        h, v = slice(rows - 1 - last, rows - first), slice(d - last, d - first + 1)
+        x, y = side[:, h], top[:, v]
+        swap = (a[:, h] == b[:, v]) | (x > y)
+        side[:, h], top[:, v] = np.where(swap, y, x), np.where(swap, x, y)
+    enters, leaves = top - rows, np.arange(cols)[None]
+    falls = (enters >= 0) & (leaves < n)
+    whole = n[:, 0] - falls.sum(1)
+    # a strand costs the windows that begin after leaves - m, up to where it enters
+    begin, end = np.maximum(leaves - m + 1, 0), np.minimum(enters, n - m) + 1
+    pair, at = np.nonzero(falls & (begin < end))
+    cost = np.zeros((len(short), cols + 2), np.int32)
+    np.add.at(cost, (pair, begin[pair, at]), 1)
+    np.add.at(cost, (pair, end[pair, at]), -1)
+    cost = np.cumsum(cost, axis=1)
+    cost[np.arange(cols + 2) > n - m] = np.iinfo(np.int32).max
+    return whole, m[:, 0] - cost.min(1)
+
+
+def window_lcs(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair, the LCS and the largest LCS of the shorter string with a window of its length of the longer one."""
+    whole, best = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(left, right)]
+    todo = sorted((i for i, (a, _) in enumerate(pairs) if a), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
+    while todo:
+        # pairs of like lengths, as many as fit a bound on cells
+        size = max(1, min(BATCH, CELLS // (len(pairs[todo[0]][1]) + len(pairs[todo[0]][0]))))
+        part = todo[:size]
+        widest = max(1, CELLS // (2 * len(pairs[part[-1]][1])))
+        part, todo = part[:widest], todo[min(size, widest):]
+        whole[part], best[part] = _combed([pairs[i][0] for i in part], [pairs[i][1] for i in part])
+    return whole, best
+
+
+def full_ratio_values(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """M1 and M2 (``full``) of each pair from one pass."""
+    whole, best = window_lcs(left, right)
+    total = np.fromiter((len(a) + len(b) for a, b in zip(left, right)), np.float64, len(left))
+    short = np.fromiter((min(len(a), len(b)) for a, b in zip(left, right)), np.float64, len(left))
+    same = np.fromiter((a == b for a, b in zip(left, right)), bool, len(left))
+    ratio = 2 * whole / np.where(total == 0, 1, total)
+    partial = 2 * best / np.where(short == 0, 1, 2 * short)
+    return (np.where(same, 100, np.rint(100 * ratio)).astype(np.int64),
+            np.where(same | (partial > 0.995), 100, np.rint(100 * partial)).astype(np.int64))
+
+
 def ratio_values(left: list[str], right: list[str]) -> np.ndarray:
     """M1 of each pair."""
     total = np.fromiter((len(a) + len(b) for a, b in zip(left, right)), np.float64, len(left))
@@ -107,9 +179,7 @@ def ratio_values(left: list[str], right: list[str]) -> np.ndarray:
     return np.where(same, 100, np.rint(100 * ratio)).astype(np.int64)
 
 
-def _window_starts(shorter: str, longer: str, mode: str) -> list[int]:
-    if mode == "full":
-        return list(range(len(longer) - len(shorter) + 1))
+def _window_starts(shorter: str, longer: str) -> list[int]:
     # autojunk would ignore frequent characters of strings of 200 and more
     blocks = SequenceMatcher(None, shorter, longer, autojunk=False).get_matching_blocks()
     return sorted({max(j - i, 0) for i, j, _ in blocks})
@@ -117,6 +187,8 @@ def _window_starts(shorter: str, longer: str, mode: str) -> list[int]:
 
 def partial_ratio_values(left: list[str], right: list[str], mode: str = "aligned") -> np.ndarray:
     """M2 of each pair: the best ratio of the shorter string and a window of the longer one."""
+    if mode == "full":
+        return full_ratio_values(left, right)[1]
     out = np.zeros(len(left), np.int64)
     pair, window, short = [], [], []
     best = np.zeros(len(left))
@@ -132,7 +204,7 @@ def partial_ratio_values(left: list[str], right: list[str], mode: str = "aligned
             out[i] = 100
         elif a and b:
             shorter, longer = (a, b) if len(a) <= len(b) else (b, a)
-            for s in _window_starts(shorter, longer, mode):
+            for s in _window_starts(shorter, longer):
                 pair.append(i)
                 short.append(shorter)
                 window.append(longer[s:s + len(shorter)])
@@ -151,58 +223,65 @@ def partial_ratio_value(a: str, b: str, mode: str = "aligned") -> int:
 
 
 PARTS = ("ratio", "partial", "token_sort", "set_1", "set_2", "set_12")
-_STRUCT = T.StructType([T.StructField(p, T.IntegerType()) for p in PARTS])
-
-
-def _kernel(mode: str):
-    """The six ratios of prepared strings, as one struct column."""
-
-    @F.pandas_udf(_STRUCT)
-    def ratios(a: pd.Series, b: pd.Series, sort_a: pd.Series, sort_b: pd.Series, both: pd.Series,
-               with_a: pd.Series, with_b: pd.Series) -> pd.DataFrame:
-        live = (a.notna() & b.notna()).to_numpy()
-        cols = [s[live].tolist() for s in (a, b, sort_a, sort_b, both, with_a, with_b)]
-        a_, b_, sa, sb, sect, c1, c2 = cols
-        found = [ratio_values(a_, b_), partial_ratio_values(a_, b_, mode), ratio_values(sa, sb),
-                 ratio_values(sect, c1), ratio_values(sect, c2), ratio_values(c1, c2)]
-        out = {}
-        for name, values in zip(PARTS, found):
-            col = np.zeros(len(live), np.int64)
-            col[live] = values
-            out[name] = pd.Series(pd.array(col, dtype="Int32")).mask(~live)
+#: Prepared strings of a pair of columns.
+PREPARED = ("a", "b", "sa", "sb", "both", "w1", "w2")
+
+
+def _kernel(mode: str, n: int):
+    """The six ratios of ``n`` pairs of columns of prepared strings, as one struct column."""
+    struct = T.StructType([T.StructField(f"{p}{i}", T.IntegerType()) for i in range(n) for p in PARTS])
+
+    @F.pandas_udf(struct)
+    def ratios(*columns: pd.Series) -> pd.DataFrame:
+        groups = [columns[i * len(PREPARED):(i + 1) * len(PREPARED)] for i in range(n)]
+        live = [(g[0].notna() & g[1].notna()).to_numpy() for g in groups]
+        a, b, sa, sb, both, w1, w2 = ([x for g, some in zip(groups, live) for x in g[j][some]] for j in range(len(PREPARED)))
+        whole = full_ratio_values(a, b) if mode == "full" else (ratio_values(a, b), partial_ratio_values(a, b, mode))
+        # the token ratios of all groups together
+        rest = ratio_values([*sa, *both, *both, *w1], [*sb, *w1, *w2, *w2]).reshape(4, -1)
+        out, begin = {}, 0
+        for i, some in enumerate(live):
+            end = begin + int(some.sum())
+            for name, values in zip(PARTS, (*whole, *rest)):
+                col = np.zeros(len(some), np.int64)
+                col[some] = values[begin:end]
+                out[f"{name}{i}"] = pd.Series(pd.array(col, dtype="Int32")).mask(~some)
+            begin = end
         return pd.DataFrame(out)
 
-    return ratios
-
+    # The kernels are pure functions, but they are declared non-deterministic on
+    # purpose: that keeps Catalyst's CollapseProject from inlining the projection
+    # chains of a cascade into one giant expression tree, which can take the
+    # optimiser minutes. The loss: filters on other columns don't move below them.
+    return ratios.asNondeterministic()
 
-# The kernels are pure functions, but they are declared non-deterministic on
-# purpose: that keeps Catalyst's CollapseProject from inlining the projection
-# chains of a cascade into one giant expression tree, which can take the
-# optimiser minutes.
-_KERNELS = {mode: _kernel(mode).asNondeterministic() for mode in PARTIAL_MODES}
 
-
-def _with_parts(df: DataFrame, a: str, b: str, p: str, mode: str) -> DataFrame:
-    """Adds ``{p}parts`` (struct of the six ratios) and ``{p}empty``.
+def _with_parts(df: DataFrame, pairs: list[tuple[str, str, str]], mode: str) -> DataFrame:
+    """Adds ``{p}parts`` (struct of the six ratios) and ``{p}empty`` for each pair of columns and prefix (a, b, p).
 
     Token forms are materialised as columns first, so each regex / array
-    expression runs once per row; the six ratios share one Arrow round trip.
+    expression runs once per row; all ratios share one Arrow round trip.
     """
     if mode not in PARTIAL_MODES:
         raise ValueError(f"mode must be one of {PARTIAL_MODES}")
-    ca, cb, c = F.col(a), F.col(b), lambda n: F.col(p + n)
-    df = df.withColumns({p + "ta": F.when(ca.isNotNull(), clean_tokens(ca)), p + "tb": F.when(cb.isNotNull(), clean_tokens(cb))})
-    da, db = F.array_distinct(c("ta")), F.array_distinct(c("tb"))
-    sect = F.array_sort(F.array_intersect(da, db))
     join = lambda x: F.array_join(x, " ")
-    df = df.withColumns({
-        p + "sa": join(F.array_sort(c("ta"))), p + "sb": join(F.array_sort(c("tb"))), p + "both": join(sect),
-        p + "w1": join(F.concat(sect, F.array_sort(F.array_except(da, db)))),
-        p + "w2": join(F.concat(sect, F.array_sort(F.array_except(db, da)))),
-        p + "empty": (F.size(c("ta")) == 0) | (F.size(c("tb")) == 0),
-    })
-    df = df.withColumn(p + "parts", _KERNELS[mode](ca, cb, *(c(n) for n in ("sa", "sb", "both", "w1", "w2"))))
-    return df.drop(*(p + n for n in ("ta", "tb", "sa", "sb", "both", "w1", "w2")))
+    tokens, forms = {}, {}
+    for a, b, p in pairs:
+        tokens |= {p + t: F.when(F.col(x).isNotNull(), clean_tokens(F.col(x))) for t, x in (("ta", a), ("tb", b))}
+        ta, tb = F.col(p + "ta"), F.col(p + "tb")
+        da, db = F.array_distinct(ta), F.array_distinct(tb)
+        sect = F.array_sort(F.array_intersect(da, db))
+        forms |= {
+            p + "sa": join(F.array_sort(ta)), p + "sb": join(F.array_sort(tb)), p + "both": join(sect),
+            p + "w1": join(F.concat(sect, F.array_sort(F.array_except(da, db)))),
+            p + "w2": join(F.concat(sect, F.array_sort(F.array_except(db, da)))),
+            p + "empty": (F.size(ta) == 0) | (F.size(tb) == 0),
+        }
+    df = df.withColumns(tokens).withColumns(forms)
+    prepared = [F.col(c) for a, b, p in pairs for c in (a, b, *(p + x for x in PREPARED[2:]))]
+    df = df.withColumn("_ratios", _kernel(mode, len(pairs))(*prepared))
+    df = df.withColumns({p + "parts": F.struct(*(F.col("_ratios")[f"{x}{i}"].alias(x) for x in PARTS)) for i, (_, _, p) in enumerate(pairs)})
+    return df.drop("_ratios", *(p + x for _, _, p in pairs for x in ("ta", "tb", *PREPARED[2:])))
 
 
 def _token_set(p: str) -> Column:
@@ -214,19 +293,28 @@ def _token_set(p: str) -> Column:
 def with_fuzzy_ratios(df: DataFrame, a: str, b: str, mode: str = "aligned") -> DataFrame:
     """M1-M4 of columns ``a``/``b``: one Arrow round trip. Null input -> null output."""
     p, parts = "_m_", F.col("_m_parts")
-    return _with_parts(df, a, b, p, mode).withColumns({
+    return _with_parts(df, [(a, b, p)], mode).withColumns({
         "m1_ratio": parts["ratio"], "m2_partial_ratio": parts["partial"], "m3_token_sort_ratio": parts["token_sort"],
         "m4_token_set_ratio": _token_set(p),
     }).drop(p + "parts", p + "empty")
 
 
-def with_fuzzy_average(df: DataFrame, a: str, b: str, out: str, mode: str = "aligned") -> DataFrame:
-    """M5 on columns ``a``/``b``: adds ``out`` = (M1 + M2 + M3 + M4) / 400.
+def with_fuzzy_averages(df: DataFrame, pairs: list[tuple[str, str, str]], mode: str = "aligned") -> DataFrame:
+    """M5 of several pairs of columns (a, b, out): adds each ``out`` = (M1 + M2 + M3 + M4) / 400.
 
-    One Arrow round trip. Terms are added in the original's order, so
+    One Arrow round trip for all. Terms are added in the original's order, so
     threshold tests on the result agree to the last bit. Null input -> null output.
     """
-    p, h = f"_{out}_", F.lit(100.0)
-    parts = F.col(p + "parts")
-    total = ((parts["ratio"] / h + parts["partial"] / h) + parts["token_sort"] / h) + _token_set(p) / h
-    return _with_parts(df, a, b, p, mode).withColumn(out, total / F.lit(4.0)).drop(p + "parts", p + "empty")
+    h, prefix = F.lit(100.0), lambda out: f"_{out}_"
+    df = _with_parts(df, [(a, b, prefix(out)) for a, b, out in pairs], mode)
+    averages = {}
+    for _, _, out in pairs:
+        parts = F.col(prefix(out) + "parts")
+        total = ((parts["ratio"] / h + parts["partial"] / h) + parts["token_sort"] / h) + _token_set(prefix(out)) / h
+        averages[out] = total / F.lit(4.0)
+    return df.withColumns(averages).drop(*(prefix(out) + x for _, _, out in pairs for x in ("parts", "empty")))
+
+
+def with_fuzzy_average(df: DataFrame, a: str, b: str, out: str, mode: str = "aligned") -> DataFrame:
+    """M5 of columns ``a``/``b``; see :func:`with_fuzzy_averages`."""
+    return with_fuzzy_averages(df, [(a, b, out)], mode)

@@ -145,30 +145,30 @@ def m2_partial_ratio_aligned(spark, sf_dir):
     return p.select("pair_id", "m2_partial_ratio")
 
 
+# Each pair of strings is scored once, whichever names and normalisations it comes from.
+_M5_FORMS = [("a", "b", "m5a_raw"), ("n1a", "n1b", "m5b_n1"), ("n2a", "n2b", "m5c_n2"), ("n3a", "n3b", "m5d_n3")]
 M5_SQL = f"""
 with {_BASE},
-b1 as (select *, {D.n1('a', 'api')} as n1a, {D.n1('b', 'api')} as n1b,
-              {D.n2('a', 'batch')} as n2a, {D.n2('b', 'batch')} as n2b,
-              {D.n3('a', 'batch')} as n3a, {D.n3('b', 'batch')} as n3b from b0)
-select pair_id, round({D.fuzzy_average('a', 'b')}, 6) as m5a_raw,
-       round({D.fuzzy_average('n1a', 'n1b')}, 6) as m5b_n1,
-       round({D.fuzzy_average('n2a', 'n2b')}, 6) as m5c_n2,
-       round({D.fuzzy_average('n3a', 'n3b')}, 6) as m5d_n3
-from b1
+names as materialized (select distinct a as x from b0 union select b from b0),
+forms as materialized (select x, {D.n1('x', 'api')} as n1, {D.n2('x', 'batch')} as n2, {D.n3('x', 'batch')} as n3 from names),
+b1 as materialized (select pair_id, a, b, f.n1 as n1a, g.n1 as n1b, f.n2 as n2a, g.n2 as n2b, f.n3 as n3a, g.n3 as n3b
+  from b0 join forms f on f.x = b0.a join forms g on g.x = b0.b),
+strings as materialized ({" union ".join(f"select {x} as x, {y} as y from b1" for x, y, _ in _M5_FORMS)}),
+scored as materialized (select x, y, {D.fuzzy_average('x', 'y')} as m5 from strings)
+select pair_id, {", ".join(f"round(s{i}.m5, 6) as {out}" for i, (_, _, out) in enumerate(_M5_FORMS))}
+from b1 {" ".join(f"join scored s{i} on s{i}.x = {x} and s{i}.y = {y}" for i, (x, y, _) in enumerate(_M5_FORMS))}
 """
 
 
 @register("m5_fuzzy_averages", M5_SQL)
 def m5_fuzzy_averages(spark, sf_dir):
-    """M5a-d: fuzzy average on raw, N1 (api), N2 and N3 (batch) names."""
-    p = _pairs_ab(spark, sf_dir)
+    """M5a-d: fuzzy average on raw, N1 (api), N2 and N3 (batch) names, of each distinct pair in one kernel."""
+    pairs = _pairs_ab(spark, sf_dir).select("pair_id", "a", "b")
     a, b = F.col("a"), F.col("b")
-    p = (p.withColumn("n1a", N.n1(a, "api")).withColumn("n1b", N.n1(b, "api"))
-          .withColumn("n2a", N.n2(a)).withColumn("n2b", N.n2(b))
-          .withColumn("n3a", N.n3(a)).withColumn("n3b", N.n3(b)))
-    for src, out in (("", "m5a_raw"), ("n1", "m5b_n1"), ("n2", "m5c_n2"), ("n3", "m5d_n3")):
-        p = Z.with_fuzzy_average(p, src + "a", src + "b", out, MODE)
-    return p.select("pair_id", *[_r6(F.col(c)).alias(c) for c in ("m5a_raw", "m5b_n1", "m5c_n2", "m5d_n3")])
+    p = pairs.select("a", "b").distinct().withColumns({
+        "n1a": N.n1(a, "api"), "n1b": N.n1(b, "api"), "n2a": N.n2(a), "n2b": N.n2(b), "n3a": N.n3(a), "n3b": N.n3(b)})
+    p = Z.with_fuzzy_averages(p, _M5_FORMS, MODE)
+    return pairs.join(p, ["a", "b"]).select("pair_id", *[_r6(F.col(c)).alias(c) for _, _, c in _M5_FORMS])
 
 
 # ---------------------------------------------------------------------------

@@ -235,3 +235,27 @@ def test_enrichment_keeps_all_rows(spark):
     out = C.enrich_pairs(pairs.withColumn("other", F.lit(1)), C.trigram_embedding)
     assert out.count() == pairs.count() and "results.first_layer_pass" in out.columns and "other" in out.columns
     assert C.enrich_pairs(pairs.limit(0), C.trigram_embedding).count() == 0
+
+
+def test_window_lcs_in_one_pass():
+    """Semi-local LCS against every window, strings of all lengths in one batch."""
+    rng = random.Random(5)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    left = [word("abc d", 14) for _ in range(800)] + ["", "x", "é" * 3, word("ab", 300), "a" * 70]
+    right = [word("abc dé", 25) for _ in range(800)] + ["abc", "", "aéébéé", word("ab", 200), "b" * 5 + "a" * 69]
+    whole, best = fuzzy.window_lcs(left, right)
+    for a, b, w, x in zip(left, right, whole, best):
+        a, b = sorted((a, b), key=len)
+        assert w == fuzzy.lcs_length(a, b)
+        assert x == max((fuzzy.lcs_length(a, b[s:s + len(a)]) for s in range(len(b) - len(a) + 1)), default=0)
+
+
+def test_averages_of_several_columns_share_a_kernel(spark):
+    rows = [("ram kumar", "kumar ram", "x", None), (None, "a", "", "b"), ("", "", "abc", "abd"), ("Mr. X", "mr x", None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string")
+    for mode in fuzzy.PARTIAL_MODES:
+        both = fuzzy.with_fuzzy_averages(df, [("a", "b", "p"), ("c", "d", "q")], mode)
+        one = fuzzy.with_fuzzy_average(fuzzy.with_fuzzy_average(df, "a", "b", "p", mode), "c", "d", "q", mode)
+        assert both.columns == [*df.columns, "p", "q"]
+        assert sorted(map(str, both.collect())) == sorted(map(str, one.collect()))
+        assert str(both._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
