@@ -6,11 +6,14 @@ Plan shape
   ""), with map-side partial aggregation, so a pair repeated across a third of
   all rows is scored once; results are joined back on the keys (AQE splits a
   skewed key on the large side).
-* The layers are successive projections over that dimension. The raw names
-  are nulled before a later layer for rows an earlier layer already decided,
-  so neither its normalisation nor its kernel (one Arrow round trip a layer)
-  does work for them — without a union, a persist or a second scan.
+* What depends on one name alone comes from a dictionary of the distinct
+  names (see ``names``); a model's vectors and the similarities of phonetic
+  codes are computed once a name and once a pair of codes.
+* Pairs that layer 1 decides leave there: the rest goes on to layers 2 and 3,
+  where names are nulled for what layer 2 decides, so the kernel of layer 3
+  (one Arrow round trip a layer) does no work for them.
   ``Second_*``/``Third_*`` columns are null when the layer was not reached.
+* Streams have no dictionary: there the layers are successive projections.
 * Per-layer frames, combined positives and metrics are filters / one
   aggregation over the single scored frame.
 """
@@ -27,6 +30,8 @@ from ..functions import normalize as N
 from ..functions import similarity as S
 from ..functions.fuzzy import with_fuzzy_average
 from ..functions.vectors import cosine_similarity
+from ..session import settled
+from . import names as D
 
 EmbeddingFn = Callable[[DataFrame, str, str, str], DataFrame]
 
@@ -47,9 +52,13 @@ def trigram_embedding(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
 
 def model_embedding(embed_udf) -> EmbeddingFn:
     """M9 with a user model: ``embed_udf`` maps a string column to a vector
-    column (e.g. :func:`simforge.functions.embed.embedding_udf`)."""
+    column (e.g. :func:`simforge.functions.embed.embedding_udf`). It runs once
+    for each distinct name of pairs whose names differ (on a stream, once a row)."""
     def run(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-        df = df.withColumn(f"_{out}_va", embed_udf(F.col(a))).withColumn(f"_{out}_vb", embed_udf(F.col(b)))
+        if df.isStreaming:
+            df = df.withColumn(f"_{out}_va", embed_udf(F.col(a))).withColumn(f"_{out}_vb", embed_udf(F.col(b)))
+        else:
+            df = D.with_vectors(df, a, b, out, D.embedded_names(df, a, b, embed_udf))
         df = df.withColumn(out, F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(
             cosine_similarity(F.col(f"_{out}_va"), F.col(f"_{out}_vb"))))
         return df.drop(f"_{out}_va", f"_{out}_vb")
@@ -73,20 +82,14 @@ def table_embedding(vectors: DataFrame, key: str = "name", vec: str = "embedding
         F.min(F.col(vec).cast("array<double>")).alias("_v"))
 
     def run(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-        others = [c for c, t in df.dtypes if t == "string"]
-        for side, name in (("a", a), ("b", b)):
-            # rows that don't reach the layer have no name: spread them, they match nothing
-            spread = F.concat(F.lit("\x00"), F.xxhash64(*others).cast("string"))
-            df = df.withColumn(f"_{out}_key{side}", F.coalesce(F.col(name), spread))
-            own = v.select(F.col("_k").alias(f"_{out}_k{side}"), F.col("_v").alias(f"_{out}_v{side}"))
-            df = df.join(own, F.col(f"_{out}_key{side}") == F.col(f"_{out}_k{side}"), "left")
+        df = D.with_vectors(df, a, b, out, v)
         x, y = F.col(f"_{out}_va"), F.col(f"_{out}_vb")
         lost = F.col(a).isNotNull() & (F.col(a) != F.col(b)) & (x.isNull() | y.isNull())
         score = F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(cosine_similarity(x, y))
         if missing == "error":
             score = F.when(lost, F.raise_error(F.concat(F.lit("no vector for a name of: "), F.col(a), F.lit(" / "), F.col(b)))
                            .cast("double")).otherwise(score)
-        return df.withColumn(out, score).drop(*(f"_{out}_{c}{side}" for c in ("key", "k", "v") for side in "ab"))
+        return df.withColumn(out, score).drop(f"_{out}_va", f"_{out}_vb")
     return run
 
 
@@ -185,13 +188,51 @@ def _cascade_api(df: DataFrame, mode: str, embedding: EmbeddingFn) -> DataFrame:
     return df.withColumn("Prediction", pred.cast("int"))
 
 
+def _scored(dim: DataFrame, profile: str, mode: str, embedding: EmbeddingFn) -> DataFrame:
+    """The cascade over distinct pairs ``_a, _b``, with the forms of a dictionary of names."""
+    df = D.with_forms(dim, D.name_dictionary(dim, "_a", "_b", profile), "_a", "_b")
+    agree = F.col("_businessa") == F.col("_businessb")
+    if profile == "batch":
+        df = with_fuzzy_average(df, "_a", "_b", "First_Layer_Score", mode)
+        df = df.withColumn("_first", F.col("First_Layer_Score") >= K.LAYER1_THRESHOLD_BATCH)
+    else:
+        quick = N.token_subset(F.col("_n1a"), F.col("_n1b")) | N.permutation_match(F.col("_n1a"), F.col("_n1b"))
+        df = df.withColumn("_quick", quick)
+        df = _gate(_gate(df, "_n1a", "_fa", ~F.col("_quick")), "_n1b", "_fb", ~F.col("_quick"))
+        df = with_fuzzy_average(df, "_fa", "_fb", "_fz", mode)
+        close = F.coalesce(F.col("_fz") >= K.LAYER1_THRESHOLD_API, F.lit(False))
+        df = df.withColumn("_first", (F.col("_quick") | close) & agree).drop("_quick", "_fa", "_fb", "_fz")
+    df = settled(df, "layer-1")
+    decided, rest = df.where("_first"), df.where("not _first")
+    rest = embedding(rest, "_n2a", "_n2b", "_emb")
+    x, y = F.col("_n2a"), F.col("_n2b")
+    rest = rest.withColumn("_lev", S.levenshtein_similarity(x, y)).withColumn("_jac", S.jaccard_chars(x, y))
+    rest = D.with_code_similarity(rest, "_codea", "_codeb", "_pho")
+    rest = with_fuzzy_average(rest, "_n2a", "_n2b", "_fuz", mode)
+    score = S.weighted_score(F.col("_emb"), F.col("_lev"), F.col("_pho"), F.col("_jac"), F.col("_fuz"))
+    rest = rest.withColumn("Second_Layer_Score", score)
+    rest = rest.withColumn("Second_Layer_Pass", F.col("Second_Layer_Score") >= K.LAYER2_THRESHOLD)
+    open_ = ~_passed("Second_Layer_Pass")
+    rest = _gate(_gate(rest, "_n3a", "_ga", open_), "_n3b", "_gb", open_)
+    rest = with_fuzzy_average(rest, "_ga", "_gb", "_f3", mode)
+    rest = rest.withColumn("Third_Layer_Pass", F.when(open_, (F.col("_f3") >= K.LAYER3_THRESHOLD) & agree))
+    own = ["_a", "_b", *["First_Layer_Score"] * (profile == "batch"), "_first"]
+    out = rest.select(*own, "Second_Layer_Score", "Second_Layer_Pass", "Third_Layer_Pass")
+    out = out.unionByName(decided.select(*own), allowMissingColumns=True)
+    accepted = F.col("_first") | _passed("Second_Layer_Pass") | _passed("Third_Layer_Pass")
+    flag = (lambda c: c) if profile == "batch" else (lambda c: c.cast("int"))
+    out = out.withColumn("First_Layer_Pass", flag(F.col("_first"))).withColumn("Prediction", flag(accepted))
+    return out.select("_a", "_b", *(BATCH_COLUMNS if profile == "batch" else API_COLUMNS))
+
+
 def score_pairs(pairs: DataFrame, embedding: EmbeddingFn, profile: str = "batch",
                 partial_mode: str = "aligned", dedupe: bool = True,
                 name1: str = "name1", name2: str = "name2") -> DataFrame:
     """C5 (``batch``) / C6 + C9 (``api``): all input columns + the layer columns.
 
     ``embedding`` provides M9 (a model, a vector table, or the named stand-in).
-    ``dedupe=False`` keeps the plan a pure projection (needed on streams).
+    ``dedupe=False`` keeps the plan a pure projection (needed on streams);
+    otherwise the dictionary of names and the results of layer 1 are settled.
     """
     if profile not in N.PROFILES:
         raise ValueError(f"unknown profile {profile!r}")
@@ -200,7 +241,7 @@ def score_pairs(pairs: DataFrame, embedding: EmbeddingFn, profile: str = "batch"
                  .withColumn("_b", N.null_to_empty(F.col(name2)))
     if not dedupe:
         return run(keyed, partial_mode, embedding).drop("_a", "_b")
-    dim = run(keyed.select("_a", "_b").distinct(), partial_mode, embedding)
+    dim = _scored(keyed.select("_a", "_b").distinct(), profile, partial_mode, embedding)
     return keyed.join(dim, ["_a", "_b"], "left").drop("_a", "_b")
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import METRICS, stack_vectors
-from ..session import shared_folder
+from ..session import settled, shared_folder
 from .vector_search import (_parallelism, _result_schema, block_rows_for, cogroup_topk, collapse_copies, ranked_topk,
                             shown)
 
@@ -392,12 +392,6 @@ def _limits(cands: DataFrame, k: int, metric: str) -> DataFrame:
     return ranked.groupBy("query_uri", "query_key").agg(limit.alias("limit"))
 
 
-def _settled(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def search_rows(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int | None = None, stop: float = 1.0,
                 exclude_self: bool = False, block_rows: int | None = None) -> DataFrame:
     """Candidates of the query rows ``id, vec, rowkey, copies``, which hold each row's k best.
@@ -415,12 +409,12 @@ def search_rows(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int |
         if first is not None and nprobe is not None:
             parts.append(first)
         elif first is not None:
-            first = _settled(first, "first-round")
+            first = settled(first, "first-round")
             limits = _limits(first, k, index.metric)
             same = F.col("id").eqNullSafe(F.col("query_uri")) & (F.col("rowkey") == F.col("query_key"))
             far = math.pi if index.metric == "cosine" else math.inf
             limited = directed.join(limits, same, "left").select("id", "vec", "rowkey", "copies", F.coalesce("limit", F.lit(far)).alias("limit"))
-            second = _cells(index, _settled(limited, "limits"), lists, k, exclude_self, block_rows)
+            second = _cells(index, settled(limited, "limits"), lists, k, exclude_self, block_rows)
             parts += [first] if second is None else [first, second]
     odd = index.assignments.where(F.col("list_id") == ODD_LIST)
     if index.odd_rows:
@@ -441,7 +435,7 @@ def ivf_search(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int | N
 
     ``nprobe=None`` reads the lists that the k-th best and ``stop`` leave open (exact for 1).
     """
-    rows = _settled(collapse_copies(queries, id_col, vec_col, null_ids=not exclude_self), "queries")
+    rows = settled(collapse_copies(queries, id_col, vec_col, null_ids=not exclude_self), "queries")
     return shown(ranked_topk(search_rows(index, rows, k, nprobe, stop, exclude_self, block_rows), k))
 
 
@@ -476,7 +470,7 @@ def stop_for(index: IvfIndex, queries: DataFrame, recall: float = 0.9, k: int =
     """
     if not len(index.rows):
         return 1.0
-    rows = _settled(collapse_copies(_sampled(queries, sample, id_col), id_col, vec_col, null_ids=not exclude_self), "sample")
+    rows = settled(collapse_copies(_sampled(queries, sample, id_col), id_col, vec_col, null_ids=not exclude_self), "sample")
     cands = search_rows(index, rows, k, None, 1.0, exclude_self)
     hits = ranked_topk(cands, k).where("similarity_percentage is not null")
     where = index.assignments.select(F.col("id").alias("_id"), F.col("rowkey").alias("_key"), "list_id")

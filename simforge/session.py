@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -54,3 +55,10 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="simforge-"))
     return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: evaluated once, and its lineage cut."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -259,3 +259,39 @@ def test_averages_of_several_columns_share_a_kernel(spark):
         assert both.columns == [*df.columns, "p", "q"]
         assert sorted(map(str, both.collect())) == sorted(map(str, one.collect()))
         assert str(both._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
+
+
+def test_a_model_runs_once_for_each_name_that_reaches_layer_2(spark):
+    """Pairs of few names, one of them in most pairs; names are counted inside the model's calls."""
+    import pandas as pd
+
+    names = [f"{x} {y}" for x in ("ravi", "omkar", "zubin", "xiang") for y in ("pqrs", "tuvw", "lmnop")]
+    rows = [("hot name", n, 0) for n in names] * 5 + [(a, b, 0) for a in names[:6] for b in names[6:]]
+    pairs = spark.createDataFrame(rows, "name1 string, name2 string, labels int")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<double>")
+    def model(names: pd.Series) -> pd.Series:
+        calls.add(len(names))
+        return names.map(lambda n: [float(n.count(c)) for c in "aeioupqr"])
+
+    for profile in ("batch", "api"):
+        before = calls.value
+        scored = C.score_pairs(pairs, C.model_embedding(model), profile)
+        got = scored.collect()
+        reached = scored.where("Second_Layer_Score is not null").select("name1", "name2").distinct()
+        forms = reached.select(N.n2(F.col("name1"), profile).alias("a"), N.n2(F.col("name2"), profile).alias("b")).where("a <> b")
+        wanted = forms.select("a").union(forms.select("b")).distinct().count()
+        assert wanted > 5 and calls.value - before == wanted
+        per_row = C.score_pairs(pairs, lambda df, a, b, out: df.withColumn(out, F.when(F.col(a) == F.col(b), 1.0).otherwise(
+            C.cosine_similarity(model(F.col(a)), model(F.col(b))))), profile, dedupe=False)
+        assert sorted(map(str, got)) == sorted(map(str, per_row.select(*scored.columns).collect()))
+
+
+def test_code_pairs_by_memo(spark):
+    from simforge.operators import names as D
+
+    df = spark.createDataFrame([("R200", "R210"), ("R200", "R210"), ("", "A000"), (None, "A000"), ("K500", "K500")], "a string, b string")
+    memo = D.with_code_similarity(df, "a", "b", "p").collect()
+    plain = {(r.a, r.b): r.p for r in S.with_jaro_winkler(df.where("a is not null"), "a", "b", "p").collect()}
+    assert len(memo) == 5 and all(r.p == plain.get((r.a, r.b)) for r in memo)
