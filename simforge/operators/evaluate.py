@@ -56,18 +56,16 @@ def confusion_matrix(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("confusion_matrix", F.array(F.array("tn", "fp"), F.array("fn", "tp")))
 
 
-def layer_metrics(scored: DataFrame, label: str = "labels") -> DataFrame:
-    """Metrics on the rows that *reached* each layer of a batch cascade.
-
-    One pass: twelve conditional counts, then three rows (layer 1..3).
-    """
+def layer_counts(label: str = "labels") -> list[Column]:
+    """Twelve conditional counts: E1 on the rows that reached each layer of a batch cascade."""
     y = F.col(label)
-    l1 = F.col("First_Layer_Pass")
-    l2 = F.col("Second_Layer_Pass")
-    l3 = F.col("Third_Layer_Pass")
-    aggs = (_counts(y, l1, None, "l1_") + _counts(y, l2, ~l1, "l2_") +
+    l1, l2, l3 = (F.col(f"{x}_Layer_Pass") for x in ("First", "Second", "Third"))
+    return (_counts(y, l1, None, "l1_") + _counts(y, l2, ~l1, "l2_") +
             _counts(y, l3, ~l1 & ~F.coalesce(l2, F.lit(False)), "l3_"))
-    wide = scored.agg(*aggs)
+
+
+def metrics_of_layers(wide: DataFrame) -> DataFrame:
+    """Three rows (layer 1..3) from one row of :func:`layer_counts`."""
     rows = F.explode(F.array(*[
         F.struct(F.lit(i).alias("layer"), *[F.col(f"l{i}_{c}").cast("long").alias(c) for c in COUNT_COLUMNS])
         for i in (1, 2, 3)]))
@@ -76,6 +74,11 @@ def layer_metrics(scored: DataFrame, label: str = "labels") -> DataFrame:
                        *metrics_from_counts(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp")))
 
 
+def layer_metrics(scored: DataFrame, label: str = "labels") -> DataFrame:
+    """Metrics on the rows that *reached* each layer of a batch cascade, in one pass."""
+    return metrics_of_layers(scored.agg(*layer_counts(label)))
+
+
 def scale_labels(pairs: DataFrame, scale: float = 5.0) -> DataFrame:
     """Training-pair view: names as strings, labels / 5.0."""
     return pairs.select(F.col("name1").cast("string").alias("name1"),

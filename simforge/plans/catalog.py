@@ -29,4 +29,4 @@ def register(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from . import name_queries, stream_queries, vector_queries  # noqa: F401
+    from . import name_queries, source_queries, stream_queries, vector_queries  # noqa: F401

@@ -8,6 +8,8 @@ without oracle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -16,6 +18,8 @@ from ..functions import normalize as N
 from ..functions import similarity as S
 from ..operators import cascade as C
 from ..operators import evaluate as E
+from ..session import shared_folder
+from ..sources import io as sio
 from ..sources.tables import PAIRS_SQL, name_pairs, table
 from . import duck as D
 from .catalog import register
@@ -199,8 +203,8 @@ def m6_m9_pair_similarities(spark, sf_dir):
                     _r6(S.trigram_cosine(x, y)).alias("m9_embedding_standin"))
 
 
-def _l2_sql(x: str, y: str) -> str:
-    return D.weighted_score(D.trigram_cosine(x, y), D.levenshtein_similarity(x, y),
+def _l2_sql(x: str, y: str, embedding=D.trigram_cosine) -> str:
+    return D.weighted_score(embedding(x, y), D.levenshtein_similarity(x, y),
                             D.phonetic_similarity(x, y), D.jaccard_chars(x, y), D.fuzzy_average(x, y))
 
 
@@ -328,12 +332,12 @@ def c5_batch_cascade_aligned(spark, sf_dir):
     return _scored_batch(spark, sf_dir, "aligned")
 
 
-def api_cascade_sql(select: str, pairs_sql: str = PAIRS_SQL) -> str:
+def api_cascade_sql(select: str, pairs_sql: str = PAIRS_SQL, embedding=D.trigram_cosine) -> str:
     return f"""
 with {_base_sql(pairs_sql)}, {_l1_api_sql('b0')},
 c2 as materialized (select *, case when not l1pass then {D.n2('a', 'api')} end as n2a,
                  case when not l1pass then {D.n2('b', 'api')} end as n2b from l1c),
-c3 as materialized (select *, case when n2a is not null then {_l2_sql('n2a', 'n2b')} end as s2 from c2),
+c3 as materialized (select *, case when n2a is not null then {_l2_sql('n2a', 'n2b', embedding)} end as s2 from c2),
 {_l3_sql('c3', 'api', f'not l1pass and s2 < {K.LAYER2_THRESHOLD}')}
 {select}
 from l3b
@@ -430,6 +434,33 @@ def e7_metrics_per_layer(spark, sf_dir):
     return E.layer_metrics(_scored_batch(spark, sf_dir), "labels")
 
 
+@register("e7_observed_metrics", E7_SQL)
+def e7_observed_metrics(spark, sf_dir):
+    """E7 observed while the audit files of S3 are written: one pass over the scored pairs."""
+    return sio.write_layer_audit_once(_scored_batch(spark, sf_dir), f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}")
+
+
+S3_SQL = f"""
+with {_batch_cascade_sql()}
+select layer, pair_id, name1, name2, labels, First_Layer_Score, First_Layer_Pass,
+  case when layer >= 2 then Second_Layer_Score end as Second_Layer_Score,
+  case when layer >= 2 then Second_Layer_Pass end as Second_Layer_Pass,
+  case when layer >= 3 then Third_Layer_Pass end as Third_Layer_Pass,
+  case layer when 1 then First_Layer_Pass when 2 then Second_Layer_Pass else Third_Layer_Pass end as Prediction
+from scored, (select unnest([1, 2, 3]) as layer) t
+where layer = 1 or (layer = 2 and not First_Layer_Pass)
+  or (layer = 3 and not First_Layer_Pass and not coalesce(Second_Layer_Pass, false))
+"""
+
+
+@register("s3_layer_audit", S3_SQL)
+def s3_layer_audit(spark, sf_dir):
+    """S3: the audit files, read back: each layer with the rows that reached it."""
+    scored, folder = _scored_batch(spark, sf_dir), f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    sio.write_layer_audit_once(scored, folder)
+    return sio.read_layer_audit(spark, folder, scored.schema)
+
+
 E1_E6_SQL = f"""
 with counts as (select 0 as layer, {_counts_sql('quality', 'toxic')} from labels)
 select tn, fp, fn, tp, accuracy, precision, recall, f1_score, roc_auc_score

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import evaluate as E
+from ..session import settled
+
 PAIR_SCHEMA = T.StructType([
     T.StructField("name1", T.StringType()),
     T.StructField("name2", T.StringType()),
@@ -22,12 +25,36 @@ REVIEW_SCHEMA = T.StructType([
 ])
 
 
-def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header CSV with doubled quotes and quoted line breaks; an unquoted empty
-    cell is missing (null), a quoted one is an empty string."""
-    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-            .option("quote", '"').option("escape", '"').option("multiLine", True)
-            .option("nullValue", "").option("emptyValue", "").csv(path))
+#: Stands for a quoted empty cell while a file is parsed, to tell it from a missing one.
+EMPTY = "\x01"
+#: Holds the text of a row that doesn't fit the schema.
+CORRUPT = "_corrupt_record"
+
+
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = True) -> DataFrame:
+    """Header CSV with doubled quotes; an unquoted empty cell is missing (null), a
+    quoted one is an empty string. Quoted line breaks make a file one task's work;
+    where there are none (``line_breaks=False``) Spark splits it."""
+    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+          .option("quote", '"').option("escape", '"').option("multiLine", line_breaks)
+          .option("columnNameOfCorruptRecord", CORRUPT)
+          .option("nullValue", "").option("emptyValue", EMPTY).csv(path))
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.when(F.col(c) == EMPTY, F.lit("")).otherwise(F.col(c)) for c in strings})
+
+
+def read_csv_parted(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S1/S2 with bad rows routed aside: (rows that fit the schema, rejects ``file, record``).
+
+    A row with a cell of the wrong type (a quoted empty number is one), or with too few or too many cells, is a
+    reject with its text; nothing becomes null silently. The files are parsed
+    once, whole rows, into a settled table that both frames read.
+    """
+    parsed = _read_csv(spark, path, T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]), line_breaks)
+    parsed = settled(parsed.withColumn("_file", F.col("_metadata.file_path")), "csv")
+    bad = F.col(CORRUPT).isNotNull()
+    return (parsed.where(~bad).select(*schema.names),
+            parsed.where(bad).select(F.col("_file").alias("file"), F.rtrim(F.col(CORRUPT), F.lit("\r\n")).alias("record")))
 
 
 def read_pairs_csv(spark: SparkSession, path: str, schema: T.StructType = PAIR_SCHEMA,
@@ -66,6 +93,37 @@ def write_layer_audit(frames: dict[int, DataFrame], folder: str, mode: str = "ov
         write_csv(frame, f"{folder}/layer_{layer}", mode)
 
 
+#: Columns of a batch cascade that a layer adds.
+LAYER_COLUMNS = {2: ["Second_Layer_Score", "Second_Layer_Pass"], 3: ["Third_Layer_Pass"]}
+
+
+def write_layer_audit_once(scored: DataFrame, folder: str, label: str = "labels", mode: str = "overwrite") -> DataFrame:
+    """S3 + E7 in one pass over a batch cascade: CSV files parted by ``layer``, and the metrics of the layers.
+
+    A row is written for each layer it reached, with ``Prediction`` as that
+    layer decided and the columns of later layers empty. The counts of E7 are
+    observed while the rows pass to the writer.
+    """
+    seen = Observation("layers")
+    l1, l2 = F.col("First_Layer_Pass"), F.coalesce(F.col("Second_Layer_Pass"), F.lit(False))
+    reached = F.when(l1, F.array(F.lit(1))).when(l2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    rows = scored.observe(seen, *E.layer_counts(label)).withColumn("layer", F.explode(reached))
+    verdict = F.when(F.col("layer") == 1, l1).when(F.col("layer") == 2, F.col("Second_Layer_Pass")).otherwise(F.col("Third_Layer_Pass"))
+    later = {c: F.when(F.col("layer") >= layer, F.col(c)) for layer, columns in LAYER_COLUMNS.items() for c in columns}
+    rows = rows.withColumns({"Prediction": verdict, **later})
+    rows.write.mode(mode).partitionBy("layer").option("header", True).option("escape", '"').option("emptyValue", '""').csv(folder)
+    counts = seen.get
+    spark = scored.sparkSession
+    wide = spark.range(1).select(*(F.lit(n).alias(c) for c, n in counts.items()))
+    return E.metrics_of_layers(wide)
+
+
+def read_layer_audit(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The rows of :func:`write_layer_audit_once`; ``schema`` is that of the scored frame."""
+    own = T.StructType([*schema.fields, T.StructField("layer", T.IntegerType())])
+    return _read_csv(spark, folder, own, line_breaks=True)
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
     """Create-table-as-select, as a parquet folder."""
     w = df.write.mode(mode)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from simforge.operators import cascade as C, review as R
+from simforge.operators import cascade as C, evaluate as E, review as R
 from simforge.session import shared_folder
 from simforge.sources import io as sio
 from simforge.sources.tables import name_pairs, stream_pairs, table, table_stream
@@ -40,7 +40,51 @@ def test_review_csv_tells_empty_from_missing(spark, tmp_path):
     head = "query_file_name,similar_file_name,merchant_id_x,merchant_id_y,labels,score\n"
     (tmp_path / "r.csv").write_text(head + 'a,b,1,2,"",0.5\nc,d,1,2,,0.5\n')
     got = {r.query_file_name: r.labels for r in sio.read_review_csv(spark, str(tmp_path / "r.csv")).collect()}
-    assert got["c"] is None and got["a"] in ("", None)
+    assert got["c"] is None and got["a"] == ""
+
+
+def test_csv_rejects(spark, tmp_path):
+    body = 'name1,name2,labels\na,"",1\n"x, ""y""",z,two\nonly one\n"",b,\nc,d,3,more\n"line\nbreak",e,4\n'
+    (tmp_path / "p.csv").write_text(body)
+    good, bad = sio.read_csv_parted(spark, str(tmp_path / "p.csv"), sio.PAIR_SCHEMA)
+    assert sorted(map(tuple, good.collect()), key=str) == sorted([("a", "", 1), ("", "b", None), ("line\nbreak", "e", 4)], key=str)
+    rejects = bad.collect()
+    assert sorted(r.record for r in rejects) == ['"x, ""y""",z,two', "c,d,3,more", "only one"]
+    assert all(r.file.endswith("p.csv") for r in rejects)
+
+
+def test_splittable_csv_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("name1,name2,labels\n" + "".join(f"a{i},b,{i}\n" for i in range(5000)) + "z,b,x\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        assert sio._read_csv(spark, str(tmp_path / "p.csv"), sio.PAIR_SCHEMA, line_breaks=False).rdd.getNumPartitions() > 4
+        good, bad = sio.read_csv_parted(spark, str(tmp_path / "p.csv"), sio.PAIR_SCHEMA, line_breaks=False)
+        assert good.count() == 5000 and good.agg({"labels": "sum"}).first()[0] == sum(range(5000)) and [r.record for r in bad.collect()] == ["z,b,x"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_audit_in_one_pass(spark, tmp_path):
+    scored = C.score_pairs(name_pairs(spark, SF), C.trigram_embedding, "batch")
+    metrics = sio.write_layer_audit_once(scored, str(tmp_path / "audit"))
+    back = sio.read_layer_audit(spark, str(tmp_path / "audit"), scored.schema)
+    for layer, frame in C.layer_frames(scored).items():
+        own = back.where(F.col("layer") == layer).select(*frame.columns)
+        assert sorted(map(str, own.collect())) == sorted(map(str, frame.collect()))
+    assert sorted(map(tuple, metrics.collect())) == sorted(map(tuple, E.layer_metrics(scored).collect()))
+
+
+def test_positions_of_skewed_and_empty_tables(spark):
+    from simforge.operators import positions as P
+
+    rows = spark.range(0, 3000, 1, 7).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") % 11).alias("k"), "id")
+    got = P.numbered(rows, "k", "id").orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, 3001)) and [(r.k, r.id) for r in got] == sorted((r.k, r.id) for r in got)
+    own = P.numbered(rows).orderBy("position").collect()
+    assert [r.id for r in own] == list(range(3000))
+    assert P.numbered(rows.limit(0), "k").count() == 0
+    both = P.concat_by_position(rows.select("id"), spark.range(5).select(F.col("id").alias("x")), ("id",), ("x",)).orderBy("position").collect()
+    assert len(both) == 3000 and [(r.id, r.x) for r in both[:6]] == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, None)]
 
 
 def test_layer_audit_and_enriched_sinks(spark, tmp_path):
