@@ -83,3 +83,10 @@ def j3_concat_by_position(spark, sf_dir):
     customers, suppliers = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "supplier").select("s_name")
     both = P.concat_by_position(customers, suppliers, (F.col("c_custkey").desc(),), ("s_name",))
     return both.select("position", "c_name", "s_name")
+
+
+@register("s5_object_files")
+def s5_object_files(spark, sf_dir):
+    """The files under a folder as objects, by their metadata alone (SQL has no such scan)."""
+    files = sio.object_table(spark, sf_dir, "*.parquet")
+    return files.select(F.element_at(F.split("uri", "/"), -1).alias("object"), "content_type", "size")

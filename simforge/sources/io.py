@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,10 +72,12 @@ def read_pairs_csv(spark: SparkSession, path: str, schema: T.StructType = PAIR_S
         df = _read_csv(spark, path, T.StructType(fields))
         return df.withColumn("pair_id", F.col(key)) if key != "pair_id" else df
     df = _read_csv(spark, path, schema).withColumn("_file", F.input_file_name()).withColumn("_row", F.monotonically_increasing_id())
+    df = settled(df, "numbered-csv")  # read once, so that all see the same numbers
     # a file's rows follow each other in its task, so they need no sort: a row's number is its distance from the first
     first = df.groupBy("_file").agg(F.min("_row").alias("_first"))
-    name = F.element_at(F.split("_file", "/"), -1)
-    numbered = df.join(F.broadcast(first), "_file")
+    below = F.regexp_extract("_file", f"{re.escape(path.rstrip('/'))}/(.+)$", 1)  # its path under the folder that was read
+    name = F.when(below == "", F.element_at(F.split("_file", "/"), -1)).otherwise(below)
+    numbered = df.join(first, "_file")
     return numbered.select(*schema.names, F.concat_ws("#", name, (F.col("_row") - F.col("_first")).cast("string")).alias("pair_id"))
 
 

@@ -1,5 +1,7 @@
 """Sources, sinks, review table, streaming and the entry module."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +167,19 @@ def test_queries_match_their_sql(spark, name):
     order = [[d[0] for d in found.description].index(c) for c in df.columns]
     show = lambda v: f"{v:.5f}" if isinstance(v, float) else str(v)
     assert sorted([show(r[i]) for i in order] for r in found.fetchall()) == sorted([show(v) for v in r] for r in df.collect())
+
+
+def test_object_files_by_metadata(spark):
+    from simforge.plans.source_queries import s5_object_files
+
+    got = {r.object: r.size for r in s5_object_files(spark, SF).collect()}
+    assert got["part.parquet"] == os.path.getsize(f"{SF}/part.parquet")
+
+
+def test_dedupe_takes_the_first_row_of_an_id(spark):
+    from simforge.operators import vector_search as vs
+
+    rows = [("a", None, 3), ("a", 2.0, 5), ("a", 2.0, 4), ("b", None, None), (None, 1.0, 1), (None, 0.5, 9)]
+    got = vs.dedupe_by_uri(spark.createDataFrame(rows, "uri string, x double, y int"), "uri", ["x"])
+    assert got.columns == ["uri", "x", "y"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 2.0, 4), ("b", None, None), (None, 0.5, 9)], key=str)
