@@ -61,11 +61,13 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q.astype(np.int64), x.astype(np.int64))
 
 
-def best(queries: np.ndarray, query_id: np.ndarray, base: np.ndarray, base_id: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query row, id, score) of each query's best k of a block."""
+def best(queries: np.ndarray, query_id: np.ndarray, base: np.ndarray, base_id: np.ndarray, k: int, met: list[int] | None = None) -> tuple[np.ndarray, ...]:
+    """(query row, id, score) of each query's best k of a block.  ``met`` gets the numbers of exact products."""
     order = np.argsort(-(base**2).sum(1), kind="stable")  # long vectors first: thresholds rise early
     base, base_id = base[order], base_id[order]
     levels = [(statistics(queries, s), statistics(base, s)) for s in SEGMENTS]
+    q_norm, norm = np.sqrt((queries**2).sum(1)), np.sqrt((base**2).sum(1))
+    top = np.abs(queries).max(initial=0) * np.abs(base).max(initial=0) * max(1, queries.shape[1])
     rows, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
     least = np.full(len(queries), -np.inf)
     for a in range(0, len(base), CHUNK):
@@ -74,11 +76,25 @@ def best(queries: np.ndarray, query_id: np.ndarray, base: np.ndarray, base_id: n
         for of_query, of_base in levels:
             some = np.flatnonzero(alive.any(1))
             bound = of_query[some] @ of_base[chunk].T
-            alive[some] &= bound + 1e-6 + 1e-9 * np.abs(bound) >= least[some, None]
+            # rounding grows with the terms of the sum, which the norms bound
+            alive[some] &= bound + 1e-6 + 1e-12 * q_norm[some, None] * norm[None, chunk] >= least[some, None]
         r, c = np.nonzero(alive)
         if not len(r):
             continue
-        got = np.concatenate([_exact(queries[r[i : i + 200_000]], base[a + c[i : i + 200_000]]) for i in range(0, len(r), 200_000)])
+        if met is not None:
+            met.append(len(r))
+        if top < 2.0**53 and len(r) > alive.size // 32:  # most survive: one exact matrix product
+            some = np.flatnonzero(alive.any(1))
+            product = np.where(alive[some], queries[some] @ base[chunk].T, -np.inf)
+            if product.shape[1] > k:  # what can't be among the best of this chunk alone
+                kth = np.partition(product, product.shape[1] - k, axis=1)[:, product.shape[1] - k]
+                product[product < np.maximum(kth, least[some])[:, None]] = -np.inf
+            r, c = np.nonzero(product > -np.inf)
+            got, r = product[r, c].astype(np.int64), some[r]
+        else:
+            got = np.concatenate([_exact(queries[r[i : i + 200_000]], base[a + c[i : i + 200_000]]) for i in range(0, len(r), 200_000)])
+            enter = got >= least[r]
+            r, c, got = r[enter], c[enter], got[enter]
         rows, ids, scores = np.r_[rows, r], np.r_[ids, base_id[a + c]], np.r_[scores, got]
         by = np.lexsort((ids, -scores, rows))
         rows, ids, scores = rows[by], ids[by], scores[by]
