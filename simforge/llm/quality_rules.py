@@ -66,6 +66,9 @@ NOISE = 2
 #: Cutoffs of each ladder, strictest last: 1, 1 - 1 / STEPS, ...
 STEPS = 200
 
+#: Strata with cutoffs, a few numbers each, up to which the cutoffs are broadcast.
+FEW_STRATA = 10_000
+
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _TEXT = "__text"
@@ -265,6 +268,8 @@ def joint_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang",
 def decide(measured: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:
     """``measured`` with __base_failed and __kept."""
     wide = chosen.groupBy(F.col("stratum").alias("__stratum")).agg(*(F.max(F.when(F.col("rule") == r, F.col("step"))).alias(f"__step_{r}") for r in RULES))
+    if len(wide.select("__stratum").take(FEW_STRATA + 1)) <= FEW_STRATA:
+        wide = F.broadcast(wide)  # else the join shuffles what was measured, texts included
     judged = measured.join(wide, F.col(f"`{stratum}`").eqNullSafe(F.col("__stratum")), "left")
     over = F.lit(False)
     for r, e in RULES.items():
