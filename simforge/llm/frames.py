@@ -50,3 +50,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 def fits(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Partitions for so many rows, never below the session's number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
+
+
+#: Bytes of a settled table up to which it is broadcast; beyond them Spark sorts both sides.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, row_bytes) -> DataFrame:
+    """A settled table, marked for broadcast if the bytes of its rows, by the expression ``row_bytes``, are few."""
+    size = df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

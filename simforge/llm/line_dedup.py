@@ -74,7 +74,8 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Keyed documents with n_lines, n_removed and kept_text; other columns pass through."""
     gone = later_copies(docs.select("k", "t", "text"), min_lines).select("k", "t", F.explode(F.expr(f"sequence(ord, ord + {min_lines - 1})")).alias("ord"))
-    gone = gone.groupBy("k", "t").agg(F.collect_set("ord").alias("__gone"))
+    gone = frames.settled(gone.groupBy("k", "t").agg(F.collect_set("ord").alias("__gone")), "gone")
+    gone = frames.small(gone, 64 + 8 * F.size("__gone"))  # else all texts are shuffled to meet the few that change
     joined = docs.join(gone, ["k", "t"], "left")
     joined = joined.withColumn("__lines", F.expr("case when __gone is not null then split(text, '\\n', -1) end"))
     joined = joined.withColumn("__places", F.expr(f"filter(sequence(0, size(__lines) - 1), i -> {_has_word('__lines[i]')})"))
