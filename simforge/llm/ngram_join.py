@@ -53,7 +53,12 @@ HUB_PAIRS = 1000
 #: Longer lists are searched block by block.
 LONG_LIST, PAIRS_AT_ONCE = 256, 1 << 21
 
-_SETS = "k long, t long, doc_id long, n_shingles long, fp long, block int, counts binary"
+#: Bits of a set's sketch: for each bit whether an odd number of members hash to it.
+SKETCH_BITS = 1024
+#: Members of a list from which on their sketches travel with it.
+SKETCHED = 64
+
+_SETS = "k long, t long, doc_id long, n_shingles long, fp long, sketch binary, block int, counts binary"
 _POSTINGS = "token long, fp long, n int, pos int"
 
 
@@ -85,12 +90,20 @@ def _fingerprints(row: np.ndarray, value: np.ndarray, n: np.ndarray) -> np.ndarr
     return mix(out + n.astype(np.uint64)).view(np.int64)
 
 
+def _sketches(row: np.ndarray, value: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parities of each row's set.  A member that only one of two sets has changes one bit, so sketches
+    differ in no more bits than the sets in members."""
+    bit = (mix(value ^ np.uint64(0x3C3C3C3CC3C3C3C3)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = np.bincount(row * SKETCH_BITS + bit, minlength=len(n) * SKETCH_BITS).reshape(len(n), SKETCH_BITS) & 1
+    return [x.tobytes() for x in np.packbits(odd.astype(bool), axis=1)]
+
+
 def _slot(value: np.ndarray, counters: int) -> np.ndarray:
     return (value >> np.uint64(64 - int(counters).bit_length() + 1)).astype(np.int64)
 
 
 def _find_sets(k: int, counters: int):
-    names = ["k", "t", "doc_id", "n_shingles", "fp", "block", "counts"]
+    names = ["k", "t", "doc_id", "n_shingles", "fp", "sketch", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(counters, np.int64)
@@ -100,10 +113,11 @@ def _find_sets(k: int, counters: int):
                 table += np.bincount(_slot(value, counters), minlength=counters)
                 fp = pa.array(_fingerprints(row, value, n), mask=n == 0)
                 none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
-                yield pa.RecordBatch.from_arrays([part["k"], part["t"], part["doc_id"], pa.array(n.astype(np.int64)), fp, *none], names)
+                sketch = pa.array(_sketches(row, value, n), pa.binary())
+                yield pa.RecordBatch.from_arrays([part["k"], part["t"], part["doc_id"], pa.array(n.astype(np.int64)), fp, sketch, *none], names)
         blocks = [(i, x.tobytes()) for i, x in enumerate(table.reshape(-1, _COUNTER_BLOCK)) if x.any()]
         if blocks:
-            none = [pa.nulls(len(blocks), pa.int64())] * 5
+            none = [*[pa.nulls(len(blocks), pa.int64())] * 5, pa.nulls(len(blocks), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array([x[0] for x in blocks], pa.int32()), pa.array([x[1] for x in blocks], pa.binary())], names)
 
     return run
@@ -213,11 +227,27 @@ def _long_list(begin: int, end: int, n, pos, comp, percent: int):
                     yield x[fits], y[fits]
 
 
+def _alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose sketches don't show that they differ in too many members to be linked."""
+    out = np.zeros(len(x), bool)
+    for a in range(0, len(x), 1 << 15):
+        i, j = x[a : a + (1 << 15)], y[a : a + (1 << 15)]
+        apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+        out[a : a + (1 << 15)] = apart <= n[i] + n[j] - 2 * needed(n[i], n[j], percent)
+    return out
+
+
 def _search_lists(percent: int):
-    """Candidate pairs (a, b) of different components, and how many lists they have to be in."""
+    """Candidate pairs (a, b) of different components, and how many lists they have to be in.
+
+    Sets of a large group that are near one another, but not near enough, would meet in all
+    their lists; their sketches keep them apart here."""
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         token, fp, n, pos, comp = (table[c].to_numpy().astype(np.int64) for c in ("token", "fp", "n", "pos", "comp"))
+        none = bytes(SKETCH_BITS // 8)
+        own = table["sketch"].to_pylist() if "sketch" in table.column_names else [None] * len(token)
+        sketch = np.frombuffer(b"".join(x or none for x in own), np.uint64).reshape(len(token), -1)
         cuts = np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)]
         begin, size = cuts[:-1], np.diff(cuts)
         short = size <= LONG_LIST
@@ -225,6 +255,8 @@ def _search_lists(percent: int):
         found += [_long_list(a, a + k, n, pos, comp, percent) for a, k in zip(begin[~short], size[~short])]
         for pairs in found:
             for x, y in pairs:
+                close = _alike(x, y, n, sketch, percent)
+                x, y = x[close], y[close]
                 cols = [np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y]), missing(n[x], n[y], percent)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "least"])
 
@@ -348,8 +380,10 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame
     labels = frames.settled(components(first), "labels")
 
     comp = shared.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "pos", F.coalesce("label", "fp").alias("comp"))
-    comp = comp.select("*", F.min("comp").over(own).alias("low"), F.max("comp").over(own).alias("high")).filter("low <> high")
-    rest = comp.select("token", "fp", "n", "pos", "comp").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_search_lists(percent), "a long, b long, least long")
+    comp = comp.select("*", F.min("comp").over(own).alias("low"), F.max("comp").over(own).alias("high"), F.count("*").over(own).alias("size")).filter("low <> high")
+    sketches = frames.settled(classes.filter("fp is not null").groupBy("fp").agg(F.min("sketch").alias("sketch")), "sketches")
+    comp = comp.join(frames.small(sketches, F.lit(64 + SKETCH_BITS // 8)), "fp").withColumn("sketch", F.when(F.col("size") > SKETCHED, F.col("sketch")))
+    rest = comp.select("token", "fp", "n", "pos", "comp", "sketch").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_search_lists(percent), "a long, b long, least long")
     rest = frames.settled(_often(rest).join(near, ["a", "b"], "left_anti"), "pairs")
     more = _verify(rest, _sets_of(docs, classes, rest, k), percent)
     ties = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))

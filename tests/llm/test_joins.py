@@ -203,3 +203,25 @@ def test_revisits(spark):
     assert got[12] == [("resolved", 11, "d3", {"etag": '"3"'})] * 2
     assert set(got) == {3, 4, 5, 6, 7, 8, 9, 12}
     assert revisits.resolve(df.filter("false")).count() == 0
+
+
+def test_sketches_never_show_more_than_the_difference():
+    """The parities of two sets differ in no more bits than the sets in members, and few fewer."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for i in rng.integers(0, 300, rng.integers(0, 30)):
+            words[i] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    row, value, n = ngram_join.shingles(pa.array([*texts, "", None]), 4)
+    sketch = np.frombuffer(b"".join(ngram_join._sketches(row, value, n)), np.uint64).reshape(len(n), -1)
+    sets = [set(value[row == i].tolist()) for i in range(len(n))]
+    for i in range(len(n)):
+        for j in range(i):
+            apart, bits = len(sets[i] ^ sets[j]), int(np.bitwise_count(sketch[i] ^ sketch[j]).sum())
+            assert bits <= apart and (apart > 200 or bits >= 0.75 * apart)
