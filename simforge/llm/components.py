@@ -9,12 +9,51 @@ no task of its own, and every round is settled in the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simforge.llm import frames
 
 
+#: Edges of which a task keeps a forest at a time.
+FOREST_EDGES = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (node, its root) that connect what the task's edges connect."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def out() -> pa.RecordBatch:
+        pairs = [(x, find(x)) for x in root]
+        pairs = [(x, y) for x, y in pairs if x != y]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        if len(root) > FOREST_EDGES:
+            yield out()
+            root.clear()
+    yield out()
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b) with the same components, of a settled table: each task replaces what it reads by a forest,
+    so a group whose members are linked with one another in very many ways costs its members."""
+    parts = max(1, -(-edges.count() // FOREST_EDGES))
+    return edges.select("a", "b").coalesce(parts).mapInArrow(_forest, "a long, b long")
+
+
 def _with_least(edges: DataFrame) -> DataFrame:
     """(u, v, m): m is the least of u and its neighbours v."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

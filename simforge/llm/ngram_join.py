@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simforge.llm import frames
-from simforge.llm.components import components
+from simforge.llm.components import components, thinned
 from simforge.llm.words import Words, mix, slices
 
 K, PERCENT = 4, 85
@@ -377,7 +377,7 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame
     near = _often(near.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"), F.expr(_missing_sql(percent)).cast("long").alias("least")))
     near = frames.settled(near, "pairs")
     first = frames.settled(_verify(near, _sets_of(docs, classes, near, k), percent), "links")
-    labels = frames.settled(components(first), "labels")
+    labels = frames.settled(components(thinned(first)), "labels")
 
     comp = shared.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "pos", F.coalesce("label", "fp").alias("comp"))
     comp = comp.select("*", F.min("comp").over(own).alias("low"), F.max("comp").over(own).alias("high"), F.count("*").over(own).alias("size")).filter("low <> high")
@@ -385,7 +385,7 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame
     comp = comp.join(frames.small(sketches, F.lit(64 + SKETCH_BITS // 8)), "fp").withColumn("sketch", F.when(F.col("size") > SKETCHED, F.col("sketch")))
     rest = comp.select("token", "fp", "n", "pos", "comp", "sketch").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_search_lists(percent), "a long, b long, least long")
     rest = frames.settled(_often(rest).join(near, ["a", "b"], "left_anti"), "pairs")
-    more = _verify(rest, _sets_of(docs, classes, rest, k), percent)
+    more = thinned(frames.settled(_verify(rest, _sets_of(docs, classes, rest, k), percent), "links"))
     ties = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = components(ties.unionByName(more))
     return classes, labels.select(F.col("node").alias("fp"), "label")
