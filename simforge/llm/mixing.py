@@ -14,9 +14,12 @@ is its cap needs no tilt: every rate is ``CAP``.
 
 Rounding: rates are summed along (source, size, doc_id), and each document gets the whole
 numbers passed by its step, between 0 and ``CAP``.  As neighbours have like sizes, a
-source's words miss the target by at most about twice its longest document.  The sums
-run over range partitions with carried totals, so a source with a third of all documents
-is spread over many tasks.
+source's words then miss the target by at most about twice its longest document.  Where that is
+more than ``SLACK`` of the target, the missing (or spare) words are settled: from the longest size that fits down, as
+many documents of a size as fit the rest get one copy more (or less).  Each size used at
+least halves the rest, so a source changes documents of few sizes, and it ends within the
+shortest document that still has room.  Sums and places run over range partitions with
+carried totals, so a source with a third of all documents is spread over many tasks.
 
 Native: DataFrame operations alone.  Reruns agree: the rates are integers in units of
 2 ** -24 and all sums are exact.
@@ -36,6 +39,8 @@ from simforge.llm import frames
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 #: A rate of one copy, in the integers that are summed.
 ONE = 1 << 24
+#: Share of its target by which a source may miss it, before documents leave their tilted rates.
+SLACK = 0.001
 #: Newton steps at most; the bracket of z.
 STEPS, REACH = 80, 700.0
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -92,6 +97,34 @@ def solve(sizes: DataFrame, wanted: DataFrame, cap: float = CAP) -> DataFrame:
     return wanted.join(state.select("sid", "z"), "sid", "left")
 
 
+def settle_words(rounded: DataFrame, cap: int = CAP) -> DataFrame:
+    """``rounded`` (sid, size, target, copies, __part, doc_id) with copies changed by one where words are missing or spare.
+
+    A source's list of sizes has at most one entry for each word of its longest document.
+    """
+    gaps = rounded.groupBy("sid").agg(F.first("target").alias("target"), F.round(F.first("target") - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("gap"))
+    gaps = gaps.filter(F.abs("gap") > SLACK * F.col("target")).select("sid", F.abs("gap").alias("rest"), F.signum("gap").cast("int").alias("__step"))
+    marked = rounded.join(gaps, "sid", "left")
+    room = (F.col("size") > 0) & (F.col("size") <= F.col("rest")) & (F.col("copies") + F.col("__step")).between(0, cap)
+    free = marked.filter(room).groupBy("sid", "rest", "__step", "size", "__part").agg(F.count("*").alias("n"))
+    free = frames.settled(free, "free")
+    sizes = free.groupBy("sid", "rest", "__step", "size").agg(F.sum("n").alias("n")).groupBy("sid", "rest", "__step").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    fit = "least(x.n, s.rest div x.size)"
+    filled = f"""aggregate(sizes, named_struct('rest', rest, 'used', cast(array() as array<struct<size:bigint,n:bigint>>)),
+      (s, x) -> if({fit} > 0, named_struct('rest', s.rest - {fit} * x.size, 'used', concat(s.used, array(named_struct('size', x.size, 'n', {fit})))), s)).used"""
+    used = sizes.select("sid", "__step", F.expr(f"inline({filled})")).withColumnRenamed("n", "__use")
+    before = F.sum("n").over(Window.partitionBy("sid", "size").orderBy("__part")) - F.col("n")
+    places = free.select("sid", "size", "__part", before.alias("__before")).join(used, ["sid", "size"]).filter("__before < __use")
+    places = frames.settled(places, "places")
+    # the few (source, size, part) with changes; all other rows pass as they are
+    key, able = ["sid", "size", "__part"], (F.col("copies") + F.col("__step")).between(0, cap)
+    met = rounded.join(places, key).withColumn("__able", able)
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*key, "__able").orderBy("doc_id", "copies"))
+    step = F.when(F.col("__able") & (place <= F.col("__use")), F.col("__step")).otherwise(0)
+    changed = met.withColumn("copies", F.col("copies") + step).select(*rounded.columns)
+    return rounded.join(places, key, "left_anti").select(*rounded.columns).unionAll(changed)
+
+
 def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """``rows`` (with source, size and an orderable doc_id) with source_size, target and copies."""
     sizes = frames.settled(rows.groupBy("source", "size").agg(F.count("*").alias("documents")), "sizes")
@@ -108,7 +141,8 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP)
     summed = ranged.withColumn("__sum", along).join(carried, ["sid", "__part"])
     upto = F.col("__before") + F.col("__sum") + ONE // 2
     passed = lambda x: F.shiftright(x, ONE.bit_length() - 1)
-    return summed.withColumn("copies", (passed(upto) - passed(upto - F.col("__rate"))).cast("long")).drop("__rate", "__part", "__before", "__sum", "sid")
+    rounded = summed.withColumn("copies", (passed(upto) - passed(upto - F.col("__rate"))).cast("long")).drop("__rate", "__before", "__sum")
+    return settle_words(frames.settled(rounded, "rounded"), cap).drop("sid", "__part")
 
 
 def sized(docs: DataFrame) -> DataFrame:
