@@ -31,17 +31,19 @@ def brute_substrings(rows, k):
     return out
 
 
-def brute_lines(rows, m):
+def brute_lines(rows, m, least_words=50):
     seen, out = set(), {}
     for doc_id, text in ordered(rows):
         lines = (text or "").split("\n")
         places = [i for i, x in enumerate(lines) if WORD.search(x)]
         gone = set()
-        for o in range(len(places) - m + 1):
-            run = tuple(lines[i] for i in places[o : o + m])
-            if run in seen:
-                gone.update(places[o : o + m])
-            seen.add(run)
+        sizes = [len(WORD.findall(lines[i])) for i in places]
+        for o in range(len(places)):
+            for n in range(1, len(places) - o + 1):
+                run = tuple(lines[i] for i in places[o : o + n])
+                if (n >= m or sum(sizes[o : o + n]) >= least_words) and run in seen:
+                    gone.update(places[o : o + n])
+                seen.add(run)
         kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         out[doc_id] = (len(places), len(gone), None if text is None else kept)
     return out
@@ -52,9 +54,9 @@ def substrings(spark, rows, k=20):
     return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in substring_dedup.dedup_substrings(docs, k).collect()}
 
 
-def lines(spark, rows, m=3):
+def lines(spark, rows, m=3, least_words=50):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup_lines(frames.keyed(docs), m).collect()}
+    return {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup_lines(frames.keyed(docs), m, least_words).collect()}
 
 
 def made_up(seed, n=60):
@@ -96,6 +98,30 @@ def test_lines_match_brute_force(spark, m):
     assert lines(spark, rows, m) == brute_lines(rows, m)
 
 
+@pytest.mark.parametrize("m", [3, 6])
+def test_runs_of_few_long_lines_match_brute_force(spark, m):
+    rng = random.Random(m)
+    pool = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(15)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 30)))) for i in range(25)]
+    assert lines(spark, rows, m, 8) == brute_lines(rows, m, 8)
+
+
+def test_repeated_runs_are_maximal(spark):
+    text = [f"line {i}" for i in range(40)]
+    rows = [(1, "\n".join(text)), (2, "\n".join(["own a", *text[3:30], "own b", *text[10:14], "own c"])), (3, "x\n" * 20)]
+    docs = frames.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.k, r.start, r.n) for r in line_dedup.repeated_runs(docs).collect()} == {(2, 1, 27), (2, 29, 4), (3, 1, 19)}
+    depths = {(r.k, r.ord): r.n for r in line_dedup.later_copies(docs).collect()}
+    assert depths[2, 1] == 16 and depths[2, 15] == 8 and depths[3, 1] == 16  # common prefixes, to a power of two
+
+
+def test_a_passage_in_one_line_is_found(spark):
+    passage = " ".join(f"w{i}" for i in range(51))
+    rows = [(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd"), (3, passage[:80]), (4, passage[:80])]
+    got = lines(spark, rows)
+    assert got[1] == (3, 0, rows[0][1]) and got[2] == (3, 1, "c\nd") and got[4][1] == 0
+
+
 def test_lines_match_brute_force_on_documents(spark, documents):
     assert lines(spark, documents) == brute_lines(documents, 3)
 
