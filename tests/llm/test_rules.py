@@ -6,6 +6,7 @@ import random
 import re
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -276,6 +277,46 @@ def test_estimate_finds_the_reliable_labelers():
     assert ((p[inverse] > 0.5) == truth).mean() > 0.93
 
 
+def test_estimate_matches_a_plain_loop():
+    rng = random.Random(4)
+    found = [[rng.choice([0, 1, 1, 2]) for _ in pii.LABELERS] for _ in range(30)]
+    weight = [rng.randint(1, 50) for _ in found]
+    share, right = pii.PRIOR
+    p = [1 / (1 + math.exp(v.count(0) - v.count(1))) for v in found]
+    for _ in range(100):
+        rate = {}
+        for truth in (0, 1):
+            for j in range(len(pii.LABELERS)):
+                mass = [sum(w * (q if truth else 1 - q) for v, w, q in zip(found, weight, p) if v[j] == vote) for vote in (0, 1)]
+                both = share * (1 + sum(mass))
+                mass = [m + both * (right if vote == truth else 1 - right) for vote, m in enumerate(mass)]
+                for vote in (0, 1):
+                    rate[truth, j, vote] = mass[vote] / sum(mass)
+        prior = (sum(q * w for q, w in zip(p, weight)) + 1) / (sum(weight) + 2)
+        p = []
+        for v in found:
+            yes, no = prior, 1 - prior
+            for j, vote in enumerate(v):
+                if vote < 2:  # silence is no evidence
+                    yes, no = yes * rate[1, j, vote], no * rate[0, j, vote]
+            p.append(yes / (yes + no))
+    assert pii.estimate(np.array(found), np.array(weight, float)) == pytest.approx(p, abs=1e-9)
+
+
+@pytest.mark.parametrize("rows", ["edge_docs", "empty_docs"])
+def test_pipeline_takes_edge_rows_and_empty_tables(spark, tmp_path, request, rows):
+    docs = request.getfixturevalue(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    (labels if rows == "edge_docs" else labels.limit(0)).write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    at = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0) and r.length >= 1
+        at[r.sequence_id] = r.offset + r.length
+    assert all(n <= 1024 for n in at.values()) and bool(got) == (rows == "edge_docs")
+
+
 def test_pipeline_keeps_its_contract(spark, tmp_path):
     """Each stage against brute force on its own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
