@@ -58,20 +58,24 @@ def stack_vectors(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.nd
         column = column.combine_chunks()
     lens = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
     width = int(lens.max(initial=0))
-    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0) \
-        if column.flatten().null_count else column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    values = column.flatten()
+    flat = values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if values.null_count:
+        flat = np.nan_to_num(flat, nan=0.0)
     if len(lens) and (lens == width).all():
         mat = flat.reshape(len(lens), width)
     else:
         mat = np.zeros((len(lens), width), dtype=np.float64)
         mat[np.repeat(np.arange(len(lens)), lens), np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat
-    norms = np.sqrt((mat * mat).sum(axis=1))
+    norms = np.zeros(len(mat))
+    for a in range(0, len(mat), 4096):  # no second matrix of the squares
+        norms[a : a + 4096] = np.sqrt((mat[a : a + 4096] * mat[a : a + 4096]).sum(axis=1))
     return mat, norms, lens > 0
 
 
 METRICS = ("cosine", "euclidean")
-#: Similarities that a cell holds at once.
-SCORES = 1 << 21
+#: Similarities that a cell holds at once, and left rows that it finishes together.
+SCORES, STEP = 1 << 20, 512
 
 
 def pair_similarity(dot, ln, rn, valid, metric: str):
@@ -95,12 +99,16 @@ def id_codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray,
 
 
 class Side:
-    """One side of a cell: rows ``id, vec, copies, rowkey`` as matrices."""
+    """One side of a cell: rows ``id, vec, copies, rowkey`` as matrices; the vectors are held once.
+
+    Where a cell holds several lists (see ``ivf``), base rows name theirs (``list_id``), and query rows
+    those that are open to them (``open``) and their k-th best so far (``limit``, an angle or distance).
+    """
 
     def __init__(self, rows: pa.Table):
-        self.rows = rows
         self.mat, self.norms, self.full = stack_vectors(rows["vec"])
         self.copies = rows["copies"].to_numpy()
+        self.rows = rows.drop_columns("vec")
 
 
 #: Columns of a candidate besides its ids: the query row's key and copies, the base row's key and copies, and their similarity.
@@ -118,28 +126,62 @@ def no_candidates(ids: pa.ChunkedArray) -> pa.Table:
 
 
 class _Groups:
-    """Rows of a side with equal vectors as one, the rows of a group in the order of their ids."""
-
-    def __init__(self, side: Side, ids: np.ndarray, width: int):
-        order = np.argsort(ids, kind="stable")
-        parts = np.ascontiguousarray(np.column_stack([side.mat[order, :width], side.norms[order], side.full[order]]))
+    """Rows of a side with equal vectors (and lists) as one, the rows of a group in the order of their ids."""
+
+    def __init__(self, side: Side, ids: np.ndarray, width: int, some: np.ndarray):
+        order = some[np.argsort(ids[some], kind="stable")]
+        lists = side.rows["list_id"].to_numpy() if "list_id" in side.rows.column_names else np.zeros(len(ids), np.int32)
+        parts = np.empty((len(order), width + 3))
+        parts[:, 0], parts[:, 1], parts[:, 2] = lists[order], side.norms[order], side.full[order]
+        np.take(side.mat[:, :width], order, axis=0, out=parts[:, 3:])
         _, first, group = np.unique(parts.view(f"V{parts.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
         by = np.argsort(group, kind="stable")
         self.members = order[by]
         self.size = np.bincount(group, minlength=len(first))
         self.begin = np.cumsum(self.size) - self.size
         at = order[first]
-        self.mat, self.norms, self.full = side.mat[at, :width], side.norms[at], side.full[at]
+        self.mat, self.norms, self.full = parts[first, 3:], side.norms[at], side.full[at]
         own = ids[self.members]
+        self.ids = int(ids.max(initial=0)) + 1
+        #: Sorted: where the rows of an id stand in a group.
+        self.keys = group[by] * self.ids + own
         self.first = own[self.begin]
         other = np.where(own == np.repeat(self.first, self.size), NO_OTHER, own)
         self.second = np.minimum.reduceat(other, self.begin)
+        #: The list of each group; groups of a list stand together.
+        self.lists = lists[at]
+
+    def rows(self, groups: np.ndarray, k: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``groups``, row): the first k rows of each group whose id isn't the one in ``without``."""
+        begin, size = self.begin[groups], self.size[groups]
+        low = high = begin
+        if without is not None:
+            known = without < self.ids
+            own = groups * self.ids + np.where(known, without, 0)
+            low, high = (np.where(known, np.searchsorted(self.keys, own, side), begin) for side in ("left", "right"))
+        take = np.minimum(size - (high - low), k)
+        again = np.repeat(np.arange(len(groups)), take)
+        place = begin[again] + np.arange(len(again)) - np.repeat(np.cumsum(take) - take, take)
+        place += np.where(place >= low[again], (high - low)[again], 0)
+        return again, self.members[place]
 
 
 #: Stands for the id of a row that doesn't exist.
 NO_OTHER = np.iinfo(np.int64).max
 
 
+def _open_lists(queries: Side, rows: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """Whether each of ``lists`` (sorted) is open to each of the query rows."""
+    of = queries.rows["open"].combine_chunks().take(pa.array(rows))
+    n = of.value_lengths().to_numpy(zero_copy_only=False)
+    found = of.flatten().to_numpy(zero_copy_only=False)
+    place = np.minimum(np.searchsorted(lists, found), len(lists) - 1)
+    here = lists[place] == found
+    out = np.zeros((len(rows), len(lists)), bool)
+    out[np.repeat(np.arange(len(rows)), n)[here], place[here]] = True
+    return out
+
+
 def topk_rows(left: Side, right: Side, k: int, exclude_self: bool, metric: str = "cosine") -> pa.Table:
     """Per left row, the k best right rows by (similarity desc, nulls last, id asc).
 
@@ -149,63 +191,86 @@ def topk_rows(left: Side, right: Side, k: int, exclude_self: bool, metric: str =
     what they leave is scored again one by one, so equal vectors score equally
     in every block. ``copies`` counts equal rows collapsed before; an entry
     stands for all of them, and rows are kept until the copies before them reach k.
+    Left rows are finished ``STEP`` at a time, so that beside the vectors only
+    the k entries of each row are held. Lists that are not open to a row are
+    left out, and so is what its limit shows to be worse than its k best.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     l_ids, r_ids = id_codes(left.rows["id"], right.rows["id"])
     l_rows = np.flatnonzero(l_ids >= 0) if exclude_self else np.arange(len(l_ids))  # a null id differs from nothing
-    if exclude_self and (r_ids < 0).any():
-        keep = np.flatnonzero(r_ids >= 0)
-        right, r_ids = Side(right.rows.take(pa.array(keep))), r_ids[keep]
-    if not len(l_rows) or not len(r_ids):
+    r_rows = np.flatnonzero(r_ids >= 0) if exclude_self else np.arange(len(r_ids))
+    if not len(l_rows) or not len(r_rows):
         return no_candidates(left.rows["id"])
     width = min(left.mat.shape[1], right.mat.shape[1])
-    base = _Groups(right, r_ids, width)
+    base = _Groups(right, r_ids, width, r_rows)
     cosine = metric == "cosine"
     defined = base.full & (base.norms > 0) if cosine else base.full
     scale = np.where(base.norms > 0, base.norms, 1.0)[:, None] if cosine else 1.0
-    points = (base.mat / scale).T
+    # cosines are selected in single precision: unit vectors' products are off by (width + 4) units of it at most, either way
+    points = (base.mat / scale).astype(np.float32).T if cosine else base.mat.T
+    undefined = -1e30 if cosine else -1e300
     squares = base.norms**2
+    several = "open" in left.rows.column_names
+    if several:
+        lists, part = np.unique(base.lists, return_inverse=True)
+    limits = left.rows["limit"].to_numpy() if "limit" in left.rows.column_names else None
 
     def exact(rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
         out = np.zeros(len(rows))
-        for a in range(0, len(rows), 1 << 16):
-            r, g = rows[a : a + (1 << 16)], groups[a : a + (1 << 16)]
+        for a in range(0, len(rows), 1 << 14):
+            r, g = rows[a : a + (1 << 14)], groups[a : a + (1 << 14)]
             dot = np.einsum("ij,ij->i", left.mat[r, :width], base.mat[g])
-            out[a : a + (1 << 16)] = pair_similarity(dot, left.norms[r], base.norms[g], left.full[r] & base.full[g], metric)
+            out[a : a + (1 << 14)] = pair_similarity(dot, left.norms[r], base.norms[g], left.full[r] & base.full[g], metric)
         return out
 
     def as_key(percent: np.ndarray) -> np.ndarray:
         """What the matrix products estimate: the cosine, or the negative square of the distance."""
-        return np.where(np.isnan(percent), -1e300, percent / 100 if cosine else -((1 - percent / 100) ** 2))
+        return np.where(np.isnan(percent), undefined, percent / 100 if cosine else -((1 - percent / 100) ** 2))
 
-    found_rows, found_groups = [], []
-    step = 1024
-    for a in range(0, len(l_rows), step):
-        own = l_rows[a : a + step]
+    found_rows, found_cols, found_percent = [], [], []
+    for a in range(0, len(l_rows), STEP):
+        own = l_rows[a : a + STEP]
         known = left.full[own] & (left.norms[own] > 0) if cosine else left.full[own]
         x = left.mat[own, :width] / (np.where(left.norms[own] > 0, left.norms[own], 1.0)[:, None] if cosine else 1.0)
-        margin = 1e-9 * (np.ones(len(own)) if cosine else 1 + left.norms[own] ** 2 + squares.max())
+        if cosine:
+            x = x.astype(np.float32)
+        margin = np.full(len(own), 2 * (width + 4) * 2.0**-24) if cosine else 1e-9 * (1 + left.norms[own] ** 2 + squares.max())
         least = np.full(len(own), -np.inf)
+        if limits is not None:
+            far = ~(limits[own] < (np.pi if cosine else np.inf))
+            least = np.where(far, -np.inf, (np.cos(limits[own]) if cosine else -limits[own] ** 2) - margin)
+        open_ = _open_lists(left, own, lists) if several else None
         row, group, key = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         b = 0
         while b < len(squares):
-            some = slice(b, b + (256 if b == 0 else max(256, SCORES // step)))
-            now = x @ points[:, some]
+            some = slice(b, min(len(squares), b + (256 if b == 0 else max(256, SCORES // STEP))))
+            b = some.stop
+            use = np.flatnonzero(open_[:, np.unique(part[some])].any(1)) if several else np.arange(len(own))
+            if not len(use):
+                continue
+            now = (x if len(use) == len(own) else x[use]) @ points[:, some]
             if not cosine:
-                now = 2 * now - squares[some] - (left.norms[own] ** 2)[:, None]
+                now *= 2
+                now -= squares[some]
+                now -= (left.norms[own[use]] ** 2)[:, None]
             if not defined[some].all():
-                now[:, ~defined[some]] = -1e300
-            if not known.all():
-                now[~known] = -1e300
-            r, c = np.nonzero(now >= least[:, None])
-            got = now[r, c]
-            c = c + b
+                now[:, ~defined[some]] = undefined
+            if not known[use].all():
+                now[~known[use]] = undefined
+            enough = np.nextafter(least[use].astype(now.dtype), -np.inf, dtype=now.dtype)
+            r, c = np.divmod(np.flatnonzero(now >= enough[:, None]), now.shape[1])
+            got = now[r, c].astype(np.float64)
+            r, c = use[r], c + some.start
+            if several:
+                here = open_[r, part[c]]
+                r, c, got = r[here], c[here], got[here]
             if exclude_self:  # only a group of nothing but the row's own id is out
                 other = np.where(base.first[c] != l_ids[own[r]], base.first[c], base.second[c]) != NO_OTHER
                 r, c, got = r[other], c[other], got[other]
+            if not len(r):
+                continue
             row, group, key = np.r_[row, r], np.r_[group, c], np.r_[key, got]
-            b = some.stop
             crowded = len(row) > 64 * (k + 1) * len(own)
             ids = base.first[group]
             if crowded:  # many near ties: settle them by exact similarity and id
@@ -217,33 +282,23 @@ def topk_rows(left: Side, right: Side, k: int, exclude_self: bool, metric: str =
             last = place == k - 1
             kth = np.full(len(own), -np.inf)
             kth[row[last]] = key[last]
-            least = np.maximum(least, np.where(kth > -1e299, kth - margin, np.where(kth > -np.inf, -1e300, -np.inf)))
+            least = np.maximum(least, np.where(kth > undefined / 10, kth - margin, np.where(kth > -np.inf, 2 * undefined, -np.inf)))
             stay = (place < k) if crowded else (key >= least[row])
             row, group, key = row[stay], group[stay], key[stay]
-        found_rows.append(own[row])
-        found_groups.append(group)
-    rows, groups = np.concatenate(found_rows), np.concatenate(found_groups)
-    percent = exact(rows, groups)
-    # the first k members with another id; where its own id has more than k of the first 2 k, all
-    size = base.size[groups]
-    take = np.minimum(size, 2 * k)
-    if exclude_self:
-        mixed = np.flatnonzero((size > take) & ((base.first[groups] == l_ids[rows])))
-        take[mixed] = size[mixed]
-    again = np.repeat(np.arange(len(rows)), take)
-    cols = base.members[base.begin[groups[again]] + np.arange(len(again)) - np.repeat(np.cumsum(take) - take, take)]
-    rows, percent = rows[again], percent[again]
-    if exclude_self:
-        keep = l_ids[rows] != r_ids[cols]
-        rows, cols, percent = rows[keep], cols[keep], percent[keep]
+        percent = exact(own[row], group)
+        again, cols = base.rows(group, k, l_ids[own[row]] if exclude_self else None)
+        rows, percent = own[row][again], percent[again]
+        order = np.lexsort((r_ids[cols], -np.where(np.isnan(percent), -np.inf, percent), rows))
+        rows, cols, percent = rows[order], cols[order], percent[order]
+        copies = right.copies[cols]
+        before = np.cumsum(copies) - copies
+        keep = before - before[np.searchsorted(rows, rows)] < k  # copies of better rows
+        found_rows.append(rows[keep])
+        found_cols.append(cols[keep])
+        found_percent.append(percent[keep])
+    rows, cols, percent = (np.concatenate(x) for x in (found_rows, found_cols, found_percent))
     if not rows.size:
         return no_candidates(left.rows["id"])
-    order = np.lexsort((r_ids[cols], -np.where(np.isnan(percent), -np.inf, percent), rows))
-    rows, cols, percent = rows[order], cols[order], percent[order]
-    copies = right.copies[cols]
-    before = np.cumsum(copies) - copies
-    keep = before - before[np.searchsorted(rows, rows)] < k  # copies of better rows
-    rows, cols, percent, copies = rows[keep], cols[keep], percent[keep], copies[keep]
-    q, b = left.rows.take(pa.array(rows)), right.rows.take(pa.array(cols))
+    q, b = left.rows.select(["id", "rowkey"]).take(pa.array(rows)), right.rows.select(["id", "rowkey"]).take(pa.array(cols))
     similarity = pa.array(percent, mask=np.isnan(percent))
-    return candidates(q["id"], b["id"], q["rowkey"].combine_chunks(), left.copies[rows], b["rowkey"].combine_chunks(), similarity, copies)
+    return candidates(q["id"], b["id"], q["rowkey"].combine_chunks(), left.copies[rows], b["rowkey"].combine_chunks(), similarity, right.copies[cols])

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -153,3 +154,23 @@ def test_search_by_uri_strings_with_repeated_rows(spark):
     want = [r for r in brute(rows, 3, exclude_self=False) if r[0] in ("id003", "id007")]
     assert sorted(((r.query_uri, r["rank"], r.uri, r.similarity_percentage) for r in hits.collect()), key=str) == sorted(want * 2, key=str)
     assert vs.knn_self_join(df.limit(3), k=2).count() >= 2
+
+
+def test_kernel_finishes_rows_in_steps():
+    """Beside the vectors a cell holds little, also where every vector has many copies."""
+    vectors = np.repeat(np.random.default_rng(4).normal(size=(300, 8)), 20, axis=0).tolist()
+    rows = side([(f"{i:05}", v, i, 1) for i, v in enumerate(vectors)])
+    tracemalloc.start()
+    try:
+        table = V.topk_rows(rows, rows, 10, True)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(table) == 60000 and peak < 40 << 20
+
+
+def test_kernel_passes_over_the_rows_of_one_id():
+    """More than 2 k rows of the query's own id, with others' behind them, share one vector."""
+    rows = [("a", [1.0, 2.0], i, 1) for i in range(3)] + [("b", [1.0, 2.0], 3 + i, 1) for i in range(30)] + [("c", [1.0, 2.0], 40, 1)]
+    table = V.topk_rows(side([("b", [1.0, 2.0], 3, 1)]), side(rows), 4, True)
+    assert table["compared_uri"].to_pylist() == ["a", "a", "a", "c"]
