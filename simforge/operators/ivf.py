@@ -23,9 +23,12 @@ list that no query needs is not read at all (partition pruning). That is
 exact for ``stop=1``. A smaller ``stop`` shrinks the radii; ``stop_for``
 chooses it by the recall measured on a sample of queries.
 
-A cell is ``(list, sub-block of the list, block of the list's queries)``,
-numbered by the counts of both, so neither a long list nor many queries of
-one list fill a task.
+Neighbouring lists that a block has room for share a shelf. A query row goes
+once to a shelf, with the names of its lists there and its k-th best so far,
+so rows are repeated by shelves, not by lists, and only the lists named are
+scored. A cell is ``(shelf, sub-block of the shelf, block of the shelf's
+queries)``, numbered by the counts of both, so neither a long list nor many
+queries of one shelf fill a task.
 """
 
 from __future__ import annotations
@@ -54,6 +57,8 @@ SAMPLE_BYTES, LEAF_SAMPLE = 16 << 20, 64
 #: Queries on which the recall of a search is measured.
 RECALL_SAMPLE = 256
 ODD_LIST = -1
+#: Angles of query rows to centroids that a task holds at once.
+PAIRS = 1 << 20
 #: For the rounding of angles and distances.
 MARGIN = 1e-6
 
@@ -293,60 +298,100 @@ def _probes(index: IvfIndex, k: int, nprobe: int | None, stop: float):
     return lists
 
 
-def _counted(queries: DataFrame, lists) -> dict[int, int]:
-    """Queries of each list: one row a list and task."""
+def _routed(n_lists: int, batches: Iterator[pa.RecordBatch], lists) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Query rows with their (row, list) pairs, so many at once that a matrix of rows and lists stays small."""
+    rows = max(1, PAIRS // max(1, n_lists))
+    for whole in batches:
+        for a in range(0, len(whole), rows):
+            batch = whole.slice(a, rows)
+            yield batch, *lists(batch["vec"], batch["limit"].to_numpy(zero_copy_only=False) if "limit" in batch.schema.names else None)
+
+
+def _counted(n_lists: int, queries: DataFrame, lists) -> tuple[dict[int, int], int]:
+    """Queries of each list, one row a list and task; and how many queries have a list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for batch in batches:
-            _, found = lists(batch["vec"], batch["limit"].to_numpy(zero_copy_only=False) if "limit" in batch.schema.names else None)
-            for i, c in zip(*np.unique(found, return_counts=True)):
-                total[int(i)] = total.get(int(i), 0) + int(c)
-        yield pa.RecordBatch.from_pydict({"list_id": pa.array(list(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
+        total = np.zeros(n_lists + 1, np.int64)
+        for _, row, found in _routed(n_lists, batches, lists):
+            total[:-1] += np.bincount(found, minlength=len(total) - 1)
+            total[-1] += len(np.unique(row))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"list_id": pa.array(some, pa.int32()), "n": pa.array(total[some], pa.int64())})
 
     columns = ["vec", *(c for c in ("limit",) if c in queries.columns)]
     found = queries.select(*columns).mapInArrow(run, "list_id int, n long").groupBy("list_id").agg(F.sum("n").alias("n"))
-    return {r["list_id"]: r["n"] for r in found.collect()}
+    counts = {r["list_id"]: r["n"] for r in found.collect()}
+    return counts, counts.pop(n_lists, 0)
 
 
-def probed_rows(index: IvfIndex, probed: list[tuple[int, int, int]]) -> DataFrame:
-    """The base rows of the probed (list_id, sub-blocks, query blocks); other lists' folders are not read.
+def _shelves(rows: dict[int, int], most: int) -> dict[int, int]:
+    """The shelf of each list: neighbours by number, of ``most`` rows in all; a longer list has its own."""
+    out, shelf, held = {}, -1, most
+    for i in sorted(rows):
+        if held + rows[i] > most:
+            shelf, held = shelf + 1, 0
+        out[i], held = shelf, held + rows[i]
+    return out
+
+
+def probed_rows(index: IvfIndex, probed: list[tuple[int, ...]]) -> DataFrame:
+    """The base rows of the probed (list_id, sub-blocks, query blocks, shelf); other lists' folders are not read.
 
     The table of lists is bounded with the centroids, hence the broadcast; its filter lets Spark prune by it.
     """
     spark = index.assignments.sparkSession
     path = f"{shared_folder(spark)}/probed-{uuid.uuid4().hex}"
-    columns = [pa.array(x, pa.int32()) for x in zip(*probed)] if probed else [pa.array([], pa.int32())] * 3
-    spark.createDataFrame(pa.table(columns, names=["of", "subs", "blocks"])).coalesce(1).write.parquet(path)
-    lists = spark.read.schema("of int, subs int, blocks int").parquet(path).where("blocks > 0")
+    names = ["of", "subs", "blocks", "shelf"][: len(probed[0]) if probed else 4]
+    columns = [pa.array(x, pa.int32()) for x in zip(*probed)] if probed else [pa.array([], pa.int32())] * len(names)
+    spark.createDataFrame(pa.table(columns, names=names)).coalesce(1).write.parquet(path)
+    lists = spark.read.schema(", ".join(f"{c} int" for c in names)).parquet(path).where("blocks > 0")
     return index.assignments.join(F.broadcast(lists), F.col("list_id") == F.col("of")).drop("of")
 
 
 def _cells(index: IvfIndex, queries: DataFrame, lists, k: int, exclude_self: bool, block_rows: int) -> DataFrame | None:
     """Candidates of one round; None if no list is needed."""
-    counts = _counted(queries, lists)
+    n_lists = len(index.rows)
+    counts, wanted = _counted(n_lists, queries, lists)
     index.read["pairs"] = index.read.get("pairs", 0) + sum(counts.values())
     index.read["lists"] = index.read.get("lists", set()) | set(counts)
     if not counts:
         return None
-    least = math.ceil(2 * _parallelism(queries) / len(counts))
-    probed = [(i, max(math.ceil(int(index.rows[i]) / block_rows), min(least, math.ceil(int(index.rows[i]) / 256))), math.ceil(c / block_rows))
-              for i, c in counts.items()]
-    size = {i: (s, b) for i, s, b in probed}
-    subs, blocks = (np.array([size.get(i, (0, 0))[j] for i in range(len(index.rows))]) for j in (0, 1))
-    schema = T.StructType([*(queries.schema[c] for c in ("id", "vec", "rowkey", "copies")),
-                           *(T.StructField(c, T.IntegerType()) for c in ("list_id", "sub", "qb"))])
+    tasks = 2 * _parallelism(queries)
+    held = {i: int(index.rows[i]) for i in counts}
+    shelf_of = _shelves(held, min(block_rows, max(256, math.ceil(sum(held.values()) / tasks))))
+    n_shelves = max(shelf_of.values()) + 1
+    base_rows, query_rows = np.zeros(n_shelves, np.int64), np.zeros(n_shelves, np.int64)
+    for i, c in counts.items():
+        base_rows[shelf_of[i]] += held[i]
+        query_rows[shelf_of[i]] += c
+    least = math.ceil(tasks / n_shelves)
+    subs = np.maximum(-(-base_rows // block_rows), np.minimum(least, -(-base_rows // 256)))
+    blocks = -(-np.minimum(query_rows, wanted) // block_rows)
+    probed = [(i, int(subs[s]), int(blocks[s]), s) for i, s in shelf_of.items()]
+    shelf = np.full(n_lists, -1)
+    shelf[list(shelf_of)] = list(shelf_of.values())
+    own = ["id", "vec", "rowkey", "copies", *(c for c in ("limit",) if c in queries.columns)]
+    keys = ["shelf", "sub", "qb"]
+    schema = T.StructType([*(queries.schema[c] for c in own), T.StructField("open", T.ArrayType(T.IntegerType())),
+                           *(T.StructField(c, T.IntegerType()) for c in keys)])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, found = lists(batch["vec"], batch["limit"].to_numpy(zero_copy_only=False) if "limit" in batch.schema.names else None)
-            block = batch["h"].to_numpy()[row] % blocks[found]
-            again = np.repeat(np.arange(len(row)), subs[found])
+        for batch, row, found in _routed(n_lists, batches, lists):
+            if not len(row):
+                continue
+            by = np.lexsort((found, row))  # lists are numbered along the shelves
+            row, found = row[by], found[by]
+            at = shelf[found]
+            begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1])])
+            opened = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(row)].astype(np.int32)), pa.array(found.astype(np.int32)))
+            row, at = row[begin], at[begin]
+            block = batch["h"].to_numpy()[row] % blocks[at]
+            again = np.repeat(np.arange(len(row)), subs[at])
             sub = np.arange(len(again)) - np.searchsorted(again, again)
             for a in range(0, len(again), 4096):  # one row repeated often must not fill a batch
-                some = slice(a, a + 4096)
-                taken = batch.select(["id", "vec", "rowkey", "copies"]).take(pa.array(row[again[some]]))
-                keys = [pa.array(x.astype(np.int32)) for x in (found[again[some]], sub[some], block[again[some]])]
-                yield pa.RecordBatch.from_arrays([*taken.columns, *keys], [*taken.schema.names, "list_id", "sub", "qb"])
+                some = again[a : a + 4096]
+                taken = batch.select(own).take(pa.array(row[some]))
+                numbers = [pa.array(x.astype(np.int32)) for x in (at[some], sub[a : a + 4096], block[some])]
+                yield pa.RecordBatch.from_arrays([*taken.columns, opened.take(pa.array(some)), *numbers], [*taken.schema.names, "open", *keys])
 
     h = F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 40))
     base = probed_rows(index, probed)
@@ -354,8 +399,8 @@ def _cells(index: IvfIndex, queries: DataFrame, lists, k: int, exclude_self: boo
         base = base.where(F.col("id").isNotNull())
     bx = (base.withColumn("sub", F.pmod(F.xxhash64("id", "vec"), F.col("subs")).cast("int"))
               .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    return cogroup_topk(queries.withColumn("h", h).mapInArrow(route, schema), bx, ["list_id", "sub", "qb"], k, exclude_self, index.id_type,
-                        index.metric, sum(s * b for _, s, b in probed))
+    return cogroup_topk(queries.withColumn("h", h).mapInArrow(route, schema), bx, keys, k, exclude_self, index.id_type,
+                        index.metric, int((subs * blocks).sum()), [*own[4:], "open"], ["list_id"])
 
 
 def _smallest(rows: DataFrame, k: int, exclude_self: bool) -> list:

@@ -182,10 +182,12 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int = 10, q_id: str = "uri"
 
 
 def cogroup_topk(qx: DataFrame, bx: DataFrame, keys: list[str], k: int, exclude_self: bool,
-                 id_type: T.DataType, metric: str = "cosine", cells: int = 0) -> DataFrame:
+                 id_type: T.DataType, metric: str = "cosine", cells: int = 0,
+                 of_queries: list[str] | None = None, of_base: list[str] | None = None) -> DataFrame:
     """Partial top-k candidates per cell; both sides hold ``id, vec, rowkey, copies`` + ``keys``.
 
-    ``cells``: how many there are, where known, for two partitions each.
+    ``cells``: how many there are, where known, for two partitions each. ``of_queries`` and
+    ``of_base``: columns of one side that the kernel reads (see ``Side``).
     """
 
     def cell(queries: pa.Table, base: pa.Table) -> pa.Table:
@@ -195,7 +197,7 @@ def cogroup_topk(qx: DataFrame, bx: DataFrame, keys: list[str], k: int, exclude_
 
     cols = ["id", "vec", "rowkey", "copies", *keys]
     parts = max(int(qx.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * cells)
-    dealt = [x.select(*cols).repartition(parts, *keys).groupBy(*keys) for x in (qx, bx)]
+    dealt = [x.select(*cols, *(more or [])).repartition(parts, *keys).groupBy(*keys) for x, more in ((qx, of_queries), (bx, of_base))]
     return (dealt[0].cogroup(dealt[1])
               .applyInArrow(cell, schema=_result_schema(id_type)))
 

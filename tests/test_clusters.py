@@ -174,3 +174,16 @@ def test_kernel_passes_over_the_rows_of_one_id():
     rows = [("a", [1.0, 2.0], i, 1) for i in range(3)] + [("b", [1.0, 2.0], 3 + i, 1) for i in range(30)] + [("c", [1.0, 2.0], 40, 1)]
     table = V.topk_rows(side([("b", [1.0, 2.0], 3, 1)]), side(rows), 4, True)
     assert table["compared_uri"].to_pylist() == ["a", "a", "a", "c"]
+
+
+def test_rows_go_to_shelves_of_lists(spark, monkeypatch):
+    """Where bounds leave nearly all lists open, rows are not repeated by lists."""
+    shipped = []
+    plain = ivf.cogroup_topk
+    monkeypatch.setattr(ivf, "cogroup_topk", lambda qx, *args: (shipped.append(qx.count()), plain(qx, *args))[1])
+    rng = np.random.default_rng(6)
+    rows = [(f"id{i:04}", rng.normal(size=16).tolist(), i) for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got, index = ivf.clustered_self_join(df, k=3, num_lists=60)
+    assert index.read["pairs"] > 30 * len(rows) and sum(shipped) < index.read["pairs"] / 3
+    assert flat(got) == flat(vs.knn_self_join(df, k=3))
