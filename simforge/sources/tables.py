@@ -73,8 +73,10 @@ def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(cls == 7, F.lit(""))
              .otherwise(name))
     labels = F.when(cls.isin(1, 2, 3, 5, 6) | (variant == 8), F.lit(1)).otherwise(F.lit(0))
-    return j.select(F.col("p_partkey").alias("pair_id"), name1.alias("name1"),
-                    name2.alias("name2"), labels.alias("labels"))
+    pairs = j.select(F.col("p_partkey").alias("pair_id"), name1.alias("name1"),
+                     name2.alias("name2"), labels.alias("labels"))
+    # one row group of a file is one task, whatever it costs to score its pairs: deal them to all cores
+    return pairs.repartition(2 * spark.sparkContext.defaultParallelism)
 
 
 # Pairs made of one part row alone, for streams: an equality join with the next

@@ -183,3 +183,12 @@ def test_dedupe_takes_the_first_row_of_an_id(spark):
     got = vs.dedupe_by_uri(spark.createDataFrame(rows, "uri string, x double, y int"), "uri", ["x"])
     assert got.columns == ["uri", "x", "y"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 2.0, 4), ("b", None, None), (None, 0.5, 9)], key=str)
+
+
+def test_pairs_of_one_row_group_go_to_all_cores(spark, tmp_path):
+    """A file of one row group is read by one task; scoring its pairs must not stay there."""
+    parts = [(i, f"name{i} of part") for i in range(1, 401)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    pairs = name_pairs(spark, str(tmp_path))
+    held = pairs.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(held) == 399 and sum(n > 0 for n in held) >= spark.sparkContext.defaultParallelism
