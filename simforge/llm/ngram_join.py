@@ -17,9 +17,11 @@ one class, named by a fingerprint, and take part once.
    positions leave too little room for the required overlap.
 5. A pair must be met in as many lists as its sizes demand: members beyond the prefixes
    add at most the longer rest, so the prefixes have to share what is missing.
-6. Candidates are verified on their whole sets.  Only texts that a fixed-size bitmap of
-   the wanted documents lets through are read into sets, and joined exactly after it.  A
-   hub's set travels once for every ``HUB_PAIRS`` of its pairs, the others stream past it.
+6. Candidates that sketches don't keep apart are verified on their whole sets.  Only texts
+   that a fixed-size bitmap of the wanted documents lets through are read into sets, and
+   joined exactly after it.  A hub's set travels once for every ``HUB_PAIRS`` of its pairs,
+   the others stream past it.  Of the pairs of step 4, one of each set goes first; those
+   whose sets are in one component by then are left out.
 
 Links of whole classes are found by connected components over verified pairs.
 
@@ -115,7 +117,7 @@ def _find_sets(k: int, counters: int):
                 none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
                 sketch = pa.array(_sketches(row, value, n), pa.binary())
                 yield pa.RecordBatch.from_arrays([part["k"], part["t"], part["doc_id"], pa.array(n.astype(np.int64)), fp, sketch, *none], names)
-        blocks = [(i, x.tobytes()) for i, x in enumerate(table.reshape(-1, _COUNTER_BLOCK)) if x.any()]
+        blocks = [(i, x.astype(np.min_scalar_type(x.max())).tobytes()) for i, x in enumerate(table.reshape(-1, _COUNTER_BLOCK)) if x.any()]
         if blocks:
             none = [*[pa.nulls(len(blocks), pa.int64())] * 5, pa.nulls(len(blocks), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array([x[0] for x in blocks], pa.int32()), pa.array([x[1] for x in blocks], pa.binary())], names)
@@ -126,8 +128,8 @@ def _find_sets(k: int, counters: int):
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, counts in zip(batch["block"].to_pylist(), batch["counts"]):
-            total.setdefault(block, np.zeros(_COUNTER_BLOCK, np.int64))[:] += np.frombuffer(counts.as_py(), np.int64)
+        for block, counts in zip(batch["block"].to_pylist(), batch["counts"].to_pylist()):
+            total.setdefault(block, np.zeros(_COUNTER_BLOCK, np.int64))[:] += np.frombuffer(counts, f"u{len(counts) // _COUNTER_BLOCK}").astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
 
 
@@ -288,7 +290,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(fp, members) of the sets that the candidate pairs name."""
+    """(fp, members) of the sets that the candidate pairs name.  A few others may be among them, which no pair asks for."""
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     named = classes.filter("fp is not null").join(wanted, "fp").groupBy("fp").agg(F.min(F.struct("k", "t")).alias("rep"))
     named = frames.settled(named.select("fp", "rep.k", "rep.t"), "wanted")
@@ -298,8 +300,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> D
     for r in marks.toLocalIterator():  # fixed size
         bits[r["block"]] |= np.frombuffer(r["counts"], np.uint8)
     bitmap = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bits.reshape(-1)).astype(bool))
-    texts = docs.select("k", "t", "text", slot.alias("slot")).mapInArrow(_make_sets(k, bitmap), "k long, t long, members binary")
-    return frames.settled(texts.join(named, ["k", "t"]).select("fp", "members"), "members")
+    return frames.settled(docs.select("text", slot.alias("slot")).mapInArrow(_make_sets(k, bitmap), "fp long, members binary"), "members")
 
 
 def _make_sets(k: int, bitmap):
@@ -309,7 +310,7 @@ def _make_sets(k: int, bitmap):
                 row, value, n = shingles(part["text"], k)
                 ends = np.cumsum(n)
                 members = [value[e - m : e].tobytes() for e, m in zip(ends, n)]
-                yield pa.RecordBatch.from_arrays([part["k"], part["t"], pa.array(members, pa.binary())], ["k", "t", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(row, value, n)), pa.array(members, pa.binary())], ["fp", "members"])
 
     return run
 
@@ -353,6 +354,43 @@ def _often(met: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("least").alias("least")).filter("met >= least").select("a", "b")
 
 
+def _drop_apart(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n1, n2 = (batch[c].to_numpy() for c in ("n_a", "n_b"))
+            size = len(n1)
+            sketch = np.frombuffer(b"".join(batch["sketch_a"].to_pylist() + batch["sketch_b"].to_pylist()), np.uint64).reshape(2 * size, -1)
+            close = _alike(np.arange(size), size + np.arange(size), np.r_[n1, n2], sketch, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(close))
+
+    return run
+
+
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sketches don't show to be apart, so that the sets of the others needn't travel."""
+    for c in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("fp").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+    return pairs.mapInArrow(_drop_apart(percent), "a long, b long")
+
+
+def _component_links(rest: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Component edges (a, b): those of ``labels`` and those that the candidate pairs add.
+
+    One pair of each set goes first; pairs whose sets then are in one component need no comparing, so a large
+    group of sets that link with one another in very many ways is not compared pair by pair."""
+    ties = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    first = frames.settled(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links = frames.settled(_verify(first, sets, percent), "links")
+    ties = ties.unionByName(thinned(links))
+    labels = frames.settled(components(ties), "labels")
+    left = rest.join(first, ["a", "b"], "left_anti")
+    for c in ("a", "b"):
+        left = left.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")), c, "left")
+    left = left.filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    more = frames.settled(_verify(frames.settled(left, "pairs"), sets, percent), "links")
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(thinned(more))
+
+
 def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes, labels) of keyed documents: (k, t, doc_id, n_shingles, fp) of each row, and the
     component (fp, label) of each class that has a link to another one."""
@@ -369,25 +407,31 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame
 
     own = Window.partitionBy("token")
     postings = docs.select("text").mapInArrow(_find_postings(k, percent, counts), _POSTINGS)
-    shared = postings.select("*", F.min("fp").over(own).alias("low"), F.max("fp").over(own).alias("high")).filter("low <> high")
-    shared = frames.settled(shared.select("token", "fp", "n", "pos").distinct(), "postings")
-
-    hub = shared.groupBy("token").agg(F.min(F.struct("fp", "n", "pos")).alias("hub"))
-    near = shared.join(hub, "token").filter("fp <> hub.fp").filter(_reaches(percent))
+    # the hub's columns one by one: a struct of them would be made before the shuffle and travel with every row
+    least = [F.min("fp").over(own).alias("low"), F.min_by("n", "fp").over(own).alias("low_n"), F.min_by("pos", "fp").over(own).alias("low_pos")]
+    shared = postings.select("*", *least, F.max("fp").over(own).alias("high")).filter("low <> high")
+    hub = F.struct(F.col("low").alias("fp"), F.col("low_n").alias("n"), F.col("low_pos").alias("pos")).alias("hub")
+    shared = frames.settled(shared.select("token", "fp", "n", "pos", hub).distinct(), "postings")
+
+    sketches = classes.filter("fp is not null").groupBy("fp").agg(F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
+    sketches = frames.settled(sketches, "sketches")
+    near = shared.filter("fp <> hub.fp").filter(_reaches(percent))
     near = _often(near.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"), F.expr(_missing_sql(percent)).cast("long").alias("least")))
     near = frames.settled(near, "pairs")
-    first = frames.settled(_verify(near, _sets_of(docs, classes, near, k), percent), "links")
+    close = frames.settled(_close(near, sketches, percent), "pairs")
+    first = frames.settled(_verify(close, _sets_of(docs, classes, close, k), percent), "links")
     labels = frames.settled(components(thinned(first)), "labels")
 
     comp = shared.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "pos", F.coalesce("label", "fp").alias("comp"))
+    comp = comp.repartition(parts, "token")  # the windows and the search of short lists keep this dealing
     comp = comp.select("*", F.min("comp").over(own).alias("low"), F.max("comp").over(own).alias("high"), F.count("*").over(own).alias("size")).filter("low <> high")
-    sketches = frames.settled(classes.filter("fp is not null").groupBy("fp").agg(F.min("sketch").alias("sketch")), "sketches")
-    comp = comp.join(frames.small(sketches, F.lit(64 + SKETCH_BITS // 8)), "fp").withColumn("sketch", F.when(F.col("size") > SKETCHED, F.col("sketch")))
-    rest = comp.select("token", "fp", "n", "pos", "comp", "sketch").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_search_lists(percent), "a long, b long, least long")
-    rest = frames.settled(_often(rest).join(near, ["a", "b"], "left_anti"), "pairs")
-    more = thinned(frames.settled(_verify(rest, _sets_of(docs, classes, rest, k), percent), "links"))
-    ties = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = components(ties.unionByName(more))
+    entry, met = ["token", "fp", "n", "pos", "comp"], "a long, b long, least long"
+    short = comp.filter(F.col("size") <= SKETCHED).select(*entry)
+    long = comp.filter(F.col("size") > SKETCHED).select(*entry).join(sketches.select("fp", "sketch"), "fp").select(*entry, "sketch").repartition(parts, "token")
+    rest = _often(short.sortWithinPartitions("token").mapInArrow(_search_lists(percent), met).unionByName(long.sortWithinPartitions("token").mapInArrow(_search_lists(percent), met)))
+    rest = frames.settled(rest.join(near, ["a", "b"], "left_anti"), "pairs")
+    rest = frames.settled(_close(rest, sketches, percent), "pairs")
+    labels = components(_component_links(rest, _sets_of(docs, classes, rest, k), labels, percent))
     return classes, labels.select(F.col("node").alias("fp"), "label")
 
 

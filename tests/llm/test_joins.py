@@ -238,3 +238,77 @@ def test_thinned_edges_have_the_same_components(spark):
     same = lambda x: sorted(map(tuple, cc.components(x).collect()))
     assert same(thin) == same(df)
     assert cc.thinned(df.limit(0)).count() == 0
+
+
+def one_family(n=90, seed=11):
+    """Texts with a few edits each of one base: most link with one another, some only through others."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_large_family_is_compared_set_by_set_not_pair_by_pair(spark, monkeypatch):
+    rows, compared, verify = one_family(), [], ngram_join._verify
+
+    def counted(pairs, sets, percent):
+        compared.append(pairs.count())
+        return verify(pairs, sets, percent)
+
+    monkeypatch.setattr(ngram_join, "_verify", counted)
+    assert sorted(groups(spark, rows)) == sorted(brute_groups(rows))
+    assert sum(compared) < 4 * len(rows), compared
+
+
+def test_pairs_left_after_the_first_links_join_components(spark):
+    import numpy as np
+
+    names = {"a": 1, "b": 2, "c": 3, "d": 4, "e": 5}
+    same, other = np.arange(20, dtype=np.uint64), np.arange(100, 120, dtype=np.uint64)
+    mixed = np.r_[same[:10], other[:10]]
+    sets = spark.createDataFrame([(names[x], bytearray(v.tobytes())) for x, v in zip("abcde", [other, same, same, same, mixed])], "fp long, members binary")
+    # 4's least partner, 1, doesn't link with it; 2 does
+    rest = spark.createDataFrame([(1, 4), (2, 4), (2, 3), (3, 4), (1, 5), (2, 5)], "a long, b long")
+    none = spark.createDataFrame([], "node long, label long")
+    from simforge.llm import frames
+
+    got = ngram_join._component_links(frames.settled(rest, "rest"), frames.settled(sets, "sets"), none, 85)
+    assert sorted((r.node, r.label) for r in components(got).collect()) == [(2, 2), (3, 2), (4, 2)]
+
+
+def test_sketches_drop_only_pairs_apart(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [t for _, t in one_family(12)] + [" ".join(f"z{i}x{j}" for j in range(118)) for i in range(4)]
+    row, value, n = ngram_join.shingles(pa.array(texts), 4)
+    sketch = ngram_join._sketches(row, value, n)
+    table = spark.createDataFrame([(i, int(n[i]), bytearray(sketch[i])) for i in range(len(texts))], "fp long, n_shingles long, sketch binary")
+    every = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    got = {(r.a, r.b) for r in ngram_join._close(spark.createDataFrame(every, "a long, b long"), table, 85).collect()}
+    sets = [set(value[row == i].tolist()) for i in range(len(texts))]
+    linked = {(i, j) for i, j in every if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert linked <= got and linked and not any(j >= 12 for _, j in got)
+
+
+def test_counts_travel_in_small_integers():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["a b c d"] * 300 + [" ".join(f"w{i}" for i in range(500))]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, pa.array(texts)], ["k", "t", "doc_id", "text"])
+    blocks = [x for b in ngram_join._find_sets(4, 1 << 16)(iter([batch])) for x in b.to_pylist() if x["block"] is not None]
+    assert {len(x["counts"]) for x in blocks} <= {4096, 2 * 4096}
+    _, value, _ = ngram_join.shingles(pa.array(texts), 4)
+    expected = np.bincount(ngram_join._slot(value, 1 << 16), minlength=1 << 16)
+    parts = pa.RecordBatch.from_pylist(blocks * 2, pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
+    got = np.zeros(1 << 16, np.int64)
+    for x in next(ngram_join._add_counts(iter([parts]))).to_pylist():
+        got[x["block"] * 4096 : (x["block"] + 1) * 4096] = np.frombuffer(x["counts"], np.int64)
+    assert np.array_equal(got, 2 * expected) and got.max() == 600
