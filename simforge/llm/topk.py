@@ -8,7 +8,8 @@ could still enter the query's best k, with more; the exact product is taken for
 survivors.  Bounds are matrix products of the statistics and get a margin for rounding.
 
 Blocks of the stated queries meet blocks of all vectors, one pair of blocks a row, so
-that tasks are bounded and even; each pair returns at most k rows of a query.
+that tasks are bounded and even; each pair returns at most k rows of a query.  Neither
+side passes through the driver.
 
 Defined cases: rows with a null id, a null vector, or a null or non-finite component
 take no part; of rows that repeat an id the least vector counts; vectors of unequal
@@ -132,7 +133,8 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5) -> DataFrame:
     queries = rows.filter(is_query).groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("q")).agg(member.alias("queries"))
     base = base.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     queries = queries.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(base_blocks - 1))))
-    found = base.join(queries, ["q", "b"]).select("queries", "vectors").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    # merged, never broadcast: by the size of the queries before they are repeated for each block, the driver would gather all repeats
+    found = base.join(queries.hint("merge"), ["q", "b"]).select("queries", "vectors").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

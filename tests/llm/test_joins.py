@@ -171,6 +171,17 @@ def test_topk_with_few_or_no_rows(spark):
         topk.top_k(big, "vec_id = 0").collect()
 
 
+def test_topk_sends_no_block_through_the_driver(spark, monkeypatch):
+    """Few queries stay below the limit of a broadcast; repeated for each block of vectors they don't."""
+    monkeypatch.setattr(topk, "BLOCK", 10)
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 10 = 0")
+    assert found(out) == brute_topk(rows, lambda i: i % 10 == 0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
 SCHEMA = "record_id long, kind string, url string, ts long, headers map<string,string>, payload_digest string, key string, block string"
 
 
