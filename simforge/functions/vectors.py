@@ -134,6 +134,7 @@ class _Groups:
         parts = np.empty((len(order), width + 3))
         parts[:, 0], parts[:, 1], parts[:, 2] = lists[order], side.norms[order], side.full[order]
         np.take(side.mat[:, :width], order, axis=0, out=parts[:, 3:])
+        parts[:, 3:] += 0.0  # equal to its negative, but not in bytes
         _, first, group = np.unique(parts.view(f"V{parts.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
         by = np.argsort(group, kind="stable")
         self.members = order[by]
@@ -159,13 +160,18 @@ class _Groups:
             known = without < self.ids
             own = groups * self.ids + np.where(known, without, 0)
             low, high = (np.where(known, np.searchsorted(self.keys, own, side), begin) for side in ("left", "right"))
-        take = np.minimum(size - (high - low), k)
-        again = np.repeat(np.arange(len(groups)), take)
-        place = begin[again] + np.arange(len(again)) - np.repeat(np.cumsum(take) - take, take)
-        place += np.where(place >= low[again], (high - low)[again], 0)
+        again, place = _first(begin, size, low, high, k)
         return again, self.members[place]
 
 
+def _first(begin: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, place): the first k places of each stretch of ``size`` places from ``begin`` on, without those from ``low`` to ``high``."""
+    take = np.minimum(size - (high - low), k)
+    again = np.repeat(np.arange(len(take)), take)
+    place = begin[again] + np.arange(len(again)) - np.repeat(np.cumsum(take) - take, take)
+    return again, place + np.where(place >= low[again], (high - low)[again], 0)
+
+
 #: Stands for the id of a row that doesn't exist.
 NO_OTHER = np.iinfo(np.int64).max
 
@@ -182,39 +188,64 @@ def _open_lists(queries: Side, rows: np.ndarray, lists: np.ndarray) -> np.ndarra
     return out
 
 
-def topk_rows(left: Side, right: Side, k: int, exclude_self: bool, metric: str = "cosine") -> pa.Table:
-    """Per left row, the k best right rows by (similarity desc, nulls last, id asc).
+def _hits(now: np.ndarray, enough: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the few values that reach their row's ``enough``; eight are passed over at once."""
+    wide = -(-now.shape[1] // 8) * 8
+    hit = room[: len(now) * wide].reshape(len(now), wide)
+    hit[:, now.shape[1] :] = False
+    np.greater_equal(now, enough[:, None], out=hit[:, : now.shape[1]])
+    eight = np.flatnonzero(hit.reshape(-1).view(np.uint64))
+    at, place = np.nonzero(hit.reshape(-1, 8)[eight])
+    return np.divmod(eight[at] * 8 + place, wide)
 
-    Right rows with equal vectors are scored once. They pass in steps, each
-    compared with the k-th best so far, so few similarities are looked at
-    twice. The matrix products only select, with a margin for their rounding;
-    what they leave is scored again one by one, so equal vectors score equally
-    in every block. ``copies`` counts equal rows collapsed before; an entry
-    stands for all of them, and rows are kept until the copies before them reach k.
-    Left rows are finished ``STEP`` at a time, so that beside the vectors only
-    the k entries of each row are held. Lists that are not open to a row are
-    left out, and so is what its limit shows to be worse than its k best.
-    """
+
+def _until(rows: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
+    """Whether the copies of a row's entries before, in their order, are fewer than k; ``rows`` is sorted."""
+    before = np.cumsum(copies) - copies
+    return before - before[np.searchsorted(rows, rows)] < k
+
+
+def _best(left: Side, right: Side, k: int, exclude_self: bool, metric: str, limits: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(left row, right row, similarity, NaN where undefined) of ``topk_rows``."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     l_ids, r_ids = id_codes(left.rows["id"], right.rows["id"])
     l_rows = np.flatnonzero(l_ids >= 0) if exclude_self else np.arange(len(l_ids))  # a null id differs from nothing
     r_rows = np.flatnonzero(r_ids >= 0) if exclude_self else np.arange(len(r_ids))
     if not len(l_rows) or not len(r_rows):
-        return no_candidates(left.rows["id"])
+        return nothing
     width = min(left.mat.shape[1], right.mat.shape[1])
-    base = _Groups(right, r_ids, width, r_rows)
     cosine = metric == "cosine"
+    several = "open" in left.rows.column_names
+    found_rows, found_cols, found_percent = [nothing[0]], [nothing[1]], [nothing[2]]
+
+    def keep(rows: np.ndarray, cols: np.ndarray, percent: np.ndarray) -> None:
+        some = _until(rows, right.copies[cols], k)
+        found_rows.append(rows[some])
+        found_cols.append(cols[some])
+        found_percent.append(percent[some])
+
+    known_rows = left.full & (left.norms > 0) if cosine else left.full
+    if not several and not known_rows[l_rows].all():  # nothing is similar to these: the first ids, without a look at the vectors
+        blank, l_rows = l_rows[~known_rows[l_rows]], l_rows[known_rows[l_rows]]
+        order = r_rows[np.argsort(r_ids[r_rows], kind="stable")]
+        begin = np.zeros(len(blank), np.int64)
+        low, high = (np.searchsorted(r_ids[order], l_ids[blank], side) for side in ("left", "right")) if exclude_self else (begin, begin)
+        again, place = _first(begin, begin + len(order), low, high, k)
+        keep(blank[again], order[place], np.full(len(again), np.nan))
+    base = _Groups(right, r_ids, width, r_rows)
     defined = base.full & (base.norms > 0) if cosine else base.full
     scale = np.where(base.norms > 0, base.norms, 1.0)[:, None] if cosine else 1.0
     # cosines are selected in single precision: unit vectors' products are off by (width + 4) units of it at most, either way
     points = (base.mat / scale).astype(np.float32).T if cosine else base.mat.T
     undefined = -1e30 if cosine else -1e300
     squares = base.norms**2
-    several = "open" in left.rows.column_names
     if several:
         lists, part = np.unique(base.lists, return_inverse=True)
-    limits = left.rows["limit"].to_numpy() if "limit" in left.rows.column_names else None
+    if exclude_self:  # groups of one id alone, in the order of these ids
+        alone = np.flatnonzero(base.second == NO_OTHER)
+        alone = alone[np.argsort(base.first[alone], kind="stable")]
 
     def exact(rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
         out = np.zeros(len(rows))
@@ -228,10 +259,12 @@ def topk_rows(left: Side, right: Side, k: int, exclude_self: bool, metric: str =
         """What the matrix products estimate: the cosine, or the negative square of the distance."""
         return np.where(np.isnan(percent), undefined, percent / 100 if cosine else -((1 - percent / 100) ** 2))
 
-    found_rows, found_cols, found_percent = [], [], []
+    wide = max(256, SCORES // STEP)
+    # the same memory for every step
+    scores, hits = np.empty(STEP * wide, points.dtype), np.empty(STEP * wide, bool)
     for a in range(0, len(l_rows), STEP):
         own = l_rows[a : a + STEP]
-        known = left.full[own] & (left.norms[own] > 0) if cosine else left.full[own]
+        known = known_rows[own]
         x = left.mat[own, :width] / (np.where(left.norms[own] > 0, left.norms[own], 1.0)[:, None] if cosine else 1.0)
         if cosine:
             x = x.astype(np.float32)
@@ -240,65 +273,139 @@ def topk_rows(left: Side, right: Side, k: int, exclude_self: bool, metric: str =
         if limits is not None:
             far = ~(limits[own] < (np.pi if cosine else np.inf))
             least = np.where(far, -np.inf, (np.cos(limits[own]) if cosine else -limits[own] ** 2) - margin)
+
+        def raised(kth: np.ndarray) -> np.ndarray:
+            return np.maximum(least, np.where(kth > undefined / 10, kth - margin, np.where(kth > -np.inf, 2 * undefined, -np.inf)))
+
         open_ = _open_lists(left, own, lists) if several else None
+        if exclude_self:  # only a group of nothing but the row's own id is out
+            low, high = (np.searchsorted(base.first[alone], l_ids[own], side) for side in ("left", "right"))
+            self_row, place = _first(low, high - low, low, low, len(alone))
+            self_group = alone[place]
         row, group, key = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        waiting: list[tuple[np.ndarray, ...]] = []
         b = 0
         while b < len(squares):
-            some = slice(b, min(len(squares), b + (256 if b == 0 else max(256, SCORES // STEP))))
+            # as many again as have passed, so that few rows of a wide step are looked at before there is a k-th best
+            some = slice(b, min(len(squares), b + (wide if (least > undefined).all() else min(wide, max(256, b)))))
             b = some.stop
             use = np.flatnonzero(open_[:, np.unique(part[some])].any(1)) if several else np.arange(len(own))
-            if not len(use):
-                continue
-            now = (x if len(use) == len(own) else x[use]) @ points[:, some]
-            if not cosine:
-                now *= 2
-                now -= squares[some]
-                now -= (left.norms[own[use]] ** 2)[:, None]
-            if not defined[some].all():
-                now[:, ~defined[some]] = undefined
-            if not known[use].all():
-                now[~known[use]] = undefined
-            enough = np.nextafter(least[use].astype(now.dtype), -np.inf, dtype=now.dtype)
-            r, c = np.divmod(np.flatnonzero(now >= enough[:, None]), now.shape[1])
-            got = now[r, c].astype(np.float64)
-            r, c = use[r], c + some.start
-            if several:
-                here = open_[r, part[c]]
-                r, c, got = r[here], c[here], got[here]
-            if exclude_self:  # only a group of nothing but the row's own id is out
-                other = np.where(base.first[c] != l_ids[own[r]], base.first[c], base.second[c]) != NO_OTHER
-                r, c, got = r[other], c[other], got[other]
-            if not len(r):
-                continue
-            row, group, key = np.r_[row, r], np.r_[group, c], np.r_[key, got]
+            if len(use):
+                now = scores[: len(use) * (some.stop - some.start)].reshape(len(use), -1)
+                np.matmul(x if len(use) == len(own) else x[use], points[:, some], out=now)
+                if not cosine:
+                    now *= 2
+                    now -= squares[some]
+                    now -= (left.norms[own[use]] ** 2)[:, None]
+                if not defined[some].all():
+                    now[:, ~defined[some]] = undefined
+                if not known[use].all():
+                    now[~known[use]] = undefined
+                if exclude_self:
+                    here = (self_group >= some.start) & (self_group < some.stop)
+                    r, c = self_row[here], self_group[here] - some.start
+                    if len(use) < len(own):
+                        at = np.full(len(own), -1)
+                        at[use] = np.arange(len(use))
+                        r, c = at[r[at[r] >= 0]], c[at[r] >= 0]
+                    now[r, c] = -np.inf
+                if some.start == 0 and not several and now.shape[1] > k:
+                    now[np.isnan(now)] = -np.inf
+                    least = raised(np.partition(now, now.shape[1] - k, axis=1)[:, now.shape[1] - k].astype(np.float64))
+                enough = np.nextafter(np.maximum(least[use], 10 * undefined).astype(now.dtype), -np.inf, dtype=now.dtype)
+                r, c = _hits(now, enough, hits)
+                got = now[r, c].astype(np.float64)
+                r, c = use[r], c + some.start
+                if several:
+                    here = open_[r, part[c]]
+                    r, c, got = r[here], c[here], got[here]
+                waiting.append((r, c, got))
+            more = sum(len(x[0]) for x in waiting)
+            if not more or b < len(squares) and more < 2 * len(own) and (least > undefined).all():
+                continue  # few new ones wouldn't raise the k-th best much
+            row, group, key = (np.concatenate(x) for x in zip((row, group, key), *waiting))
+            waiting = []
             crowded = len(row) > 64 * (k + 1) * len(own)
-            ids = base.first[group]
             if crowded:  # many near ties: settle them by exact similarity and id
                 key = as_key(exact(own[row], group))
+                ids = base.first[group]
                 ids = np.where(ids != l_ids[own[row]], ids, base.second[group]) if exclude_self else ids
-            by = np.lexsort((ids, -key, row))
+                by = np.lexsort((ids, -key, row))
+            else:
+                by = np.lexsort((-key, row))
             row, group, key = row[by], group[by], key[by]
             place = np.arange(len(row)) - np.searchsorted(row, row)
             last = place == k - 1
             kth = np.full(len(own), -np.inf)
             kth[row[last]] = key[last]
-            least = np.maximum(least, np.where(kth > undefined / 10, kth - margin, np.where(kth > -np.inf, 2 * undefined, -np.inf)))
+            least = raised(kth)
             stay = (place < k) if crowded else (key >= least[row])
             row, group, key = row[stay], group[stay], key[stay]
         percent = exact(own[row], group)
         again, cols = base.rows(group, k, l_ids[own[row]] if exclude_self else None)
         rows, percent = own[row][again], percent[again]
         order = np.lexsort((r_ids[cols], -np.where(np.isnan(percent), -np.inf, percent), rows))
-        rows, cols, percent = rows[order], cols[order], percent[order]
-        copies = right.copies[cols]
-        before = np.cumsum(copies) - copies
-        keep = before - before[np.searchsorted(rows, rows)] < k  # copies of better rows
-        found_rows.append(rows[keep])
-        found_cols.append(cols[keep])
-        found_percent.append(percent[keep])
+        keep(rows[order], cols[order], percent[order])
     rows, cols, percent = (np.concatenate(x) for x in (found_rows, found_cols, found_percent))
+    return rows, cols, percent
+
+
+def topk_rows(left: Side, right: Side, k: int, exclude_self: bool, metric: str = "cosine") -> pa.Table:
+    """Per left row, the k best right rows by (similarity desc, nulls last, id asc).
+
+    Right rows with equal vectors are scored once. They pass in steps, each
+    compared with the k-th best so far, so few similarities are looked at
+    twice. The matrix products only select, with a margin for their rounding;
+    what they leave is scored again one by one, so equal vectors score equally
+    in every block. ``copies`` counts equal rows collapsed before; an entry
+    stands for all of them, and rows are kept until the copies before them reach k.
+    Left rows are finished ``STEP`` at a time, so that beside the vectors only
+    the k entries of each row are held. Left rows without a direction have no
+    similarity to anything: they get the first ids and no product is taken.
+    Lists that are not open to a row are left out, and so is what its limit
+    shows to be worse than its k best.
+    """
+    limits = left.rows["limit"].to_numpy() if "limit" in left.rows.column_names else None
+    rows, cols, percent = _best(left, right, k, exclude_self, metric, limits)
     if not rows.size:
         return no_candidates(left.rows["id"])
     q, b = left.rows.select(["id", "rowkey"]).take(pa.array(rows)), right.rows.select(["id", "rowkey"]).take(pa.array(cols))
     similarity = pa.array(percent, mask=np.isnan(percent))
     return candidates(q["id"], b["id"], q["rowkey"].combine_chunks(), left.copies[rows], b["rowkey"].combine_chunks(), similarity, right.copies[cols])
+
+
+class Running:
+    """``topk_rows`` of one side against right sides that come one after another; only the k best so far are held."""
+
+    def __init__(self, left: Side, k: int, exclude_self: bool, metric: str = "cosine"):
+        self.left, self.k, self.exclude_self, self.metric = left, k, exclude_self, metric
+        self.rows, self.percent = np.zeros(0, np.int64), np.zeros(0)
+        self.found = None  # id, rowkey and copies of each entry
+        self.limits = None
+
+    def meet(self, right: Side) -> None:
+        rows, cols, percent = _best(self.left, right, self.k, self.exclude_self, self.metric, self.limits)
+        found = right.rows.select(["id", "rowkey", "copies"]).take(pa.array(cols))
+        if self.found is not None:
+            rows, percent = np.r_[self.rows, rows], np.r_[self.percent, percent]
+            found = pa.concat_tables([self.found, found])
+        codes, _ = id_codes(found["id"], found["id"].slice(0, 0))
+        order = np.lexsort((codes, -np.where(np.isnan(percent), -np.inf, percent), rows))
+        rows, copies = rows[order], found["copies"].to_numpy()[order]
+        some = _until(rows, copies, self.k)
+        self.rows, copies, order = rows[some], copies[some], order[some]
+        self.percent, self.found = percent[order], found.take(pa.array(order)).combine_chunks()
+        held = np.bincount(self.rows, copies, len(self.left.rows)) >= self.k
+        last = np.flatnonzero(np.r_[self.rows[1:] != self.rows[:-1], True][: len(self.rows)])
+        kth = np.full(len(self.left.rows), np.nan)
+        kth[self.rows[last]] = self.percent[last] / 100
+        cosine = self.metric == "cosine"
+        self.limits = np.where(held & ~np.isnan(kth), np.arccos(np.clip(kth, -1, 1)) if cosine else 1 - kth, np.pi if cosine else np.inf)
+
+    def table(self) -> pa.Table:
+        if self.found is None or not len(self.rows):
+            return no_candidates(self.left.rows["id"])
+        q = self.left.rows.select(["id", "rowkey"]).take(pa.array(self.rows))
+        similarity = pa.array(self.percent, mask=np.isnan(self.percent))
+        return candidates(q["id"], self.found["id"], q["rowkey"].combine_chunks(), self.left.copies[self.rows],
+                          self.found["rowkey"].combine_chunks(), similarity, self.found["copies"].combine_chunks())

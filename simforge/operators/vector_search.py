@@ -8,16 +8,21 @@ n*n row shuffle or one task holding a hot key. Rows are
 1. collapsed to distinct ``(id, vector, other columns)`` with a copy count
    (map-side partial aggregation, so a key holding a third of all rows
    collapses before the shuffle and exact copies are scored once);
-2. spread over ``B`` blocks by a hash of id *and* vector, so a hot id with
-   many distinct vectors is still spread over all blocks; a block holds a
-   fixed number of *bytes*, so wide vectors don't overfill a task;
-3. replicated to the ``B`` cells ``(min(b, j), max(b, j))`` of the upper block
-   triangle (each unordered block pair is scored once: cosine is symmetric);
-4. scored per cell with one numpy matrix product that emits only a partial
-   top-k per row (never all pairs): n * B * k candidates in all;
+2. dealt by a hash of id *and* vector, so a hot id with many distinct vectors
+   is still spread: as queries to parts and as base rows to bands, both of a
+   few blocks of a fixed number of *bytes*, so wide vectors don't overfill a task;
+3. brought together in cells, one a part and band, of which each is one task:
+   a row goes to one cell a band as a query and to one cell a part as a base row;
+4. scored as they stream in: a task holds its queries, meets the base rows of
+   its band one block after another by matrix products, and carries each
+   query's k-th best from one to the next, so that later blocks yield few
+   candidates; it emits k of them per query: n * bands * k in all;
 5. reduced to the final top-k per id with ``row_number() <= k``, which
    Catalyst plans as a partial + final ``WindowGroupLimit``.
 
+Vectors without a direction are similar to nothing, so as queries they get the
+first ids without a product.
+
 Ranking uses the unrounded similarity; only the shown columns are rounded.
 Searches (``knn_join``) use the same kernel with the query side replicated
 over base blocks, which is a shuffle of the (small) query set instead of a
@@ -27,18 +32,21 @@ driver-side broadcast. For corpora where all pairs are too many, see ``ivf``.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import Side, no_candidates, similarity_percentage, topk_rows
+from ..functions.vectors import Running, Side, no_candidates, similarity_percentage, topk_rows
 
 PCT_SCALE = 4
 #: Vectors of one side of a cell, in bytes.
 BLOCK_BYTES = 16 << 20
+#: Blocks of query rows that one task holds, and blocks of base rows that it meets at most, one after another.
+QUERY_BLOCKS, BAND_BLOCKS = 2, 8
 
 
 def _parallelism(df: DataFrame) -> int:
@@ -73,12 +81,21 @@ def _size(df: DataFrame, vec_col: str) -> tuple[int, int]:
     return r["n"], max(1, r["w"] or 1)
 
 
+def least_cells(n_rows: int, parallelism: int, block_rows: int) -> int:
+    """2x the cores, and where a cell takes long 4x, so that the last ones don't leave cores idle."""
+    return (4 if n_rows > block_rows else 2) * parallelism
+
+
 def choose_blocks(n_rows: int, parallelism: int, block_rows: int) -> int:
-    """Blocks so that cells hold ~block_rows per side and there are >= 2x cores cells."""
-    b = max(1, math.ceil(n_rows / max(1, block_rows)))
-    while b * (b + 1) // 2 < 2 * parallelism and b < max(1, n_rows):
-        b += 1
-    return b
+    """Parts of the queries, of ``QUERY_BLOCKS`` blocks at most, or about as many as bands where that would be too few cells."""
+    few = math.isqrt(least_cells(n_rows, parallelism, block_rows) - 1) + 1
+    return max(1, math.ceil(n_rows / (max(1, block_rows) * QUERY_BLOCKS)), min(n_rows, few))
+
+
+def choose_bands(n_rows: int, parallelism: int, block_rows: int, blocks: int) -> int:
+    """Bands of base rows, of ``BAND_BLOCKS`` blocks at most."""
+    few = math.ceil(least_cells(n_rows, parallelism, block_rows) / blocks)
+    return max(1, math.ceil(n_rows / (max(1, block_rows) * BAND_BLOCKS)), min(n_rows, few))
 
 
 def _result_schema(id_type: T.DataType) -> T.StructType:
@@ -121,37 +138,69 @@ def knn_self_join(df: DataFrame, id_col: str = "uri", vec_col: str = "embedding"
     """V9 + J1 + V10 (flat): for every id, its k most similar other rows.
 
     Output ``query_uri, rank, compared_uri, similarity_percentage``; ids without
-    any partner are absent; null similarities rank last; ties by id. Without
-    ``num_blocks`` one aggregate over the table sizes the blocks.
+    any partner are absent; null similarities rank last; ties by id. One
+    aggregate over the table sizes the cells; ``num_blocks`` sets the number of
+    parts of the queries.
     """
     id_type = df.schema[id_col].dataType
     rows = collapse_copies(df, id_col, vec_col, null_ids=not exclude_self)
-    if num_blocks is None:
-        n, width = _size(df, vec_col)
-        num_blocks = choose_blocks(n, _parallelism(df), block_rows or block_rows_for(width))
-    B = int(num_blocks)
-    blocked = rows.withColumn("blk", F.pmod(F.xxhash64("id", "vec"), F.lit(B)).cast("int"))
-    cells = (blocked
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-             .withColumn("lo", F.least("blk", "other"))
-             .withColumn("hi", F.greatest("blk", "other"))
-             .drop("other"))
-
-    def cell(rows: pa.Table) -> pa.Table:
-        lo, hi = rows["lo"][0].as_py(), rows["hi"][0].as_py()
-        left = Side(rows.filter(pc.equal(rows["blk"], lo)))
-        right = left if lo == hi else Side(rows.filter(pc.equal(rows["blk"], hi)))
-        parts = [topk_rows(left, right, k, exclude_self, metric)]
-        if lo != hi:
-            parts.append(topk_rows(right, left, k, exclude_self, metric))
-        return pa.concat_tables(parts)
-
-    # two partitions a cell: hashes of few cells would pile up in fewer
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), B * (B + 1))
-    cands = cells.repartition(parts, "lo", "hi").groupBy("lo", "hi").applyInArrow(cell, schema=_result_schema(id_type))
+    n, width = _size(df, vec_col)
+    per_block = block_rows or block_rows_for(width)
+    blocks = int(num_blocks or choose_blocks(n, _parallelism(df), per_block))
+    bands = choose_bands(n, _parallelism(df), per_block, blocks)
+    # the two parts of a cell, its queries before its base rows
+    h = F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 40))
+    own = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: 2 * (F.col("h") % blocks * bands + i))
+    other = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: 2 * (i * bands + F.shiftright("h", 20) % bands) + 1)
+    cells = rows.withColumn("h", h).withColumn("part", F.explode(F.concat(own, other).cast("array<int>"))).drop("h")
+    dealt = cells.repartitionById(blocks * bands, F.shiftright("part", 1)).sortWithinPartitions("part")
+    schema = _result_schema(id_type)
+    cands = dealt.mapInArrow(_streamed_topk(k, exclude_self, metric, per_block), schema)
     return shown(ranked_topk(cands, k, per_row=False))
 
 
+def _streamed_topk(k: int, exclude_self: bool, metric: str, block_rows: int):
+    """Of rows sorted by ``part``, 2 c for the queries of a cell c and 2 c + 1 for its base rows, each query's k best."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            part = batch["part"].to_numpy()
+            begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+            for a, b in zip(begin, [*begin[1:], len(part)]):
+                yield int(part[a]), batch.slice(a, b - a)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at, best = -1, None
+
+        def passed() -> None:
+            nonlocal best
+            if held:
+                side = Side(pa.Table.from_batches(held))
+                held.clear()
+                if at % 2 == 0:
+                    best = Running(side, k, exclude_self, metric)
+                elif best is not None:
+                    best.meet(side)
+
+        for part, piece in parts(batches):
+            if part != at:
+                passed()
+                if part // 2 != at // 2:
+                    if best is not None:
+                        yield from best.table().to_batches()
+                    best = None
+                at = part
+            held.append(piece)
+            if at % 2 and sum(map(len, held)) >= block_rows:
+                passed()
+        passed()
+        if best is not None:
+            yield from best.table().to_batches()
+
+    return run
+
+
 def knn_join(queries: DataFrame, base: DataFrame, k: int = 10, q_id: str = "uri",
              q_vec: str = "embedding", b_id: str = "uri", b_vec: str = "embedding",
              exclude_self: bool = False, block_rows: int | None = None,

@@ -176,6 +176,55 @@ def test_kernel_passes_over_the_rows_of_one_id():
     assert table["compared_uri"].to_pylist() == ["a", "a", "a", "c"]
 
 
+def test_rows_without_a_direction_are_not_scored(monkeypatch):
+    """They get the first ids; before, each was scored with every row and all the ties were sorted."""
+    scored = []
+    plain = V.pair_similarity
+    monkeypatch.setattr(V, "pair_similarity", lambda dot, *args: (scored.append(len(dot)), plain(dot, *args))[1])
+    rng = np.random.default_rng(5)
+    rows = [(f"{i:03}", (None, [], [0.0, -0.0, 0.0, 0.0])[i % 3] if i % 2 else rng.normal(size=4).tolist(), i, 1) for i in range(900)]
+    got = V.topk_rows(side(rows), side(rows), 3, True).to_pylist()
+    blank = {q: [r["compared_uri"] for r in got if r["query_uri"] == q] for q in ("001", "003", "899")}
+    assert blank == {"001": ["000", "002", "003"], "003": ["000", "001", "002"], "899": ["000", "001", "002"]}
+    assert all((r["similarity_percentage"] is None) == (int(r["query_uri"]) % 2 == 1) for r in got)
+    assert len(got) == 2700 and sum(scored) < 40 * 900
+
+
+@pytest.mark.parametrize("metric", V.METRICS)
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_running_best_of_pieces(metric, exclude_self):
+    """Ties, copies, null ids and odd vectors that come in pieces, as all at once."""
+    rng = random.Random(8)
+    vector = lambda: rng.choice([None, [], [0.0, 0.0], [rng.choice([-1.0, 1.0])], *([[float(rng.choice([-1, 0, 1, 2])), 1.0]] * 6)])
+    rows = [(rng.choice([None, *(f"u{i:02}" for i in range(50))]), vector(), i, rng.choice([1, 1, 2])) for i in range(300)]
+    best = V.Running(side(rows[:90]), 4, exclude_self, metric)
+    for a in range(0, 300, 40):
+        best.meet(side(rows[a : a + 40]))
+    got = defaultdict(list)
+    for r in best.table().to_pylist():
+        s = r["similarity_percentage"]
+        got[r["query_key"]] += [(r["query_key"], None if s is None else round(s, 5) + 0.0)] * r["copies"]
+    assert Counter(x for v in got.values() for x in v[:4]) == plain_topk(rows[:90], rows, 4, exclude_self, metric)
+
+
+def test_all_pairs_pass_in_blocks(spark, monkeypatch):
+    """Queries of several parts against bands of several blocks."""
+    monkeypatch.setattr(vs, "BAND_BLOCKS", 2)
+    rows = rows_of(150, 2) + [("id003", [0.5] * 8, 9), ("id004", None, 9), ("twin", None, 9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert flat(vs.knn_self_join(df, k=200, block_rows=20)) == flat(vs.shown(vs.ranked_topk(whole(df, 200), 200, per_row=False)))
+    alone = rows_of(150, 2)
+    assert flat(vs.knn_self_join(spark.createDataFrame(alone, SCHEMA), k=6, block_rows=20)) == brute(alone, 6)
+    assert vs.knn_self_join(df.limit(0), k=3).count() == 0
+
+
+def whole(df, k):
+    """The candidates of all pairs by one call of the kernel."""
+    table = vs.collapse_copies(df, "uri", "embedding").toArrow()
+    found = V.topk_rows(V.Side(table), V.Side(table), k, True)
+    return df.sparkSession.createDataFrame(found)
+
+
 def test_rows_go_to_shelves_of_lists(spark, monkeypatch):
     """Where bounds leave nearly all lists open, rows are not repeated by lists."""
     shipped = []
